@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Words as the contracts define them: runs of anything but ASCII white space.
@@ -80,3 +81,50 @@ def in_bitmap(words: np.ndarray, values: np.ndarray, bits: int = 1 << 23) -> np.
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of few rows, as rows hold whole texts: memory in a Python worker stays bounded with very long ones."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, as signed integers, kept for the next text; emptied at ``keep`` entries."""
+
+    def __init__(self, keep: int = 500_000):
+        super().__init__()
+        self.keep = keep
+
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = self[word] = h - (1 << 64) if h >> 63 else h
+        return h
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > self.keep:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+
+
+#: Odd multipliers of the positions of a window, from one seed.
+_FACTORS = np.array([xxhash.xxh64_intdigest(bytes([k]), seed=11) | 1 for k in range(64)], dtype=np.uint64)
+
+
+def window_sums(tokens: np.ndarray, masks: list[tuple[int, str]]) -> dict[int, np.ndarray]:
+    """For each (salt, mask) a hash of every window of len(mask) tokens, over one array of the tokens of many texts.
+
+    A window's hash is a sum of its tokens times odd factors, by position; places with 0 in the mask are left out.
+    """
+    t, out, products = tokens.view(np.uint64), {}, {}
+    with np.errstate(over="ignore"):
+        for salt, mask in masks:
+            n = len(t) - len(mask) + 1
+            if n <= 0:
+                out[salt] = np.empty(0, dtype=np.int64)
+                continue
+            h = np.full(n, np.uint64(salt) * _FACTORS[63], dtype=np.uint64)
+            for k, bit in enumerate(mask):
+                if bit == "1":
+                    if k not in products:
+                        products[k] = t * _FACTORS[k]
+                    h += products[k][k : k + n]
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+            out[salt] = h.view(np.int64)
+    return out
