@@ -9,8 +9,8 @@
   one of 32 documents and kept as a bitmap of fixed size. Any order gives the same links: this one decides the cost alone.
 * Pairs are first bounded by hashed bitmaps in which each shingle flips one bit: the sets differ in at least as many
   shingles as the bitmaps differ in bits. What passes is decided by intersecting the sorted arrays.
-* Groups of thousands of near copies aren't expanded: two chain rounds compare each set with its neighbour in size that
-  shares most tiles, and join what links; then all pairs in tiles that still lie in different components are compared.
+* Groups of thousands of near copies aren't expanded: two rounds compare each set with the smallest of its size band in
+  a tile, then with its neighbour in size, and join what links; then all pairs in tiles that still lie in different components are compared.
   A pair left out is already connected, so no link between components is lost.
 
 Nulls: a null text, or one without words, has an empty set and links with nothing; a null doc_id takes part and its
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
-from .util import LOWER, WORD, WordHashes, bitmap, in_bitmap, stage, text_column, window_sums
+from .util import WordHashes, bitmap, in_bitmap, lower_words, stage, text_column, window_sums
 
 WIDTH, SHARE = 5, 80
 #: One of SAMPLE documents shows which shingles are common: those of at least COMMON of them.
@@ -38,7 +38,7 @@ _WORDS = WordHashes()
 
 def shingle_sets(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    words = [_WORDS.of(WORD.findall(t.translate(LOWER) if not t.islower() else t)) for t in texts]
+    words = [_WORDS.of(lower_words(t)) for t in texts]
     every = np.concatenate([*words, np.empty(0, np.int64)])
     sums = window_sums(every, [(1, "1" * width)])[1]
     out, at = [], 0
@@ -127,7 +127,7 @@ def least_difference(x: bytes, y: bytes) -> int:
 def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
     """Those of ``pairs(a, b)`` of classes whose sets are similar. A set is computed again from one document of its class."""
 
-    def arrays(ids: DataFrame, small: bool) -> DataFrame:
+    def arrays(ids: DataFrame) -> DataFrame:
         wanted = docs.sparkSession.sparkContext.broadcast(bitmap(ids, "cid"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,16 +137,18 @@ def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, share: int) ->
                 fps = [_fingerprint(a) for a in sets]
                 ids = b.column("doc_id").to_pylist()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([-(abs(f[1]) | 1 << 62) if i is None else i for i, f in zip(ids, fps)], pa.int64()), pa.array([f[0] for f in fps], pa.int64()), pa.array([f[1] for f in fps], pa.int64()), pa.array([sketch(a) if small else a.tobytes() for a in sets], pa.binary())],
-                    names=["cid", "hi", "lo", "data"],
+                    [pa.array([-(abs(f[1]) | 1 << 62) if i is None else i for i, f in zip(ids, fps)], pa.int64()), pa.array([f[0] for f in fps], pa.int64()), pa.array([f[1] for f in fps], pa.int64()), pa.array([sketch(a) for a in sets], pa.binary()), pa.array([a.tobytes() for a in sets], pa.binary())],
+                    names=["cid", "hi", "lo", "bits", "data"],
                 )
 
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "cid long, hi long, lo long, data binary")
-        return rows.join(ids.join(classes.select("cid", "hi", "lo", "n"), "cid"), ["cid", "hi", "lo"]).select("cid", "n", "data")
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "cid long, hi long, lo long, bits binary, data binary")
+        return rows.join(ids.join(classes.select("cid", "hi", "lo", "n"), "cid"), ["cid", "hi", "lo"]).select("cid", "n", "bits", "data")
+
+    ids = stage(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "pair-ids")
+    data = stage(arrays(ids), "pair-data")
 
     def decide(pairs: DataFrame, small: bool) -> DataFrame:
-        ids = stage(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "pair-ids")
-        data = stage(arrays(ids, small), "pair-data")
+        what = "bits" if small else "data"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -161,8 +163,8 @@ def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, share: int) ->
                     keep.append(100 * most >= share * (n + m - most))
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep, pa.bool_())), b.column("b").filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
-        one = data.select(F.col("cid").alias("a"), "n", F.col("data").alias("x"))
-        two = data.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("data").alias("y"))
+        one = data.select(F.col("cid").alias("a"), "n", F.col(what).alias("x"))
+        two = data.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col(what).alias("y"))
         return stage(pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long").distinct(), "decided")
 
     return decide(decide(pairs, True), False)
@@ -178,12 +180,19 @@ def similar_components(docs: DataFrame, share: int = SHARE) -> DataFrame:
     rows = rows.withColumn("before", F.lag("cid").over(tile)).withColumn("after", F.lead("cid").over(tile))
     tiles = stage(rows.where("before is not null or after is not null").select("key", "cid", "n", "pos"), "tiles")
 
-    roots = stage(classes.select(F.col("cid").alias("id"), F.col("cid").alias("root")).limit(0), "roots")
-    for chain in (True, True, False):
-        rows = tiles.join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        pairs = stage(_chain(rows, share) if chain else _all_pairs(rows, share), "pairs")
-        links = linked(pairs, docs, classes, share)
-        roots = stage(components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(links)), "roots")
+    roots = None
+    for meet in (_heads, _chain, _all_pairs):
+        rows = tiles.withColumn("root", F.col("cid")) if roots is None else tiles.join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        links = linked(stage(meet(rows, share), "pairs"), docs, classes, share)
+        if roots is None:
+            roots = stage(components(links), "roots")
+            continue
+        # later links join whole components: the graph of their roots is what is left to solve
+        of = lambda side: F.coalesce(f"{side}.root", F.col(side + "_id"))  # noqa: E731, B023
+        ends = links.select(F.col("a").alias("x_id"), F.col("b").alias("y_id")).join(roots.alias("x"), F.col("x_id") == F.col("x.id"), "left").join(roots.alias("y"), F.col("y_id") == F.col("y.id"), "left")
+        joined = components(ends.select(of("x").alias("a"), of("y").alias("b"))).select(F.col("id").alias("root"), F.col("root").alias("to"))
+        nodes = roots.union(links.select("a", "a")).union(links.select("b", "b")).groupBy("id").agg(F.min("root").alias("root"))
+        roots = stage(nodes.join(joined, "root", "left").select("id", F.coalesce("to", "root").alias("root")), "roots")
 
     firsts = classes.select("hi", "lo", "n", "cid", "first_doc").join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     smallest = firsts.groupBy("root").agg(F.min("first_doc").alias("component_id"))
@@ -208,13 +217,28 @@ def _fits(share: int, n: str, pos: str, m: str, pos2: str):
     return (F.expr(f"100 * {n} >= {share} * {m}")) & (F.least(F.expr(f"{n} - {pos}"), F.expr(f"{m} - {pos2}")) >= need)
 
 
+def _nearest(near: DataFrame, share: int) -> DataFrame:
+    """Of ``near(a, n, pos, b, m, pos2)``, a the smaller set: each b with the a with which it shares most tiles."""
+    counted = near.where(_fits(share, "n", "pos", "m", "pos2")).groupBy("a", "b").count()
+    return counted.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
+
+
+def _met(rows: DataFrame, other) -> DataFrame:
+    near = rows.withColumn("p", other).where("p is not null and p.root <> root")
+    return near.select(F.col("cid").alias("b"), F.col("p.cid").alias("a"), F.col("p.n").alias("n"), F.col("p.pos").alias("pos"), F.col("n").alias("m"), F.col("pos").alias("pos2"))
+
+
+def _heads(rows: DataFrame, share: int) -> DataFrame:
+    """Each set with the smallest of its size band in a tile: groups of copies become stars, which settle in few rounds."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / share)))
+    tile = Window.partitionBy("key", band).orderBy("n", "cid").rowsBetween(Window.unboundedPreceding, 0)
+    return _nearest(_met(rows, F.first(F.struct("cid", "n", "pos", "root")).over(tile)), share)
+
+
 def _chain(rows: DataFrame, share: int) -> DataFrame:
     """Each set with the neighbour, next smaller in a tile and of another component, with which it shares most tiles."""
     tile = Window.partitionBy("key").orderBy("n", "cid")
-    before = F.lag(F.struct("cid", "n", "pos", "root")).over(tile)
-    near = rows.withColumn("p", before).where("p is not null and p.root <> root").select(F.col("cid").alias("b"), F.col("p.cid").alias("a"), F.col("p.n").alias("n"), F.col("p.pos").alias("pos"), F.col("n").alias("m"), F.col("pos").alias("pos2"))
-    counted = near.where(_fits(share, "n", "pos", "m", "pos2")).groupBy("a", "b").count()
-    return counted.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
+    return _nearest(_met(rows, F.lag(F.struct("cid", "n", "pos", "root")).over(tile)), share)
 
 
 def _all_pairs(rows: DataFrame, share: int) -> DataFrame:

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .util import LOWER, text_column
+from .util import lower_ascii, text_column
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -146,7 +146,7 @@ class Scanner:
         return taken
 
     def scan(self, text: str) -> tuple:
-        lower = text.translate(LOWER)
+        lower = lower_ascii(text)
         n_words = len(WORDS.findall(lower))
         places, labels = [], set()
         for phrase, label in self.base.items():

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -11,10 +10,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Words as the contracts define them: runs of anything but ASCII white space.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Lower-cases A-Z only; other letters stay.
-LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def lower_ascii(text: str) -> str:
+    """A-Z in lower case; other letters stay."""
+    return text.encode().lower().decode()
+
+
+def lower_words(text: str) -> list[bytes]:
+    """Runs of anything but ASCII white space, A-Z in lower case, as UTF-8: bytes know ASCII case and white space only."""
+    return text.encode().lower().split()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -90,12 +95,12 @@ class WordHashes(dict):
         super().__init__()
         self.keep = keep
 
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+    def __missing__(self, word: str | bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
         h = self[word] = h - (1 << 64) if h >> 63 else h
         return h
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, words: list[str] | list[bytes]) -> np.ndarray:
         if len(self) > self.keep:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
