@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .tokens import encoder
-from .util import new_path, small_batches, text_column
+from .util import new_path, small_batches, stage, text_column
 
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
@@ -63,7 +63,7 @@ def save(rows: DataFrame, path: str, row_group: int = 16 << 20, page_rows: int =
 def write_token_files(docs: DataFrame, tokenizer: str, lead: bool = True, end_id: int = 2, path: str | None = None) -> str:
     """Encodes ``docs(doc_id, text)`` and writes token files in ascending doc_id order; returns their folder."""
     path = path or new_path(docs.sparkSession, "token-files")
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return save(encode_partitions(ordered, tokenizer, lead, end_id), path)
 
 
@@ -77,7 +77,8 @@ def part_starts(spark: SparkSession, path: str) -> DataFrame:
 def read_token_files(spark: SparkSession, path: str, columns: tuple[str, ...] = ("ids",)) -> DataFrame:
     """(doc_id, start, n_tokens, *columns): ``start`` is global. Ask for no columns to read metadata alone."""
     rows = spark.read.schema(FILE_SCHEMA).parquet(path)
-    return rows.join(part_starts(spark, path), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", *columns)
+    starts = stage(part_starts(spark, path), "part-starts")  # written, so that the planner knows how small it is and leaves the ids where they are
+    return rows.join(starts, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", *columns)
 
 
 def list_slices(column: pa.Array) -> tuple[np.ndarray, memoryview]:
