@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
-from .util import WordHashes, bitmap, in_bitmap, lower_words, stage, text_column, window_sums
+from .util import WordHashes, bitmap, discard, in_bitmap, lower_words, stage, text_column, window_sums
 
 WIDTH, SHARE = 5, 80
 #: One of SAMPLE documents shows which shingles are common: those of at least COMMON of them.
@@ -127,7 +127,8 @@ def least_difference(x: bytes, y: bytes) -> int:
 def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
     """Those of ``pairs(a, b)`` of classes whose sets are similar. A set is computed again from one document of its class."""
 
-    def arrays(ids: DataFrame) -> DataFrame:
+    def arrays(ids: DataFrame, small: bool) -> DataFrame:
+        """(cid, hi, lo, data); a few classes that weren't asked for may come too, as the bitmap is one of hashes."""
         wanted = docs.sparkSession.sparkContext.broadcast(bitmap(ids, "cid"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,18 +138,14 @@ def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, share: int) ->
                 fps = [_fingerprint(a) for a in sets]
                 ids = b.column("doc_id").to_pylist()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([-(abs(f[1]) | 1 << 62) if i is None else i for i, f in zip(ids, fps)], pa.int64()), pa.array([f[0] for f in fps], pa.int64()), pa.array([f[1] for f in fps], pa.int64()), pa.array([sketch(a) for a in sets], pa.binary()), pa.array([a.tobytes() for a in sets], pa.binary())],
-                    names=["cid", "hi", "lo", "bits", "data"],
+                    [pa.array([-(abs(f[1]) | 1 << 62) if i is None else i for i, f in zip(ids, fps)], pa.int64()), pa.array([f[0] for f in fps], pa.int64()), pa.array([f[1] for f in fps], pa.int64()), pa.array([sketch(a) if small else a.tobytes() for a in sets], pa.binary())],
+                    names=["cid", "hi", "lo", "data"],
                 )
 
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "cid long, hi long, lo long, bits binary, data binary")
-        return rows.join(ids.join(classes.select("cid", "hi", "lo", "n"), "cid"), ["cid", "hi", "lo"]).select("cid", "n", "bits", "data")
-
-    ids = stage(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "pair-ids")
-    data = stage(arrays(ids), "pair-data")
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "cid long, hi long, lo long, data binary")
 
     def decide(pairs: DataFrame, small: bool) -> DataFrame:
-        what = "bits" if small else "data"
+        data = stage(arrays(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), small), "pair-data")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -163,22 +160,33 @@ def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, share: int) ->
                     keep.append(100 * most >= share * (n + m - most))
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep, pa.bool_())), b.column("b").filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
-        one = data.select(F.col("cid").alias("a"), "n", F.col(what).alias("x"))
-        two = data.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col(what).alias("y"))
-        return stage(pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long").distinct(), "decided")
-
-    return decide(decide(pairs, True), False)
+        # the small columns of the classes first, so that the sets themselves are shuffled once for each end
+        ends = classes.select("cid", "hi", "lo", "n")
+        named = pairs.join(ends.toDF("a", "hi1", "lo1", "n"), "a").join(ends.toDF("b", "hi2", "lo2", "m"), "b")
+        one, two = data.toDF("a", "hi1", "lo1", "x"), data.toDF("b", "hi2", "lo2", "y")
+        out = stage(named.join(one, ["a", "hi1", "lo1"]).join(two, ["b", "hi2", "lo2"]).select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long").distinct(), "decided")
+        discard(data)
+        return out
+
+    near = decide(pairs, True)
+    out = decide(near, False)
+    discard(near)
+    return out
 
 
 def similar_components(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of ``docs(doc_id, text)``."""
-    sets = stage(document_sets(docs, common_shingles(docs), share), "sets")
-    classes = stage(sets.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("first_doc"), F.first("keys").alias("keys")), "classes")
+    whole = stage(document_sets(docs, common_shingles(docs), share), "sets")
+    keyed = stage(whole.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("first_doc"), F.first("keys").alias("keys")), "keyed-classes")
+    sets = stage(whole.select("doc_id", "n", "hi", "lo"), "sets")
+    discard(whole)
 
     tile = Window.partitionBy("key").orderBy("n", "cid")
-    rows = classes.select("cid", "n", F.posexplode("keys").alias("pos", "key"))
+    rows = keyed.select("cid", "n", F.posexplode("keys").alias("pos", "key"))
     rows = rows.withColumn("before", F.lag("cid").over(tile)).withColumn("after", F.lead("cid").over(tile))
     tiles = stage(rows.where("before is not null or after is not null").select("key", "cid", "n", "pos"), "tiles")
+    classes = stage(keyed.drop("keys"), "classes")
+    discard(keyed)
 
     roots = None
     for meet in (_heads, _chain, _all_pairs):

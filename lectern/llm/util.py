@@ -44,7 +44,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: the lineage ends there, and a lost executor costs a re-read only."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Deletes tables that ``stage`` wrote, once nothing that is still to run reads them."""
+    for df in staged:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
