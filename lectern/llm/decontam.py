@@ -6,8 +6,8 @@ documents are joined with seeds of benchmark items, and around each hit the two
 document is contaminated where a run of at least ``least`` tokens of the item (or the whole item, if it is shorter)
 agrees in ``share`` per cent of its tokens. Items shorter than SPAN are hashed whole and must occur whole.
 
-The benchmark's seeds reach the tasks as a bitmap of fixed size; it only spares the shuffle seeds that cannot match. The
-match itself is a join, whatever the size of the benchmark. Hits of a document that lie close together travel as one
+The benchmark's seeds reach the tasks as two bitmaps of fixed size, over different bits of the hash; they only spare the
+shuffle seeds that cannot match. The match itself is a join, whatever the size of the benchmark. Hits of a document that lie close together travel as one
 region with the tokens around it, so texts are read once.
 
 Nulls: a null text has no tokens and is clean; items with a null text or id match nothing; a document with a null doc_id
@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .util import WordHashes, bitmap, in_bitmap, stage, window_sums
+from .util import WordHashes, bitmap, in_bitmap, pieces, stage, window_sums
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Positions that count, of SPAN. Each mask leaves out three, none left out by two of the first masks alike.
@@ -62,19 +62,24 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
 REGIONS = "doc_id long, doc_hash long, region long, begin long, tokens binary, seeds array<struct<hash:long,pos:long>>"
 
 
-def document_regions(docs: DataFrame, known: np.ndarray, lengths: list[int], around: int) -> DataFrame:
+#: Bits of a hash passed over by the second bitmap; the first takes the lowest ones.
+SECOND = 24
+
+
+def document_regions(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], lengths: list[int], around: int) -> DataFrame:
     """Regions of documents around seeds that may be in the benchmark: tokens from ``begin`` on, ``around`` more on each side."""
     shared, masks = docs.sparkSession.sparkContext.broadcast(known), masks_for(lengths)
     width = {salt: len(mask) for salt, mask in masks}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("hash", pa.int64()), ("pos", pa.int64())])))
-        for b in batches:
+        for b in pieces(batches, "text"):
             texts = [token_hashes(x) for x in b.column("text").to_pylist()]
             ends = np.cumsum([len(t) for t in texts])
             every, found = np.concatenate([*texts, np.empty(0, np.int64)]), []
             for salt, h in window_sums(every, masks).items():
-                at = np.flatnonzero(in_bitmap(shared.value, h))
+                at = np.flatnonzero(in_bitmap(shared.value[0], h))
+                at = at[in_bitmap(shared.value[1], h[at] >> SECOND)]
                 doc = np.searchsorted(ends, at, side="right")
                 inside = at + width[salt] <= ends[doc]  # windows over the end of a text are none of its own
                 found.append((doc[inside], at[inside], h[at[inside]]))
@@ -123,7 +128,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, sha
     items = stage(item_seeds(benchmark), "item-seeds")
     lengths = sorted(r["n"] for r in items.where(F.col("n") < SPAN).select("n").distinct().collect())  # fewer than SPAN numbers
     longest = items.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    regions = stage(document_regions(docs, bitmap(items, "hash"), lengths, max(longest, least)), "document-regions")
+    known = bitmap(items, "hash"), bitmap(items.select(F.shiftright("hash", SECOND).alias("high")), "high")
+    regions = stage(document_regions(docs, known, lengths, max(longest, least)), "document-regions")
     hits = (
         regions.select("doc_id", "doc_hash", "region", F.explode("seeds").alias("s"))
         .select("doc_id", "doc_hash", "region", F.col("s.hash").alias("hash"), F.col("s.pos").alias("pos"))
