@@ -5,11 +5,12 @@ import itertools
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import chat, decontam, jaccard, licenses, packing, pii, quality, queries, token_count, token_files, warc
-from lectern.llm.util import table
+from lectern.llm.util import pieces, table
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words long, kept boolean"
@@ -179,3 +180,11 @@ def test_warc_round_trip(spark):
     parts = sorted((r.chunk_no, bytes(r.chunk)) for r in chunks.where("record_id = 2").collect())
     assert b"".join(x for _, x in parts) == big.encode() and max(len(x) for _, x in parts) == 1000
     assert warc.payloads(warc.read_archives(spark, warc.write_archives(pages.limit(0)))).count() == 0
+
+
+def test_pieces_keep_every_row():
+    texts = ["a" * 30, None, "", "b" * 250, "é" * 20, "c" * 90, "d"]
+    batch = pa.record_batch({"text": pa.array(texts, pa.string()), "k": list(range(7))})
+    got = list(pieces(iter([batch.slice(0, 0), batch, batch.slice(3, 2)]), "text", 100))
+    assert [x for b in got for x in b.column("text").to_pylist()] == texts + texts[3:5]
+    assert all(sum(len((x or "").encode()) for x in b.column("text").to_pylist()[1:]) < 100 for b in got)
