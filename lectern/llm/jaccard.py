@@ -28,26 +28,23 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
-from .util import WordHashes, bitmap, discard, in_bitmap, lower_words, stage, text_column, window_sums
+from .util import bitmap, discard, hashed_words, in_bitmap, pieces, stage, window_sums
 
 WIDTH, SHARE = 5, 80
 #: One of SAMPLE documents shows which shingles are common: those of at least COMMON of them.
 SAMPLE, COMMON = 32, 3
-_WORDS = WordHashes()
 
 
-def shingle_sets(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    words = [_WORDS.of(lower_words(t)) for t in texts]
-    every = np.concatenate([*words, np.empty(0, np.int64)])
+    every, counts = hashed_words(texts)
     sums = window_sums(every, [(1, "1" * width)])[1]
     out, at = [], 0
-    for w in words:
-        n = len(w)
+    for n in counts.tolist():
         if n >= width:
             out.append(np.unique(sums[at : at + n - width + 1]))
         elif n:
-            out.append(window_sums(w, [(1 + n, "1" * n)])[1 + n])
+            out.append(window_sums(every[at : at + n], [(1 + n, "1" * n)])[1 + n])
         else:
             out.append(np.empty(0, np.int64))
         at += n
@@ -72,26 +69,44 @@ def _fingerprint(a: np.ndarray) -> tuple[int, int]:
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*shingle_sets(text_column(b, "text")), np.empty(0, np.int64)]))], names=["key"])
+        for b in pieces(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*shingle_sets(b.column("text")), np.empty(0, np.int64)]))], names=["key"])
 
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).dropDuplicates(["text"]).select("text")
     return bitmap(some.mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= COMMON), "key")
 
 
-SETS = "doc_id long, rid long, n int, hi long, lo long, keys array<long>"
+def sketch(a: np.ndarray) -> bytes:
+    """A bitmap in which each element flips one bit; more bits for larger sets, in powers of two."""
+    bits = 1024 if len(a) < 2048 else 4096 if len(a) < 8192 else 16384 if len(a) < 32768 else 65536
+    flips = np.bincount((_order(a) >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A bound from below of the size of the sets' symmetric difference; the longer bitmap is folded onto the shorter."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) > len(a):
+        b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+SETS = "doc_id long, rid long, n int, hi long, lo long, sketch binary, keys array<long>"
 
 
 def document_sets(docs: DataFrame, common: np.ndarray, share: int) -> DataFrame:
-    """A row of SETS for each document: ``rid`` names it (its doc_id, or a number of its own), ``keys`` are its tiles in order."""
+    """A row of SETS for each document: ``rid`` names it (its doc_id, or a number of its own), ``sketch`` is its bitmap, ``keys`` are its tiles in order."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps, keys, ns = [], [], []
-            for a in shingle_sets(text_column(b, "text")):
+        for b in pieces(batches, "text"):
+            fps, keys, ns, sketches = [], [], [], []
+            for a in shingle_sets(b.column("text")):
                 fps.append(_fingerprint(a))
                 ns.append(len(a))
+                sketches.append(sketch(a) if len(a) else None)
                 k = prefix_length(len(a), share) if len(a) else 0
                 rank = (_order(a) >> np.uint64(1)) | (in_bitmap(shared.value, a).astype(np.uint64) << np.uint64(63))
                 first = np.argpartition(rank, k - 1)[:k] if 0 < k < len(a) else np.arange(k)
@@ -100,84 +115,64 @@ def document_sets(docs: DataFrame, common: np.ndarray, share: int) -> DataFrame:
             rid = [-(abs(f[1]) | 1 << 62) if i is None else i for i, f in zip(ids.to_pylist(), fps)]
             off = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(rid, pa.int64()), pa.array(ns, pa.int32()), pa.array([f[0] for f in fps], pa.int64()), pa.array([f[1] for f in fps], pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))],
-                names=["doc_id", "rid", "n", "hi", "lo", "keys"],
+                [ids, pa.array(rid, pa.int64()), pa.array(ns, pa.int32()), pa.array([f[0] for f in fps], pa.int64()), pa.array([f[1] for f in fps], pa.int64()), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))],
+                names=["doc_id", "rid", "n", "hi", "lo", "sketch", "keys"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
 
 
-def sketch(a: np.ndarray) -> bytes:
-    """A bitmap in which each element flips one bit; more bits for larger sets, in powers of two."""
-    bits = 1024 if len(a) < 2048 else 4096 if len(a) < 8192 else 16384 if len(a) < 32768 else 65536
-    flips = np.bincount((_order(a) >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
-    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` of classes whose sets are similar.
 
+    The bitmaps come with the classes. The arrays of the pairs that they leave are computed again, each from one document of its class.
+    """
 
-def least_difference(x: bytes, y: bytes) -> int:
-    """A bound from below of the size of the sets' symmetric difference; the longer bitmap is folded onto the shorter."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) > len(a):
-        b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
-    return int(np.bitwise_count(a ^ b).sum())
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            most = [(n + m - least_difference(x, y)) // 2 for x, y, n, m in zip(*(b.column(c).to_pylist() for c in ("x", "y", "n", "m")))]
+            keep = [100 * k >= share * (n + m - k) for k, n, m in zip(most, b.column("n").to_pylist(), b.column("m").to_pylist())]
+            yield b.drop_columns(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
+                both = np.concatenate([np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)])
+                both.sort()
+                same = int((both[1:] == both[:-1]).sum())
+                keep.append(100 * same >= share * (len(both) - same))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    ends = classes.select("cid", "hi", "lo", "n", "sketch")
+    named = pairs.join(ends.toDF("a", "hi1", "lo1", "n", "x"), "a").join(ends.toDF("b", "hi2", "lo2", "m", "y"), "b")
+    near = stage(named.select("a", "b", "hi1", "lo1", "hi2", "lo2", "n", "m", "x", "y").mapInArrow(bounded, "a long, b long, hi1 long, lo1 long, hi2 long, lo2 long, n int, m int"), "near")
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(near.select(F.col("a").alias("cid")).union(near.select("b")), "cid"))
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(cid, hi, lo, data); a few classes that weren't asked for may come too, as ``wanted`` is a bitmap of hashes."""
+        for b in pieces(batches, "text"):
+            ids = b.column("doc_id")
+            b = b.filter(pa.array(in_bitmap(wanted.value, ids.fill_null(0).to_numpy()) | ~ids.is_valid().to_numpy(zero_copy_only=False)))
+            sets = shingle_sets(b.column("text"))
+            fps = [_fingerprint(a) for a in sets]
+            ids = b.column("doc_id").to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([-(abs(f[1]) | 1 << 62) if i is None else i for i, f in zip(ids, fps)], pa.int64()), pa.array([f[0] for f in fps], pa.int64()), pa.array([f[1] for f in fps], pa.int64()), pa.array([a.tobytes() for a in sets], pa.binary())],
+                names=["cid", "hi", "lo", "data"],
+            )
 
-def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` of classes whose sets are similar. A set is computed again from one document of its class."""
-
-    def arrays(ids: DataFrame, small: bool) -> DataFrame:
-        """(cid, hi, lo, data); a few classes that weren't asked for may come too, as the bitmap is one of hashes."""
-        wanted = docs.sparkSession.sparkContext.broadcast(bitmap(ids, "cid"))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                b = b.filter(pa.array(in_bitmap(wanted.value, b.column("doc_id").fill_null(0).to_numpy()) | ~b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)))
-                sets = shingle_sets(text_column(b, "text"))
-                fps = [_fingerprint(a) for a in sets]
-                ids = b.column("doc_id").to_pylist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([-(abs(f[1]) | 1 << 62) if i is None else i for i, f in zip(ids, fps)], pa.int64()), pa.array([f[0] for f in fps], pa.int64()), pa.array([f[1] for f in fps], pa.int64()), pa.array([sketch(a) if small else a.tobytes() for a in sets], pa.binary())],
-                    names=["cid", "hi", "lo", "data"],
-                )
-
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "cid long, hi long, lo long, data binary")
-
-    def decide(pairs: DataFrame, small: bool) -> DataFrame:
-        data = stage(arrays(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), small), "pair-data")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keep = []
-                for x, y, n, m in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), b.column("n").to_pylist(), b.column("m").to_pylist()):
-                    if small:
-                        most = (n + m - least_difference(x, y)) // 2
-                    else:
-                        both = np.concatenate([np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)])
-                        both.sort()
-                        most = int((both[1:] == both[:-1]).sum())
-                    keep.append(100 * most >= share * (n + m - most))
-                yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep, pa.bool_())), b.column("b").filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
-
-        # the small columns of the classes first, so that the sets themselves are shuffled once for each end
-        ends = classes.select("cid", "hi", "lo", "n")
-        named = pairs.join(ends.toDF("a", "hi1", "lo1", "n"), "a").join(ends.toDF("b", "hi2", "lo2", "m"), "b")
-        one, two = data.toDF("a", "hi1", "lo1", "x"), data.toDF("b", "hi2", "lo2", "y")
-        out = stage(named.join(one, ["a", "hi1", "lo1"]).join(two, ["b", "hi2", "lo2"]).select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long").distinct(), "decided")
-        discard(data)
-        return out
-
-    near = decide(pairs, True)
-    out = decide(near, False)
-    discard(near)
+    data = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(arrays, "cid long, hi long, lo long, data binary"), "pair-data")
+    one, two = data.toDF("a", "hi1", "lo1", "x"), data.toDF("b", "hi2", "lo2", "y")
+    out = stage(near.join(one, ["a", "hi1", "lo1"]).join(two, ["b", "hi2", "lo2"]).select("a", "b", "x", "y").mapInArrow(decided, "a long, b long").distinct(), "decided")
+    discard(near, data)
     return out
 
 
 def similar_components(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of ``docs(doc_id, text)``."""
     whole = stage(document_sets(docs, common_shingles(docs), share), "sets")
-    keyed = stage(whole.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("first_doc"), F.first("keys").alias("keys")), "keyed-classes")
+    keyed = stage(whole.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("first_doc"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "keyed-classes")
     sets = stage(whole.select("doc_id", "n", "hi", "lo"), "sets")
     discard(whole)
 

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import chat, decontam, jaccard, licenses, packing, pii, quality, queries, token_count, token_files, warc
-from lectern.llm.util import pieces, table
+from lectern.llm.components import components
+from lectern.llm.util import hashed_words, pieces, table
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words long, kept boolean"
@@ -188,3 +189,25 @@ def test_pieces_keep_every_row():
     got = list(pieces(iter([batch.slice(0, 0), batch, batch.slice(3, 2)]), "text", 100))
     assert [x for b in got for x in b.column("text").to_pylist()] == texts + texts[3:5]
     assert all(sum(len((x or "").encode()) for x in b.column("text").to_pylist()[1:]) < 100 for b in got)
+
+
+def test_hashed_words_agree_with_split():
+    rng = random.Random(2)
+    for _ in range(300):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choice("aAbB \n\té\x0bZ ") for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(0, 6))]
+        texts.append("x" * rng.randint(0, 9000) + rng.choice(["", "y"]))
+        h, counts = hashed_words(pa.array(["left out", *texts]).slice(1), rng.randint(1, 3000))
+        flat = [x for t in texts for x in words(t)]
+        assert counts.tolist() == [len(words(t)) for t in texts] and len(h) == len(flat)
+        assert len({*zip(flat, h.tolist())}) == len(set(flat)) == len(set(h.tolist()))
+    assert [len(x) for x in hashed_words(pa.array([], pa.string()))] == [0, 0]
+
+
+def test_components_of_stars_chains_and_nothing(spark):
+    chain = [(i, i + 1) for i in range(40)]
+    star = [(100, k) for k in range(101, 140)]
+    for edges in (chain + star + [(7, 7), (None, 3)], star, [], [(5, 4), (4, 5), (5, 4)]):
+        root = {}
+        for a, b in sorted((min(e), max(e)) for e in edges if None not in e and e[0] != e[1]):
+            root[b] = root[a] = root.get(a, a)
+        assert {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == set(root.items())
