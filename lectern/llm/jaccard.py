@@ -9,8 +9,9 @@
   one of 32 documents and kept as a bitmap of fixed size. Any order gives the same links: this one decides the cost alone.
 * Pairs are first bounded by hashed bitmaps in which each shingle flips one bit: the sets differ in at least as many
   shingles as the bitmaps differ in bits. What passes is decided by intersecting the sorted arrays.
-* Groups of thousands of near copies aren't expanded: two rounds compare each set with the smallest of its size band in
-  a tile, then with its neighbour in size, and join what links; then all pairs in tiles that still lie in different components are compared.
+* Groups of thousands of near copies aren't expanded: rounds compare each set with the smallest of its size band in a
+  tile, with its neighbour in size, then twice with a nearest set of another component that its bitmap leaves, and join
+  what links; then all pairs in tiles that still lie in different components are compared.
   A pair left out is already connected, so no link between components is lost.
 
 Nulls: a null text, or one without words, has an empty set and links with nothing; a null doc_id takes part and its
@@ -184,9 +185,9 @@ def similar_components(docs: DataFrame, share: int = SHARE) -> DataFrame:
     discard(keyed)
 
     roots = None
-    for meet in (_heads, _chain, _all_pairs):
+    for meet in (_heads, _chain, _scouts, _scouts, _all_pairs):
         rows = tiles.withColumn("root", F.col("cid")) if roots is None else tiles.join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        links = linked(stage(meet(rows, share), "pairs"), docs, classes, share)
+        links = linked(stage(meet(rows, share, classes), "pairs"), docs, classes, share)
         if roots is None:
             roots = stage(components(links), "roots")
             continue
@@ -231,48 +232,71 @@ def _met(rows: DataFrame, other) -> DataFrame:
     return near.select(F.col("cid").alias("b"), F.col("p.cid").alias("a"), F.col("p.n").alias("n"), F.col("p.pos").alias("pos"), F.col("n").alias("m"), F.col("pos").alias("pos2"))
 
 
-def _heads(rows: DataFrame, share: int) -> DataFrame:
+def _heads(rows: DataFrame, share: int, classes: DataFrame) -> DataFrame:
     """Each set with the smallest of its size band in a tile: groups of copies become stars, which settle in few rounds."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / share)))
     tile = Window.partitionBy("key", band).orderBy("n", "cid").rowsBetween(Window.unboundedPreceding, 0)
     return _nearest(_met(rows, F.first(F.struct("cid", "n", "pos", "root")).over(tile)), share)
 
 
-def _chain(rows: DataFrame, share: int) -> DataFrame:
+def _chain(rows: DataFrame, share: int, classes: DataFrame) -> DataFrame:
     """Each set with the neighbour, next smaller in a tile and of another component, with which it shares most tiles."""
     tile = Window.partitionBy("key").orderBy("n", "cid")
     return _nearest(_met(rows, F.lag(F.struct("cid", "n", "pos", "root")).over(tile)), share)
 
 
-def _all_pairs(rows: DataFrame, share: int) -> DataFrame:
-    """All pairs of different components that meet in a tile.
+def _scouts(rows: DataFrame, share: int, classes: DataFrame) -> DataFrame:
+    """Each set with one of the nearest smaller sets of other components that its bitmap leaves: at most a pair for each set, most of them links."""
+    counted = _all_pairs(rows, share, classes, nearest=True).groupBy("a", "b").count()
+    return counted.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
+
+
+def _all_pairs(rows: DataFrame, share: int, classes: DataFrame, nearest: bool = False) -> DataFrame:
+    """All pairs of different components that meet in a tile and that their bitmaps leave; or of each set's the nearest in the tile alone.
 
     Tiles of one component drop out first: they are the many and the large ones. In the others a set meets those of its
-    size band alone, row by row of a sorted stream.
+    size band alone, row by row of a sorted stream; a pair is emitted only where the bit counts allow enough overlap. A
+    tile's bitmaps are folded onto the length of its first, which can only weaken the bound.
     """
     mixed = rows.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
-    rows = rows.join(mixed, "key").repartition("key").sortWithinPartitions("key", "n", "cid")
+    rows = rows.join(mixed, "key").join(classes.select("cid", "sketch"), "cid").repartition("key").sortWithinPartitions("key", "n", "cid")
+
+    def folded(sketches: list[bytes], like: np.ndarray | None) -> np.ndarray:
+        words = [np.frombuffer(x, np.uint64) for x in sketches]
+        width = min([like.shape[1] if like is not None else 1 << 30, *(len(x) for x in words)])
+        return np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in words])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, np.empty((0, 4), dtype=np.int64)  # cid, n, pos, root of the sets of this tile that may still fit
+        key, held, bits = None, np.empty((0, 4), dtype=np.int64), None  # cid, n, pos, root and bitmaps of the sets of this tile that may still fit
         for b in batches:
             cols = [b.column(c).to_numpy().astype(np.int64) for c in ("key", "cid", "n", "pos", "root")]
+            sketches = b.column("sketch").to_pylist()
             out: list[np.ndarray] = []
             for at in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(cols[0])) + 1):
                 if not len(at):
                     continue
                 k, own = int(cols[0][at[0]]), np.stack([c[at] for c in cols[1:]], axis=1)
                 if k != key:
-                    key, held = k, own[:0]
-                for x in own:
-                    held = held[100 * held[:, 1] >= share * x[1]] if len(held) and 100 * held[0, 1] < share * x[1] else held
-                    need = -(-share * (held[:, 1] + x[1]) // (100 + share))
-                    fit = (held[:, 3] != x[3]) & (np.minimum(held[:, 1] - held[:, 2], x[1] - x[2]) >= need)
-                    if fit.any():
-                        mine = held[fit, 0]
-                        out.append(np.stack([np.minimum(mine, x[0]), np.maximum(mine, x[0])], axis=1))
-                    held = np.concatenate([held, x[None]])
-            both = np.unique(np.concatenate([*out, np.empty((0, 2), np.int64)]), axis=0)
+                    key, held, bits = k, own[:0], None
+                fold = folded([sketches[i] for i in at], bits)
+                bits = fold if bits is None else np.concatenate([bits, fold])
+                low, first = 0, len(held)
+                held = np.concatenate([held, own])
+                for i in range(first, len(held)):
+                    x = held[i]
+                    low += int(np.searchsorted(100 * held[low:i, 1], share * x[1]))
+                    near = held[low:i]
+                    need = -(-share * (near[:, 1] + x[1]) // (100 + share))
+                    fit = np.flatnonzero((near[:, 3] != x[3]) & (np.minimum(near[:, 1] - near[:, 2], x[1] - x[2]) >= need))
+                    if len(fit):
+                        differ = np.bitwise_count(bits[low + fit] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                        mine = near[fit[(near[fit, 1] + x[1] - differ) // 2 >= need[fit]], 0]
+                        mine, b_id = (mine[-1:], mine[-1:] * 0 + x[0]) if nearest else (np.minimum(mine, x[0]), np.maximum(mine, x[0]))
+                        out.append(np.stack([mine, b_id], axis=1))
+                held, bits = held[low:], bits[low:]
+            both = np.concatenate([*out, np.empty((0, 2), np.int64)])
+            both = both if nearest else np.unique(both, axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["a", "b"])
 
-    return rows.select("key", "cid", "n", "pos", "root").mapInArrow(run, "a long, b long").distinct()
+    pairs = rows.select("key", "cid", "n", "pos", "root", "sketch").mapInArrow(run, "a long, b long")
+    return pairs if nearest else pairs.distinct()
