@@ -158,6 +158,50 @@ def test_decontamination(spark, odd, empty):
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(odd, bench.limit(0)).count() == 0
 
 
+def fewest_substitutions(masks, longest):
+    """For each length up to ``longest``, the fewest substitutions that leave no window agreeing under a mask, over all patterns."""
+    keep = max(map(len, masks)) - 1
+    fewest, out = {(1,) * keep: 0}, [0]
+    for _ in range(longest):
+        then = {}
+        for last, n in fewest.items():
+            for bit in (0, 1):
+                window = (*last, bit)
+                if all(any(b and c == "1" for b, c in zip(window[-len(m) :], m)) for m in masks):
+                    then[window[1:]] = min(n + bit, then.get(window[1:], longest))
+        fewest = then
+        out.append(min(fewest.values()))
+    return out
+
+
+def test_decontamination_masks_cover_every_pattern():
+    fewest = fewest_substitutions(decontam.MASKS, 2 * decontam.LEAST - 1)
+    assert all(100 * fewest[n] > (100 - decontam.SHARE) * n for n in range(decontam.SPAN, len(fewest)))
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(8)
+    items = [[f"i{k}w{i}" for i in range(n)] for k, n in enumerate([12, 13, 15, 17, 19, 20, 20, 25, 30, 45])]
+    rows, want = [], set()
+
+    def add(k, lost):
+        t = [f"s{len(rows)}x{i}" if i in lost else x for i, x in enumerate(items[k])]
+        n, least = len(t), min(20, len(t))
+        if any(100 * sum(x not in lost for x in range(i, j)) >= 80 * (j - i) for i in range(n) for j in range(i + least, n + 1)):
+            want.add(len(rows))
+        rows.append((len(rows), " ".join(["before", *t, "after"]), "en", "s", 1, 1, True))
+
+    for k, item in enumerate(items):
+        for first in range(5):
+            add(k, set(range(first, len(item), 5)))
+        for p in range(len(item)):
+            add(k, {p})
+        for _ in range(30):
+            add(k, set(rng.sample(range(len(item)), rng.randint(2, len(item) // 5 + 1))))
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    assert {r.doc_id for r in decontam.contaminated(spark.createDataFrame(rows, DOCS), bench).collect()} == want
+
+
 def test_chat_round_trip(spark):
     texts = ["</s>[INST] ok [/INST]", "<\\s> [\\\\:] [:]", "", None, "plain", "<<s>>[[INST]", "a\\"]
     rows = [(k, i, r, t) for k, (r, t) in enumerate(itertools.product(["user", "assistant", "[:]", None], texts)) for i in range(2)]
