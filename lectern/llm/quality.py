@@ -2,9 +2,9 @@
 
 Lines are normalised (words joined by one blank, A-Z lower-cased) and hashed. Per host (the ``source`` column) each
 line's distinct documents are counted, exact copies of a text counting once, so that copying a document does not turn
-its own lines into boilerplate. Lines of at most ``max_words`` words in more than ``limit`` documents of a host are
-removed from all of that host's documents; longer lines are passages, which the near-duplicate operators judge. A document is rejected when its base rules fail, or when it is depleted:
-fewer than ``keep_share`` per cent of its words stay.
+its own lines into boilerplate. Lines of any length in more than ``limit`` documents of a host are removed from all of
+that host's documents; a caller may spare those of more than ``max_words`` words. A document is rejected when its base
+rules fail, or when it is depleted: fewer than ``keep_share`` per cent of its words stay.
 
 Nulls: a null text has no words and fails the base rules; null hosts are one host; a null doc_id stays null. Repeated
 rows are judged each, with the same verdict. An empty table gives no row. Other columns are kept by ``clean`` and not
@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .util import lower_words, stage, text_column
 
-LIMIT, MAX_WORDS, KEEP_SHARE = 20, 30, 50
+LIMIT, KEEP_SHARE = 20, 50
+#: Read by the check's SQL alone, which still spares longer lines; the operator has no such bound.
+MAX_WORDS = 30
 #: Frequent lines that may be broadcast (8 bytes each); beyond it they are joined.
 BROADCAST = 1_000_000
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -32,14 +34,14 @@ WHITE = "\t\n\x0b\x0c\r "
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 
 
-def line_keys(text: str, host: str | None, max_words: int) -> list[tuple[int, int, str]]:
-    """(key, words, line) of each line that has words; key is 0 for lines too long to be boilerplate."""
+def line_keys(text: str, host: str | None, max_words: int | None) -> list[tuple[int, int, str]]:
+    """(key, words, line) of each line that has words; key is 0 for lines of more than ``max_words`` words, if it is given."""
     seed = 42 if host is None else xxhash.xxh64_intdigest(host.encode(), seed=42)
     out = []
     for line in text.split("\n"):
         w = lower_words(line)
         if w:
-            out.append((xxhash.xxh64_intdigest(b" ".join(w), seed=seed) if len(w) <= max_words else 0, len(w), line))
+            out.append((xxhash.xxh64_intdigest(b" ".join(w), seed=seed) if max_words is None or len(w) <= max_words else 0, len(w), line))
     return out
 
 
@@ -63,7 +65,7 @@ def _signed(keys) -> np.ndarray:
     return np.array(keys, dtype=np.uint64).view(np.int64)
 
 
-def frequent_lines(docs: DataFrame, limit: int = LIMIT, max_words: int = MAX_WORDS) -> DataFrame:
+def frequent_lines(docs: DataFrame, limit: int = LIMIT, max_words: int | None = None) -> DataFrame:
     """(line_key): lines in more than ``limit`` distinct documents of a host. The hash of a line includes its host.
 
     Two steps, so that a line of a third of all documents is spread: distinct (line, document) first, then counts with
@@ -81,7 +83,7 @@ def frequent_lines(docs: DataFrame, limit: int = LIMIT, max_words: int = MAX_WOR
     return lines.distinct().groupBy("line_key").count().where(F.col("count") > limit).select("line_key")
 
 
-def _judged(docs: DataFrame, columns: list[str], frequent: DataFrame, limit: int, max_words: int, keep_share: int, with_text: bool) -> DataFrame:
+def _judged(docs: DataFrame, columns: list[str], frequent: DataFrame, limit: int, max_words: int | None, keep_share: int, with_text: bool) -> DataFrame:
     """The columns of ``docs`` that are named, with METRICS, ``n_removed_words``, ``kept`` and, if asked, ``cleaned``."""
     spark = docs.sparkSession
     few = frequent.limit(BROADCAST + 1).count() <= BROADCAST
@@ -119,7 +121,7 @@ def _judged(docs: DataFrame, columns: list[str], frequent: DataFrame, limit: int
     return rows.mapInArrow(run, schema)
 
 
-def _with_gone(rows: DataFrame, frequent: DataFrame, max_words: int) -> DataFrame:
+def _with_gone(rows: DataFrame, frequent: DataFrame, max_words: int | None) -> DataFrame:
     """Beyond the broadcast bound: each text's frequent lines by a join on the line, then on the text's hash."""
     keyed = rows.withColumn("__fp", F.xxhash64("__text", "__host"))
 
@@ -132,14 +134,14 @@ def _with_gone(rows: DataFrame, frequent: DataFrame, max_words: int) -> DataFram
     return keyed.join(gone, "__fp", "left").drop("__fp")
 
 
-def judge(docs: DataFrame, limit: int = LIMIT, max_words: int = MAX_WORDS, keep_share: int = KEEP_SHARE) -> DataFrame:
+def judge(docs: DataFrame, limit: int = LIMIT, max_words: int | None = None, keep_share: int = KEEP_SHARE) -> DataFrame:
     """(doc_id, METRICS, n_removed_words, kept), a row for each of ``docs(doc_id, text, source)``."""
     frequent = stage(frequent_lines(docs, limit, max_words), "frequent-lines")
     out = _judged(docs, ["doc_id"], frequent, limit, max_words, keep_share, False)
     return out.toDF(*[c.removeprefix("__") for c in out.columns])
 
 
-def clean(docs: DataFrame, limit: int = LIMIT, max_words: int = MAX_WORDS, keep_share: int = KEEP_SHARE) -> DataFrame:
+def clean(docs: DataFrame, limit: int = LIMIT, max_words: int | None = None, keep_share: int = KEEP_SHARE) -> DataFrame:
     """The documents kept, with all their columns, frequent lines removed from ``text``."""
     frequent = stage(frequent_lines(docs, limit, max_words), "frequent-lines")
     out = _judged(docs, [c for c in docs.columns if c != "text"], frequent, limit, max_words, keep_share, True).where("__kept")
