@@ -125,6 +125,17 @@ def test_pii_is_one_to_one_and_linked(spark, odd, empty):
     assert sorted(map(str, pii.pseudonymise(odd, b"k", counts=False).collect())) == sorted(map(str, odd.collect()))
 
 
+@pytest.mark.parametrize("kind, value", [
+    ("card", "4 0 4 1 8 9 4 9 7 4 6 0 8 7 9 5"), ("card", "4-0-4-1-8-9-4-9-7-4-6-0-8-7-9-5"), ("iban", "ES9121000418450200051332"), ("phone", "+1 212 555 0123"), ("ssn", "123-45-6789"),
+    ("ip", "8.8.8.8"), ("ip", "1.1.1.1"), ("date", "1/2/1999"), ("email", "ann@example.org"), ("secret", "password=swordfish"),
+])
+def test_pii_each_kind_alone_in_a_text(kind, value):
+    p = pii.Pseudonyms(b"k")
+    text, counts = p.text(f"ask {value}, or")
+    assert value not in text and counts == [int(k == kind) for k in pii.KINDS]
+    assert p.text(f"ask {value}, or 10 others")[0] == text + " 10 others"
+
+
 def brute_components(docs):
     sets = []
     for i, t in docs:
