@@ -4,7 +4,7 @@ Equal values get equal pseudonyms in every document, as the permutation depends
 alone; no table of values is kept or shuffled. Values are validated before they are touched:
 
 * payment cards: 13 to 19 digits with a right Luhn digit; all digits but the last are permuted, the last is recomputed
-* IBANs: right check digits; digits and letters of the account are permuted in their class, check digits recomputed
+* IBANs: right check digits, without words that follow and could be groups; digits and letters of the account are permuted in their class, check digits recomputed
 * telephone numbers (+1 and ten digits with valid area and exchange codes; other +country numbers by digit)
 * social security numbers with valid areas; IPv4 addresses with octets up to 255
 * dates (year-month-day, day.month.year, day/month/year) that exist, 1900 to 2099: permuted as day numbers
@@ -46,6 +46,11 @@ PATTERN = re.compile(
 )
 #: A text without these holds none of the kinds: an address has an @, a secret a mark after its name, all others a digit.
 HINT = re.compile(r"\d|@|[:=]")
+#: Characters of an IBAN by country. The public register.
+IBAN_LENGTHS = {k[:2]: int(k[2:]) for k in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 "
+    "KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()}
 
 
 class Feistel:
@@ -116,6 +121,13 @@ def iban_checks(country: str, account: str) -> str:
     return f"{98 - number % 97:02d}"
 
 
+def iban_endings(s: str) -> list[int]:
+    """Where an IBAN at the beginning of a match may end, as words after it can look like its groups: at the length of its country first, then the longest first."""
+    ends = [k for k in range(len(s), 0, -1) if (k == len(s) or s[k] == " ") and k - s.count(" ", 0, k) >= 12]
+    own = IBAN_LENGTHS.get(s[:2].upper())
+    return sorted(ends, key=lambda k: k - s.count(" ", 0, k) != own)
+
+
 class Pseudonyms:
     def __init__(self, key: bytes):
         self.f = Feistel(key)
@@ -187,19 +199,32 @@ class Pseudonyms:
         if not text or not HINT.search(text):
             return text, counts
 
-        def one(m: re.Match) -> str:
+        def one(m: re.Match) -> tuple[str, int]:
+            """What replaces the text from the beginning of the match on, and up to where."""
             kind = m.lastgroup if m.lastgroup != "value" else "secret"
+            if kind == "iban":
+                for k in iban_endings(m[0]):
+                    new = self.value(kind, m[0][:k])
+                    if new is not None:
+                        counts[KINDS.index(kind)] += 1
+                        return new, m.start() + k
+                return m[0][0], m.start() + 1  # other kinds may begin inside
             s = m["value"] if kind == "secret" else m[0]
             new = self.value(kind, s)
-            if new is None and kind in ("phone", "ssn", "date", "iban"):  # perhaps a card in another spelling
+            if new is None and kind in ("phone", "ssn", "date"):  # perhaps a card in another spelling
                 n = "".join(c for c in s if c in DIGITS)
-                kind, new = ("card", self.value("card", s)) if 13 <= len(n) <= 19 and kind != "iban" else (kind, None)
+                kind, new = ("card", self.value("card", s)) if 13 <= len(n) <= 19 else (kind, None)
             if new is None:
-                return m[0]
+                return m[0], m.end()
             counts[KINDS.index(kind)] += 1
-            return m[0][: m.start("value") - m.start()] + new + m[0][m.end("value") - m.start() :] if kind == "secret" else new
-
-        return PATTERN.sub(one, text), counts
+            return m[0][: m.start("value") - m.start()] + new + m[0][m.end("value") - m.start() :] if kind == "secret" else new, m.end()
+
+        out, at = [], 0
+        while m := PATTERN.search(text, at):
+            new, end = one(m)
+            out += text[at : m.start()], new
+            at = end
+        return "".join(out) + text[at:], counts
 
 
 _LOADED: dict[bytes, Pseudonyms] = {}

@@ -136,6 +136,20 @@ def test_pii_each_kind_alone_in_a_text(kind, value):
     assert p.text(f"ask {value}, or 10 others")[0] == text + " 10 others"
 
 
+def test_pii_iban_before_words():
+    p = pii.Pseudonyms(b"k")
+    for iban in ("ES91 2100 0418 4502 0005 1332", "AT611904300234573201", "BE68 5390 0754 7034", "SE45 5000 0000 0583 9825 7466", "de89 3704 0044 0532 0130 00", "NO9386011117947"):
+        alone = p.text(iban)[0]
+        assert alone != iban and pii.iban_checks(alone[:2], alone.replace(" ", "")[4:]) == alone.replace(" ", "")[2:4]
+        for after in (" and", " now", " from here", " hello there", ", then", " a b"):
+            assert p.text(f"pay {iban}{after}") == (f"pay {alone}{after}", [0, 1, 0, 0, 0, 0, 0, 0])
+        both, counts = p.text(f"{iban} 4041 8949 7460 8795")
+        assert both == f"{alone} {p.text('4041 8949 7460 8795')[0]}" and counts[:2] == [1, 1]
+    wrong = "ES92 2100 0418 4502 0005 1332 and"
+    assert p.text(wrong) == (wrong, [0] * 8)
+    assert p.text("AB12 4041 8949 7460 8795")[1][:2] == [1, 0]
+
+
 def brute_components(docs):
     sets = []
     for i, t in docs:
