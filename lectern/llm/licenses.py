@@ -60,9 +60,9 @@ FAMILIES = {
     "cc-by-sa": ("cc-by-sa", r"(?:cc|creative\s+commons)[\s-]+(?:by|attribution)[\s-]+(?:sa|sharealike|share-alike)", ("2.0", "2.5", "3.0", "4.0"), "creativecommons.org/licenses/by-sa"),
     "cc-by": ("cc-by", r"(?:cc|creative\s+commons)[\s-]+(?:by|attribution)", ("2.0", "2.5", "3.0", "4.0"), "creativecommons.org/licenses/by/"),
 }
-#: Words of a name by which its rules are gated. Fixed values, read with FAMILIES.
+#: Words of a name by which its rules are gated, single ones, as blanks of a text may be wrapped. Fixed values, read with FAMILIES.
 GATES = {
-    "agpl": "affero", "lgpl": "general", "gpl": "general", "gfdl": "documentation", "apache": "apache", "mit": "mit\texpat\tx11", "bsd": "bsd", "mpl": "mozilla", "epl": "eclipse", "cddl": "common development",
+    "agpl": "affero", "lgpl": "general", "gpl": "general", "gfdl": "documentation", "apache": "apache", "mit": "mit\texpat\tx11", "bsd": "bsd", "mpl": "mozilla", "epl": "eclipse", "cddl": "development",
     "cpl": "common", "eupl": "european", "isc": "isc", "zlib": "zlib", "artistic": "artistic", "boost": "boost", "unlicense": "unlicense", "wtfpl": "fuck", "ofl": "font", "odbl": "database", "python": "python", "cc0": "cc0\tzero",
 }
 #: Statements without a family: label, pattern, keyword, score.

@@ -115,6 +115,28 @@ def test_licenses(spark, odd, empty):
     assert all(not (a["begin"] <= b["begin"] and b["end"] <= a["end"]) for a, b in itertools.permutations(spans, 2))
 
 
+def test_licenses_rules_fire_when_wrapped():
+    names = {
+        "agpl": "gnu affero general public license", "lgpl": "lesser general public license", "gpl": "general public license", "gfdl": "free documentation license", "apache": "apache software license", "mit": "mit license",
+        "bsd": "bsd license", "mpl": "mozilla public license", "epl": "eclipse public license", "cddl": "Common Development and Distribution License", "cpl": "common public license", "eupl": "european union public licence",
+        "isc": "isc license", "zlib": "zlib license", "artistic": "artistic license", "boost": "boost software license", "unlicense": "the unlicense", "wtfpl": "do what the fuck you want to public license",
+        "ofl": "sil open font license", "odbl": "open data commons open database license", "python": "python software foundation license", "cc0": "creative commons zero",
+        "cc-by-nc-nd": "creative commons attribution noncommercial noderivatives", "cc-by-nc-sa": "creative commons attribution noncommercial sharealike", "cc-by-nc": "creative commons attribution noncommercial",
+        "cc-by-nd": "creative commons attribution noderivatives", "cc-by-sa": "creative commons attribution sharealike", "cc-by": "creative commons attribution",
+    }
+    plain = {
+        "all-rights-reserved": "all rights reserved", "public-domain": "placed in the public domain", "copyright": "copyright 2024", "proprietary": "proprietary and confidential",
+        "permissive-grant": "permission is hereby granted, free of charge", "redistribution": "redistribution and use in source and binary forms", "as-is": "provided as is without warranty",
+    }
+    assert set(names) == set(licenses.FAMILIES) and set(plain) == {x[0] for x in licenses.PLAIN}
+    s = licenses.Scanner()
+    texts = {(k, f): t for k, t in names.items() for f, t in (("name", t), ("grant", f"licensed under the {t}"), *((v, f"{t} version {v}") for v in licenses.FAMILIES[k][2]))} | {(k, ""): t for k, t in plain.items()}
+    for (label, form), text in texts.items():
+        for blank in (" ", "\n", "  ", "\r\n"):
+            want = f"{label}-{form}" if form[-1:].isdigit() or form.endswith("-clause") else label
+            assert want in s.scan("x " + text.replace(" ", blank) + " y")[5].split(","), (want, text, blank)
+
+
 def test_pii_is_one_to_one_and_linked(spark, odd, empty):
     p = pii.Pseudonyms(b"k")
     assert sorted(p.f.permute("t", 1000, i) for i in range(1000)) == list(range(1000))
