@@ -9,14 +9,19 @@
   one of 32 documents and kept as a bitmap of fixed size. Any order gives the same links: this one decides the cost alone.
 * Pairs are first bounded by hashed bitmaps in which each shingle flips one bit: the sets differ in at least as many
   shingles as the bitmaps differ in bits. What passes is decided by intersecting the sorted arrays.
-* Groups of thousands of near copies aren't expanded: rounds compare each set with the smallest of its size band in a
-  tile, with its neighbour in size, then twice with a nearest set of another component that its bitmap leaves, and join
-  what links; then all pairs in tiles that still lie in different components are compared.
-  A pair left out is already connected, so no link between components is lost.
+* Groups of thousands of near copies aren't expanded. First each set is compared with the smallest of its size band and
+  with its neighbour in size, of the tiles it shares most of with them, and what links is joined. Then tiles that still
+  hold several components are gone through: a set there meets all smaller ones of other components that its bitmap
+  leaves, or, where these are more than FEW, the nearest alone, and its tile stays open. Open tiles are gone through
+  again with the components of that time, the last time without a bound. A pair left out is already connected, so no
+  link between components is lost.
+* A tile of a common shingle is dealt over SALTS parts to find neighbours, and compared in cells of about CELL sets a
+  side, so that no task holds the tile of a shingle that a third of the documents share.
 
 Nulls: a null text, or one without words, has an empty set and links with nothing; a null doc_id takes part and its
-component is the smallest doc_id it reaches, else null. Repeated rows are equal sets, so they link. Texts of fewer than
-five words are one shingle. An empty table gives no row. Other columns are not read.
+component is the smallest doc_id it reaches, else null. Repeated rows are equal sets, so they link. Rows that share a
+doc_id but not a text are sets of their own: each has the component that its text reaches, and none joins another's.
+Texts of fewer than five words are one shingle. An empty table gives no row. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,11 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
-from .util import bitmap, discard, hashed_words, in_bitmap, pieces, stage, window_sums
+from .util import bitmap, discard, hashed_words, in_bitmap, pieces, stage, unused, window_sums
 
 WIDTH, SHARE = 5, 80
 #: One of SAMPLE documents shows which shingles are common: those of at least COMMON of them.
 SAMPLE, COMMON = 32, 3
+#: Partners of other components that a set meets in a tile before its tile is left open; sets a side of a cell; parts of a common tile.
+FEW, CELL, SALTS = 8, 2048, 64
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
@@ -84,26 +91,54 @@ def sketch(a: np.ndarray) -> bytes:
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
 
 
-def least_difference(x: bytes, y: bytes) -> int:
-    """A bound from below of the size of the sets' symmetric difference; the longer bitmap is folded onto the shorter."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) > len(a):
-        b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
-    return int(np.bitwise_count(a ^ b).sum())
+def words_of(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their bitmaps as 64-bit words) of each length of bitmap in a binary column."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32, len(column) + 1, column.offset * 4) // 8
+    flat, lengths = np.frombuffer(data, np.uint64, at[-1]) if len(column) else np.empty(0, np.uint64), np.diff(at)
+    return [(rows, flat[at[rows][:, None] + np.arange(w)]) for w in np.unique(lengths).tolist() for rows in [np.flatnonzero(lengths == w)]]
 
 
-SETS = "doc_id long, rid long, n int, hi long, lo long, sketch binary, keys array<long>"
+class Bitmaps:
+    """The bitmaps of a batch; pairs of rows are bounded at once, the longer bitmap of a pair folded onto the shorter."""
+
+    def __init__(self, column: pa.Array):
+        self.words, self.kind, self.slot = [], np.zeros(len(column), np.int8), np.zeros(len(column), np.int64)
+        for k, (rows, words) in enumerate(words_of(column)):
+            self.words.append(words)
+            self.kind[rows], self.slot[rows] = k, np.arange(len(rows))
+
+    def least_difference(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bounds from below of the sizes of the symmetric differences of the sets of rows i and j."""
+        out = np.zeros(len(i), np.int64)
+        kinds = self.kind[i].astype(np.int64) * len(self.words) + self.kind[j]
+        for k in np.unique(kinds).tolist():
+            own = np.flatnonzero(kinds == k)
+            a, b = self.words[k // len(self.words)], self.words[k % len(self.words)]
+            w = min(a.shape[1], b.shape[1])
+            step = max(1, (1 << 20) // max(a.shape[1], b.shape[1]))  # bounded memory, however many pairs
+            for low in range(0, len(own), step):
+                some = own[low : low + step]
+                x, y = (m[self.slot[r[some]]].reshape(len(some), -1, w) for m, r in ((a, i), (b, j)))
+                out[some] = np.bitwise_count(np.bitwise_xor.reduce(x, axis=1) ^ np.bitwise_xor.reduce(y, axis=1)).sum(axis=1, dtype=np.int64)
+        return out
+
+
+SETS = "doc_id long, rep long, n int, hi long, lo long, sketch binary, keys array<long>, rare int"
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, rep): ``rep`` stands for the row where one document of a class is read again."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("rep", F.xxhash64("doc_id", "text"))
 
 
 def document_sets(docs: DataFrame, common: np.ndarray, share: int) -> DataFrame:
-    """A row of SETS for each document: ``rid`` names it (its doc_id, or a number of its own), ``sketch`` is its bitmap, ``keys`` are its tiles in order."""
+    """A row of SETS for each document: ``sketch`` is its bitmap, ``keys`` are its tiles in order, the first ``rare`` of them not common."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            fps, keys, ns, sketches = [], [], [], []
+            fps, keys, ns, sketches, rare = [], [], [], [], []
             for a in shingle_sets(b.column("text")):
                 fps.append(_fingerprint(a))
                 ns.append(len(a))
@@ -111,92 +146,95 @@ def document_sets(docs: DataFrame, common: np.ndarray, share: int) -> DataFrame:
                 k = prefix_length(len(a), share) if len(a) else 0
                 rank = (_order(a) >> np.uint64(1)) | (in_bitmap(shared.value, a).astype(np.uint64) << np.uint64(63))
                 first = np.argpartition(rank, k - 1)[:k] if 0 < k < len(a) else np.arange(k)
-                keys.append(a[first[np.argsort(rank[first], kind="stable")]])
-            ids = b.column("doc_id")
-            rid = [-(abs(f[1]) | 1 << 62) if i is None else i for i, f in zip(ids.to_pylist(), fps)]
+                first = first[np.argsort(rank[first], kind="stable")]
+                keys.append(a[first])
+                rare.append(int((rank[first] >> np.uint64(63) == 0).sum()))
             off = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(rid, pa.int64()), pa.array(ns, pa.int32()), pa.array([f[0] for f in fps], pa.int64()), pa.array([f[1] for f in fps], pa.int64()), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))],
-                names=["doc_id", "rid", "n", "hi", "lo", "sketch", "keys"],
-            )
+            tiles = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
+            own = [pa.array(x, t) for x, t in ((ns, pa.int32()), ([f[0] for f in fps], pa.int64()), ([f[1] for f in fps], pa.int64()), (sketches, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rep"), *own, tiles, pa.array(rare, pa.int32())], names=[x.split()[0] for x in SETS.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
+    return _rows(docs).mapInArrow(run, SETS)
 
 
-def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` of classes whose sets are similar.
+def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, share: int, bounded: bool) -> DataFrame:
+    """Those of ``pairs(a, b)`` of classes whose sets are similar; ``bounded`` says that their bitmaps were compared already.
 
-    The bitmaps come with the classes. The arrays of the pairs that they leave are computed again, each from one document of its class.
+    The arrays of the pairs that the bitmaps leave are computed again, each from one document of its class.
     """
 
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            most = [(n + m - least_difference(x, y)) // 2 for x, y, n, m in zip(*(b.column(c).to_pylist() for c in ("x", "y", "n", "m")))]
-            keep = [100 * k >= share * (n + m - k) for k, n, m in zip(most, b.column("n").to_pylist(), b.column("m").to_pylist())]
-            yield b.drop_columns(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+            both = Bitmaps(pa.concat_arrays([b.column("x"), b.column("y")]))
+            n, m, at = (*(b.column(c).to_numpy().astype(np.int64) for c in "nm"), np.arange(b.num_rows))
+            most = (n + m - both.least_difference(at, at + b.num_rows)) // 2
+            yield b.select(["a", "b"]).filter(pa.array(100 * most >= share * (n + m - most)))
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
-                both = np.concatenate([np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)])
+            for x, y in zip(b.column("x"), b.column("y")):
+                both = np.concatenate([np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)])
                 both.sort()
                 same = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * same >= share * (len(both) - same))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ends = classes.select("cid", "hi", "lo", "n", "sketch")
-    named = pairs.join(ends.toDF("a", "hi1", "lo1", "n", "x"), "a").join(ends.toDF("b", "hi2", "lo2", "m", "y"), "b")
-    near = stage(named.select("a", "b", "hi1", "lo1", "hi2", "lo2", "n", "m", "x", "y").mapInArrow(bounded, "a long, b long, hi1 long, lo1 long, hi2 long, lo2 long, n int, m int"), "near")
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(near.select(F.col("a").alias("cid")).union(near.select("b")), "cid"))
+    ends, rest = classes.select("cid", "n", "sketch"), pairs
+    if not bounded:
+        both = pairs.join(ends.toDF("a", "n", "x"), "a").join(ends.toDF("b", "m", "y"), "b")
+        rest = pairs = stage(both.select("a", "b", "n", "m", "x", "y").mapInArrow(bound, "a long, b long"), "near")
+    of = classes.select("cid", "hi", "lo", "rep")
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(of, "cid"), "rep"))
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(cid, hi, lo, data); a few classes that weren't asked for may come too, as ``wanted`` is a bitmap of hashes."""
+        """(hi, lo, data); a few classes that weren't asked for may come too, as ``wanted`` is a bitmap of hashes."""
         for b in pieces(batches, "text"):
-            ids = b.column("doc_id")
-            b = b.filter(pa.array(in_bitmap(wanted.value, ids.fill_null(0).to_numpy()) | ~ids.is_valid().to_numpy(zero_copy_only=False)))
+            b = b.filter(pa.array(in_bitmap(wanted.value, b.column("rep").to_numpy())))
             sets = shingle_sets(b.column("text"))
             fps = [_fingerprint(a) for a in sets]
-            ids = b.column("doc_id").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([-(abs(f[1]) | 1 << 62) if i is None else i for i, f in zip(ids, fps)], pa.int64()), pa.array([f[0] for f in fps], pa.int64()), pa.array([f[1] for f in fps], pa.int64()), pa.array([a.tobytes() for a in sets], pa.binary())],
-                names=["cid", "hi", "lo", "data"],
-            )
-
-    data = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(arrays, "cid long, hi long, lo long, data binary"), "pair-data")
-    one, two = data.toDF("a", "hi1", "lo1", "x"), data.toDF("b", "hi2", "lo2", "y")
-    out = stage(near.join(one, ["a", "hi1", "lo1"]).join(two, ["b", "hi2", "lo2"]).select("a", "b", "x", "y").mapInArrow(decided, "a long, b long").distinct(), "decided")
-    discard(near, data)
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in fps], pa.int64()), pa.array([f[1] for f in fps], pa.int64()), pa.array([a.tobytes() for a in sets], pa.binary())], names=["hi", "lo", "data"])
+
+    data = stage(_rows(docs).mapInArrow(arrays, "hi long, lo long, data binary"), "pair-data")
+    if not data.groupBy("hi", "lo").count().where("count > 1").isEmpty():  # rows with the same doc_id and text
+        data, twice = stage(data.dropDuplicates(["hi", "lo"]), "pair-data"), data
+        discard(twice)
+    named = pairs.join(of.toDF("a", "hi1", "lo1", "r1"), "a").join(of.toDF("b", "hi2", "lo2", "r2"), "b")
+    named = named.join(data.toDF("hi1", "lo1", "x"), ["hi1", "lo1"]).join(data.toDF("hi2", "lo2", "y"), ["hi2", "lo2"])
+    out = stage(named.select("a", "b", "x", "y").mapInArrow(decided, "a long, b long"), "decided")
+    discard(data, *([rest] if not bounded else []))
     return out
 
 
 def similar_components(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of ``docs(doc_id, text)``."""
     whole = stage(document_sets(docs, common_shingles(docs), share), "sets")
-    keyed = stage(whole.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("first_doc"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "keyed-classes")
+    own = whole.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("first_doc"), F.min("rep").alias("rep"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"), F.first("rare").alias("rare"))
+    keyed = stage(own.withColumn("cid", F.monotonically_increasing_id()), "keyed-classes")  # written, so that a class keeps its number
     sets = stage(whole.select("doc_id", "n", "hi", "lo"), "sets")
     discard(whole)
 
-    tile = Window.partitionBy("key").orderBy("n", "cid")
-    rows = keyed.select("cid", "n", F.posexplode("keys").alias("pos", "key"))
-    rows = rows.withColumn("before", F.lag("cid").over(tile)).withColumn("after", F.lead("cid").over(tile))
-    tiles = stage(rows.where("before is not null or after is not null").select("key", "cid", "n", "pos"), "tiles")
-    classes = stage(keyed.drop("keys"), "classes")
+    tiles = stage(neighbours(keyed, share), "tiles")
+    classes = stage(keyed.drop("keys", "rare"), "classes")
     discard(keyed)
 
-    roots = None
-    for meet in (_heads, _chain, _scouts, _scouts, _all_pairs):
-        rows = tiles.withColumn("root", F.col("cid")) if roots is None else tiles.join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        links = linked(stage(meet(rows, share, classes), "pairs"), docs, classes, share)
-        if roots is None:
-            roots = stage(components(links), "roots")
-            continue
-        # later links join whole components: the graph of their roots is what is left to solve
-        of = lambda side: F.coalesce(f"{side}.root", F.col(side + "_id"))  # noqa: E731, B023
-        ends = links.select(F.col("a").alias("x_id"), F.col("b").alias("y_id")).join(roots.alias("x"), F.col("x_id") == F.col("x.id"), "left").join(roots.alias("y"), F.col("y_id") == F.col("y.id"), "left")
-        joined = components(ends.select(of("x").alias("a"), of("y").alias("b"))).select(F.col("id").alias("root"), F.col("root").alias("to"))
-        nodes = roots.union(links.select("a", "a")).union(links.select("b", "b")).groupBy("id").agg(F.min("root").alias("root"))
-        roots = stage(nodes.join(joined, "root", "left").select("id", F.coalesce("to", "root").alias("root")), "roots")
+    first = stage(_nearest(tiles, share), "pairs")
+    links = linked(first, docs, classes, share, bounded=False)
+    roots = components(links)
+    discard(first, links)
+    for few in (FEW, FEW, None):
+        met = stage(meetings(tiles, roots, classes, share, few), "met")
+        pairs = stage(met.where("a is not null").select("a", "b").distinct(), "pairs")
+        if not pairs.isEmpty():
+            links = linked(pairs, docs, classes, share, bounded=True)
+            roots, old = _joined(roots, links), roots
+            discard(links, old)
+        still = met.where("a is null").select("key").distinct()
+        if few is None or still.isEmpty():
+            discard(met, pairs, tiles)
+            break
+        tiles, old = stage(tiles.join(still, "key", "left_semi"), "tiles"), tiles
+        discard(met, pairs, old)
 
     firsts = classes.select("hi", "lo", "n", "cid", "first_doc").join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     smallest = firsts.groupBy("root").agg(F.min("first_doc").alias("component_id"))
@@ -205,98 +243,104 @@ def similar_components(docs: DataFrame, share: int = SHARE) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after more links: these join whole components, so the graph of their roots is what is left to solve."""
+    of = lambda side: F.coalesce(f"{side}.root", F.col(side + "_id"))
+    ends = links.select(F.col("a").alias("x_id"), F.col("b").alias("y_id")).join(roots.alias("x"), F.col("x_id") == F.col("x.id"), "left").join(roots.alias("y"), F.col("y_id") == F.col("y.id"), "left")
+    joined = components(ends.select(of("x").alias("a"), of("y").alias("b")))
+    nodes = roots.union(links.select("a", "a")).union(links.select("b", "b")).groupBy("id").agg(F.min("root").alias("root"))
+    out = stage(nodes.join(joined.toDF("root", "to"), "root", "left").select("id", F.coalesce("to", "root").alias("root")), "roots")
+    discard(joined)
+    return out
+
+
 def keep_one(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest doc_id; all columns kept.
 
     The ids that go are written first, so that the planner knows their size: few are broadcast, many are joined. Rows
     that share a doc_id stay or go together, and rows without one stay, as no id tells them apart.
     """
-    gone = stage(similar_components(docs, share).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-duplicates")
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    name = unused(docs, "gone")
+    gone = stage(similar_components(docs, share).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "near-duplicates")
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
-def _fits(share: int, n: str, pos: str, m: str, pos2: str):
-    """Sizes within the band, and enough places left after the shingle (``n`` is the smaller set)."""
-    need = F.expr(f"ceil({share} * ({n} + {m}) / (100 + {share}))")
-    return (F.expr(f"100 * {n} >= {share} * {m}")) & (F.least(F.expr(f"{n} - {pos}"), F.expr(f"{m} - {pos2}")) >= need)
-
-
-def _nearest(near: DataFrame, share: int) -> DataFrame:
-    """Of ``near(a, n, pos, b, m, pos2)``, a the smaller set: each b with the a with which it shares most tiles."""
-    counted = near.where(_fits(share, "n", "pos", "m", "pos2")).groupBy("a", "b").count()
-    return counted.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
-
-
-def _met(rows: DataFrame, other) -> DataFrame:
-    near = rows.withColumn("p", other).where("p is not null and p.root <> root")
-    return near.select(F.col("cid").alias("b"), F.col("p.cid").alias("a"), F.col("p.n").alias("n"), F.col("p.pos").alias("pos"), F.col("n").alias("m"), F.col("pos").alias("pos2"))
-
-
-def _heads(rows: DataFrame, share: int, classes: DataFrame) -> DataFrame:
-    """Each set with the smallest of its size band in a tile: groups of copies become stars, which settle in few rounds."""
+def neighbours(keyed: DataFrame, share: int) -> DataFrame:
+    """(key, cid, n, pos, before, head): a row for each set in each tile of several, with the next smaller set and the
+    smallest of its size band. Both only steer the search, so common tiles are dealt over parts that know nothing of each other."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / share)))
-    tile = Window.partitionBy("key", band).orderBy("n", "cid").rowsBetween(Window.unboundedPreceding, 0)
-    return _nearest(_met(rows, F.first(F.struct("cid", "n", "pos", "root")).over(tile)), share)
-
+    rows = keyed.select("cid", "n", "rare", F.posexplode("keys").alias("pos", "key")).withColumn("salt", F.when(F.col("pos") >= F.col("rare"), F.pmod(F.xxhash64("cid"), F.lit(SALTS)) + 1).otherwise(0))
+    own = F.struct("cid", "n", "pos")
+    tile = Window.partitionBy("key", "salt").orderBy("n", "cid")
+    rows = rows.withColumn("before", F.lag(own).over(tile)).withColumn("after", F.lead("cid").over(tile)).where("before is not null or after is not null or salt > 0")
+    rows = rows.withColumn("head", F.first(own).over(Window.partitionBy("key", "salt", band).orderBy("n", "cid").rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.select("key", "cid", "n", "pos", "before", F.when(F.col("head.cid") != F.col("cid"), F.col("head")).alias("head"))
 
-def _chain(rows: DataFrame, share: int, classes: DataFrame) -> DataFrame:
-    """Each set with the neighbour, next smaller in a tile and of another component, with which it shares most tiles."""
-    tile = Window.partitionBy("key").orderBy("n", "cid")
-    return _nearest(_met(rows, F.lag(F.struct("cid", "n", "pos", "root")).over(tile)), share)
 
+def _nearest(tiles: DataFrame, share: int) -> DataFrame:
+    """(a, b): each set b with the head, and with the neighbour, with which it shares most tiles; at most two pairs a set."""
+    met = tiles.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.posexplode(F.array("before", "head")).alias("kind", "p")).where("p is not null")
+    need = F.expr(f"ceil({share}L * (p.n + m) / (100 + {share}))")  # sizes within the band, and enough places left after the shingle
+    met = met.where(F.expr(f"100L * p.n >= {share}L * m") & (F.least(F.expr("p.n - p.pos"), F.expr("m - pos2")) >= need))
+    counted = met.groupBy("kind", "b", F.col("p.cid").alias("a")).count()
+    return counted.groupBy("kind", "b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b").distinct()
 
-def _scouts(rows: DataFrame, share: int, classes: DataFrame) -> DataFrame:
-    """Each set with one of the nearest smaller sets of other components that its bitmap leaves: at most a pair for each set, most of them links."""
-    counted = _all_pairs(rows, share, classes, nearest=True).groupBy("a", "b").count()
-    return counted.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
 
+def meetings(tiles: DataFrame, roots: DataFrame, classes: DataFrame, share: int, few: int | None) -> DataFrame:
+    """(a, b, key): pairs of different components that meet in a tile and that their bitmaps leave; and, without a pair,
+    the tiles in which a set has more than ``few`` of them, of which the nearest is given.
 
-def _all_pairs(rows: DataFrame, share: int, classes: DataFrame, nearest: bool = False) -> DataFrame:
-    """All pairs of different components that meet in a tile and that their bitmaps leave; or of each set's the nearest in the tile alone.
-
-    Tiles of one component drop out first: they are the many and the large ones. In the others a set meets those of its
-    size band alone, row by row of a sorted stream; a pair is emitted only where the bit counts allow enough overlap. A
-    tile's bitmaps are folded onto the length of its first, which can only weaken the bound.
+    Tiles of one component drop out first. Those of more than CELL sets are cut into cells, each a pair of parts, and a
+    cell's sets meet in order of size, those of the size band alone.
     """
-    mixed = rows.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
-    rows = rows.join(mixed, "key").join(classes.select("cid", "sketch"), "cid").repartition("key").sortWithinPartitions("key", "n", "cid")
-
-    def folded(sketches: list[bytes], like: np.ndarray | None) -> np.ndarray:
-        words = [np.frombuffer(x, np.uint64) for x in sketches]
-        width = min([like.shape[1] if like is not None else 1 << 30, *(len(x) for x in words)])
-        return np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in words])
+    rows = tiles.select("key", "cid", "n", "pos").join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    mixed = rows.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("size")).where("r1 <> r2").select("key", F.ceil(F.col("size") / CELL).alias("parts"))
+    rows = rows.join(mixed, "key").withColumn("h", F.pmod(F.xxhash64("cid"), F.col("parts"))).withColumn("o", F.explode(F.expr("sequence(0L, parts - 1)")))
+    rows = rows.withColumn("one", F.least("h", "o")).withColumn("two", F.greatest("h", "o")).join(classes.select("cid", "sketch"), "cid")
+    cell = ["key", "one", "two"]
+    rows = rows.repartition(*cell).sortWithinPartitions(*cell, "n", "cid").select(*cell, "h", "cid", "n", "pos", "root", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, bits = None, np.empty((0, 4), dtype=np.int64), None  # cid, n, pos, root and bitmaps of the sets of this tile that may still fit
+        held = None  # sets of the last cell that may still fit
         for b in batches:
-            cols = [b.column(c).to_numpy().astype(np.int64) for c in ("key", "cid", "n", "pos", "root")]
-            sketches = b.column("sketch").to_pylist()
-            out: list[np.ndarray] = []
-            for at in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(cols[0])) + 1):
-                if not len(at):
-                    continue
-                k, own = int(cols[0][at[0]]), np.stack([c[at] for c in cols[1:]], axis=1)
-                if k != key:
-                    key, held, bits = k, own[:0], None
-                fold = folded([sketches[i] for i in at], bits)
-                bits = fold if bits is None else np.concatenate([bits, fold])
-                low, first = 0, len(held)
-                held = np.concatenate([held, own])
-                for i in range(first, len(held)):
-                    x = held[i]
-                    low += int(np.searchsorted(100 * held[low:i, 1], share * x[1]))
-                    near = held[low:i]
-                    need = -(-share * (near[:, 1] + x[1]) // (100 + share))
-                    fit = np.flatnonzero((near[:, 3] != x[3]) & (np.minimum(near[:, 1] - near[:, 2], x[1] - x[2]) >= need))
-                    if len(fit):
-                        differ = np.bitwise_count(bits[low + fit] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                        mine = near[fit[(near[fit, 1] + x[1] - differ) // 2 >= need[fit]], 0]
-                        mine, b_id = (mine[-1:], mine[-1:] * 0 + x[0]) if nearest else (np.minimum(mine, x[0]), np.maximum(mine, x[0]))
-                        out.append(np.stack([mine, b_id], axis=1))
-                held, bits = held[low:], bits[low:]
-            both = np.concatenate([*out, np.empty((0, 2), np.int64)])
-            both = both if nearest else np.unique(both, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["a", "b"])
-
-    pairs = rows.select("key", "cid", "n", "pos", "root", "sketch").mapInArrow(run, "a long, b long")
-    return pairs if nearest else pairs.distinct()
+            old, every = 0, b
+            if held is not None and held.num_rows and b.num_rows:
+                old, every = held.num_rows, pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            if not b.num_rows:
+                continue
+            key, one, two, h, cid, n, pos, root = (every.column(c).to_numpy().astype(np.int64) for c in (*cell, "h", "cid", "n", "pos", "root"))
+            starts = np.concatenate([[0], np.flatnonzero((np.diff(key) != 0) | (np.diff(one) != 0) | (np.diff(two) != 0)) + 1])
+            start = np.repeat(starts, np.diff(starts, append=len(key)))
+            bits, count, pairs, far = Bitmaps(every.column("sketch")), np.zeros(len(key), np.int64), [], np.arange(old, len(key))
+            d, kept = 1, 0
+            while len(far):  # every set with the one d places before it
+                far = far[far - d >= start[far]]
+                far = far[100 * n[far - d] >= share * n[far]]
+                i, j = far - d, far
+                need = -(-share * (n[i] + n[j]) // (100 + share))
+                fit = np.flatnonzero((root[i] != root[j]) & ((h[i] != h[j]) | (one[j] == two[j])) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need))
+                if len(fit):
+                    i, j, need = i[fit], j[fit], need[fit]
+                    fit = (n[i] + n[j] - bits.least_difference(i, j)) // 2 >= need
+                    i, j = i[fit], j[fit]
+                    count[j] += 1
+                    pairs.append(np.stack([i, j, count[j]], axis=1))
+                    kept += len(i)
+                    if few is not None:
+                        far = far[count[far] <= few]
+                if few is None and kept > 1 << 20:
+                    yield batch(cid, np.concatenate(pairs), np.empty(0, np.int64))
+                    pairs, kept = [], 0
+                d += 1
+            found = np.concatenate([*pairs, np.empty((0, 3), np.int64)])
+            late = count > few if few is not None else np.zeros(len(key), bool)
+            yield batch(cid, found[~late[found[:, 1]] | (found[:, 2] == 1)], np.unique(key[late]))
+            low = int(start[-1])
+            held = every.slice(low + int(np.searchsorted(100 * n[low:], share * n[-1])))
+
+    def batch(cid: np.ndarray, found: np.ndarray, still: np.ndarray) -> pa.RecordBatch:
+        both = np.unique(np.sort(cid[found[:, :2]], axis=1), axis=0)
+        ends = [pa.array(np.concatenate([both[:, k], np.zeros(len(still), np.int64)]), mask=np.arange(len(both) + len(still)) >= len(both)) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([*ends, pa.array(np.concatenate([np.zeros(len(both), np.int64), still]))], names=["a", "b", "key"])
+
+    return rows.mapInArrow(run, "a long, b long, key long")

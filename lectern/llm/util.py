@@ -61,6 +61,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str, *others: str) -> str:
+    """A column name that neither ``df`` nor ``others`` has, whatever their case: ``name`` between underscores, more of them if need be."""
+    taken, out = {c.lower() for c in (*df.columns, *others)}, f"__{name}"
+    while out.lower() in taken:
+        out = "_" + out
+    return out
+
+
 def text_column(batch: pa.RecordBatch, name: str) -> list[str]:
     """A string column's values, null as empty."""
     return [x or "" for x in batch.column(name).to_pylist()]
