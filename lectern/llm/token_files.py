@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .tokens import encoder
-from .util import new_path, small_batches, stage, text_column
+from .util import new_path, pieces, stage, text_column
 
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
@@ -31,7 +31,7 @@ def encode_partitions(docs: DataFrame, tokenizer: str, lead: bool, end_id: int)
         from pyspark import TaskContext
 
         part, at, enc, end = TaskContext.get().partitionId(), 0, encoder(tokenizer, lead), np.array([end_id], dtype="<u4").tobytes()
-        for b in batches:
+        for b in pieces(batches, "text"):
             ids = [x + end for x in enc.encode(text_column(b, "text"))]
             n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
             upto = np.cumsum(n)
@@ -42,7 +42,6 @@ def encode_partitions(docs: DataFrame, tokenizer: str, lead: bool, end_id: int)
             )
             at += int(upto[-1]) if len(n) else 0
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FILE_SCHEMA)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 
 
@@ -15,11 +16,18 @@ def _byte_letters() -> dict[int, int]:
 LETTERS = _byte_letters()
 
 
+#: White space other than a blank or a line end, and whatever some library or another takes for it. Texts that hold any are encoded whole.
+ODD = re.compile(r"[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
+#: Below it, Python and the library's splitter agree on what a letter is, whichever Unicode version each follows.
+PLAIN = "\u0250"
+
+
 class Pieces(dict):
     """ids of pieces as bytes; an unknown piece goes through the library's normaliser, splitter and model.
 
     A run of letters is one word for either splitter, so it goes to the model at once, spelt as bytes; a final full stop
-    or comma after a letter or digit is a word of its own in both.
+    or comma after an ASCII letter or digit is a word of its own in both. After other letters it may not be: a letter
+    can normalise to itself and a mark, and the mark joins the stop.
     """
 
     def __init__(self, tok, lead: bool):
@@ -28,10 +36,11 @@ class Pieces(dict):
         self.lead, self.split, self.merge = lead, tok.pre_tokenizer.pre_tokenize_str, tok.model.tokenize
 
     def __missing__(self, piece: str) -> bytes:
-        if len(piece) > 1 and piece[-1] in ".," and piece[-2].isalnum():
+        if len(piece) > 1 and piece[-1] in ".," and piece[-2].isascii() and piece[-2].isalnum():
             return self[piece[:-1]] + self[piece[-1]]
         text = piece if not self.norm else piece.lower() if piece.isascii() and piece.isalpha() else self.norm(piece)
-        if (text[1:] if self.lead and text[:1] == " " else text).isalpha():
+        letters = text[1:] if self.lead and text[:1] == " " else text
+        if letters.isalpha() and max(letters) < PLAIN:
             ids = [t.id for t in self.merge(text.encode().decode("latin-1").translate(LETTERS))]
         else:
             ids = [t.id for s, _ in self.split(text) for t in self.merge(s)]
@@ -44,8 +53,9 @@ class Encoder:
 
     Both kinds of vocabulary split at white space before merging, so a text cut in front of each lone blank gives the
     ids of the whole. ``lead`` says whether the blank belongs to the word after it (byte-level) or is dropped (word
-    ends). Texts with any other white space, or that may hold a special token, are encoded whole. The memory of pieces
-    is emptied at ``keep`` entries.
+    ends), as are then runs of blanks and line ends. Texts with any other white space, those of a byte-level vocabulary
+    with runs of it or with it at an end, and those that may hold a special token are encoded whole. The memory of
+    pieces is emptied at ``keep`` entries.
     """
 
     def __init__(self, path: str, lead: bool, keep: int = 900_000):
@@ -63,13 +73,16 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def one(self, text: str) -> bytes:
-        words = text.split()
-        if not words or len(words) != text.count(" ") + text.count("\n") + 1 or any(s in text for s in self.special):
+        if ODD.search(text) or any(x in text for x in self.special):
             return self.whole(text)
         if len(self.known) > self.keep:
             self.known = Pieces(self.tok, self.lead)
-        if self.lead:
-            words = text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00") if "\x00" not in text else [text]
+        if not self.lead:
+            words = [w for w in text.replace("\n", " ").split(" ") if w]
+        elif not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", " \n", "\n ", "\n\n")):
+            return self.whole(text)
+        else:
+            words = text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
         return b"".join(map(self.known.__getitem__, words))
 
     def encode(self, texts: list[str]) -> list[bytes]:

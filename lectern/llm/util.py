@@ -26,11 +26,14 @@ def lower_words(text: str) -> list[bytes]:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Where the cluster names none (a local test session) a folder under /tmp is made and set, once a session.
+    Where none is named, a local session gets a folder under /tmp, made and set once; a cluster is refused, as its
+    executors would each write to a disk of their own.
     """
     conf = spark.sparkContext.getConf()
     named = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         named = "file://" + tempfile.mkdtemp(prefix="lectern-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", named)
         spark.sparkContext.setCheckpointDir(named)
@@ -74,8 +77,9 @@ def text_column(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut into slices of about ``limit`` bytes of a string column, a longer text alone, as work on a slice takes many times its size."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of about ``limit`` bytes of a string column, a longer text alone, as work on a slice takes
+    many times its size. Spark itself ends a batch at ``spark.sql.execution.arrow.maxBytesPerBatch``."""
     for b in batches:
         block = np.cumsum(pc.binary_length(b.column(column)).fill_null(0).to_numpy().astype(np.int64)) // limit
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), b.num_rows]
@@ -109,11 +113,6 @@ def in_bitmap(words: np.ndarray, values: np.ndarray, bits: int = 1 << 23) -> np.
     return (words[slot // 63] >> (slot % 63)) & 1 == 1
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, as rows hold whole texts: memory in a Python worker stays bounded with very long ones."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 class WordHashes(dict):
     """64-bit hashes of words, as signed integers, kept for the next text; emptied at ``keep`` entries."""
 
