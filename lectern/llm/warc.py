@@ -7,8 +7,10 @@ from chunk to chunk, the last row's is that of the payload, and no record is hel
 
 Files are opened with pyarrow's file systems from the URI in ``spark.checkpoint.dir``, which all executors share.
 
-Nulls: a null payload is empty, a null URI is written as "-"; a null page_id is refused (it names the record). Repeated
-page_ids give a record each. An empty table writes no archive and reads as no row. Other columns are not read.
+Nulls: a null payload is empty, a null URI is written as "-"; a row with a null page_id is a response of its own, named
+"none", which no other revisits. Repeated page_ids give a record each, with the payload of its own row; rows that repeat
+both the largest page_id and the payload are responses each. An empty table writes no archive and reads as no row. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -52,12 +54,15 @@ def choose_records(pages: DataFrame, payload: str = "html", least: int = 1000) -
 def write_archives(pages: DataFrame, payload: str = "html", least: int = 1000, folder: str | None = None) -> DataFrame:
     """Writes the archives; returns the manifest (path, records, bytes), a row a file.
 
-    Only revisits are joined to the pages (on page_id); that is the one shuffle of payloads, and none if they are few.
+    Only revisits are joined to the pages (on page_id and digest, as a page_id may occur with several payloads); that is
+    the one shuffle of payloads, and none if they are few.
     """
     spark = pages.sparkSession
     folder = _uri(folder or new_path(spark, "warc"))
-    revisits = choose_records(pages, payload, least).where("refers_to is not null").select("page_id", "refers_to").distinct()
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), *([F.col("url").cast("string").alias("url")] if "url" in pages.columns else [F.lit(None).cast("string").alias("url")]), F.col(payload).cast("string").alias("body")).join(revisits, "page_id", "left")
+    revisits = choose_records(pages, payload, least).where("refers_to is not null").select("page_id", "digest", "refers_to").distinct()
+    body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), *([F.col("url").cast("string").alias("url")] if "url" in pages.columns else [F.lit(None).cast("string").alias("url")]), F.col(payload).cast("string").alias("body"), F.sha1(body.cast("binary")).alias("digest"))
+    rows = rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "body", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -72,8 +77,6 @@ def write_archives(pages: DataFrame, payload: str = "html", least: int = 1000, f
                 out = store.open_output_stream(own, compression=None)
             ids, urls, bodies, refs = b.column("page_id").to_pylist(), b.column("url").to_pylist(), b.column("body"), b.column("refers_to").to_pylist()
             for i, (page, url, ref) in enumerate(zip(ids, urls, refs)):
-                if page is None:
-                    raise ValueError("a page without page_id can't be a record")
                 write_record(out, page, url, bodies[i].as_buffer() if bodies[i].is_valid else b"", ref)
             records += b.num_rows
         if out is not None:
@@ -84,14 +87,14 @@ def write_archives(pages: DataFrame, payload: str = "html", least: int = 1000, f
     return stage(rows.mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
 
 
-def write_record(out, page: int, url: str | None, body, refers_to: int | None) -> None:
+def write_record(out, page: int | None, url: str | None, body, refers_to: int | None) -> None:
     """One gzip member: headers, then the payload block by block, unless it revisits another record."""
     view = memoryview(body)
     sha = hashlib.sha1(view)
     headers = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page}>",
+        f"WARC-Record-ID: <urn:page:{'none' if page is None else page}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {(url or '-').replace(chr(13), '%0D').replace(chr(10), '%0A')}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(sha.digest()).decode()}",
@@ -140,8 +143,7 @@ def read_records(source, chunk: int) -> Iterator[tuple]:
                 return
         head = dict(x.split(": ", 1) for x in held[:at].decode().split("\r\n")[1:])
         del held[: at + 4]
-        page = int(head["WARC-Record-ID"].removeprefix("<urn:page:").removesuffix(">"))
-        ref = int(head["WARC-Refers-To"].removeprefix("<urn:page:").removesuffix(">")) if "WARC-Refers-To" in head else None
+        page, ref = (None if x == "none" else int(x) for x in (head.get(k, "none").removeprefix("<urn:page:").removesuffix(">") for k in ("WARC-Record-ID", "WARC-Refers-To")))
         digest = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
         left, so_far, k, sha = int(head["Content-Length"]), 0, 0, hashlib.sha1()
         while True:
