@@ -11,8 +11,9 @@ from lectern.llm.util import stage, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without the lines that are frequent on their host."""
-    return quality.clean(docs)
+    """Documents that the rules keep, without the lines that are frequent on their host. Exact copies of a text count as
+    one document, as the next stage removes them: their lines are no boilerplate, and one of them stays."""
+    return quality.clean(docs, texts_once=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("personal_data", personal_data), ("packing", pack)]
-#: No SQL: the last stage needs a tokenizer, pseudonyms a keyed permutation. Tests compare with a brute-force version.
+#: No SQL: the last stage needs a tokenizer, pseudonyms a keyed permutation. tests/llm compares with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import chat, decontam, jaccard, licenses, packing, pii, quality, token_count, token_files, warc
 from .util import table
 
-#: Folder of the public vocabularies; a parameter of every operator that encodes.
-VOCABULARIES = os.environ.get("LECTERN_VOCABULARIES", "/opt/tokenizers")
 #: The key of the registered query alone; a user of ``pii.pseudonymise`` passes a secret one.
 DEMO_KEY = b"lectern-demonstration-key"
 
 
 def vocabulary(name: str) -> str:
-    return os.path.join(VOCABULARIES, name)
+    """Where a public vocabulary lies; its path is a parameter of every operator that encodes."""
+    return public_tokenizers.path(name)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +24,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(table(spark, sf_dir, "pages"))
-    return warc.payloads(warc.read_archives(spark, manifest, with_chunks=False))
+    return warc.payloads(warc.read_archives(spark, manifest))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,12 +82,12 @@ ORACLES = {
         p AS (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3),
         g AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS c FROM p),
         rep AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS k FROM g WHERE c > 1) GROUP BY r),
-        l AS (SELECT r, source, text AS doc, unnest(string_split(text, chr(10))) AS text FROM d),
-        lw AS (SELECT r, source, doc, text AS line, {WORDS} AS w FROM l),
-        lk AS (SELECT r, source, doc, line, len(w) AS n, translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lw WHERE len(w) > 0),
+        l AS (SELECT r, doc_id, source, text AS doc, unnest(string_split(text, chr(10))) AS text FROM d),
+        lw AS (SELECT r, doc_id, source, doc, text AS line, {WORDS} AS w FROM l),
+        lk AS (SELECT r, doc_id, source, doc, line, len(w) AS n, translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lw WHERE len(w) > 0),
         dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lk GROUP BY r),
-        often AS (SELECT source, k FROM lk WHERE n <= {quality.MAX_WORDS} GROUP BY source, k HAVING count(DISTINCT doc) > {quality.LIMIT}),
-        gone AS (SELECT r, sum(n)::BIGINT AS n FROM lk JOIN often ON lk.k = often.k AND lk.source IS NOT DISTINCT FROM often.source WHERE n <= {quality.MAX_WORDS} GROUP BY r),
+        often AS (SELECT source, k FROM lk GROUP BY source, k HAVING count(DISTINCT (doc_id, doc)) > {quality.LIMIT}),
+        gone AS (SELECT r, sum(n)::BIGINT AS n FROM lk JOIN often ON lk.k = often.k AND lk.source IS NOT DISTINCT FROM often.source GROUP BY r),
         b AS (SELECT d.r, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
                      (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
                      coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_removed_words
