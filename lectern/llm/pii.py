@@ -28,24 +28,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .util import pieces
+
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 KINDS = ("card", "iban", "phone", "ssn", "ip", "date", "email", "secret")
 
-#: One pass over a text; the order is that of precedence at the same place.
+#: One pass over a text; the order is that of precedence at the same place. Digits are ASCII ones, and so are the letters
+#: of an IBAN, without those that Unicode folds to ASCII: values of other digits or letters are left alone.
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+%-])[\w.+%-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<secret>\b(?:token|api[_-]?key|secret|password|passwd|access[_-]?key)[\"']?\s*[:=]\s*[\"']?(?P<value>[A-Za-z0-9_\-+/]{6,}))"
-    r"|(?P<iban>\b[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d))"
-    r"|(?P<phone>(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<![\w.(-])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))"
-    r"|(?P<date>(?<![\w/.-])(?:\d{4}-\d\d-\d\d|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w/-]|\.\d))"
-    r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d))",
+    r"|(?P<iban>\b(?-i:[A-Za-z]{2}[0-9][0-9](?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?)\b)"
+    r"|(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))"
+    r"|(?P<phone>(?<![\w+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])|(?<![\w.(-])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-]))"
+    r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9][0-9]-[0-9]{4}(?![\w-]))"
+    r"|(?P<date>(?<![\w/.-])(?:[0-9]{4}-[0-9][0-9]-[0-9][0-9]|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![\w/-]|\.[0-9]))"
+    r"|(?P<card>(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]|\.[0-9]))",
     re.IGNORECASE,
 )
 #: A text without these holds none of the kinds: an address has an @, a secret a mark after its name, all others a digit.
-HINT = re.compile(r"\d|@|[:=]")
+HINT = re.compile(r"[0-9]|@|[:=]")
 #: Characters of an IBAN by country. The public register.
 IBAN_LENGTHS = {k[:2]: int(k[2:]) for k in (
     "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 "
@@ -161,7 +164,7 @@ class Pseudonyms:
                 return self._fill(s, digits[:-10] + f"{x:010d}")
             if not 8 <= len(digits) <= 15 or not s.startswith("+"):
                 return None
-            country = re.match(r"\+(\d{1,3}?)(?=[ .(-]|\d{7})", s)
+            country = re.match(r"\+([0-9]{1,3}?)(?=[ .(-]|[0-9]{7})", s)
             keep = len(country[1]) if country else 1
             return self._fill(s, digits[:keep] + f.spelt("phone+" + digits[:keep], digits[keep:]))
         if kind == "ssn":
@@ -242,10 +245,11 @@ def pseudonymise(docs: DataFrame, key: bytes, column: str = "text", counts: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _LOADED.setdefault(key, Pseudonyms(key))
-        for b in batches:
+        for b in pieces(batches, at):
             done = [own.text(t) for t in b.column(at).to_pylist()]
             cols = [pa.array([x for x, _ in done], pa.string()) if k == at else b.column(k) for k in range(len(kept))]
             yield pa.RecordBatch.from_arrays(cols + [pa.array([c[k] for _, c in done], pa.int64()) for k in range(len(names))], names=[str(i) for i in range(len(kept) + len(names))])
 
-    schema = StructType([*kept, *[StructField(n, LongType()) for n in names]])
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+    rows = docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)])
+    schema = StructType([*rows.schema.fields, *[StructField(n, LongType()) for n in names]])
+    return rows.mapInArrow(run, schema).toDF(*[f.name for f in kept], *names)
