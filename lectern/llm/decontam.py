@@ -3,13 +3,14 @@
 Texts become lower-cased runs of letters and digits. A seed is a window of up to SPAN tokens hashed under a fixed mask that
 ignores some positions, so a hit survives substitutions at those positions. Every overlap within LEAST and SHARE has a
 seed under one of the three masks, wherever its substitutions are; a smaller ``share`` has no such warrant. Seeds of
-documents are joined with seeds of benchmark items, and around each hit the two texts are compared on that diagonal: the
+texts are joined with seeds of benchmark items, and around each hit the two are compared on that diagonal: the
 document is contaminated where a run of at least ``least`` tokens of the item (or the whole item, if it is shorter)
 agrees in ``share`` per cent of its tokens. Items shorter than SPAN are hashed whole and must occur whole.
 
 The benchmark's seeds reach the tasks as two bitmaps of fixed size, over different bits of the hash; they only spare the
-shuffle seeds that cannot match. The match itself is a join, whatever the size of the benchmark. Hits of a document that lie close together travel as one
-region with the tokens around it, so texts are read once.
+shuffle seeds that cannot match. The match itself is a join, whatever the size of the benchmark. Texts are told apart by
+their hash, so copies are compared once. Texts with a hit are read again, and of each the tokens that an item would cover
+go to the comparison: an item's tokens and a text's are in one row only there, and a long item widens no other's part.
 
 Nulls: a null text has no tokens and is clean; items with a null text or id match nothing; a document with a null doc_id
 is compared and reported with null. Repeated documents are reported each once; repeated items with the same id count
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .util import WordHashes, bitmap, in_bitmap, pieces, stage, window_sums
+from .util import WordHashes, bitmap, discard, in_bitmap, pieces, stage, unused, window_sums
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Positions that count. No run of 20 to 39 tokens, and no whole item of 12 to 19, with up to a fifth substituted escapes
@@ -45,63 +46,84 @@ def token_hashes(text: str) -> np.ndarray:
     return _WORDS.of(TOKEN.findall(text.lower()))
 
 
-def item_seeds(benchmark: DataFrame) -> DataFrame:
-    """(item_id, n, tokens, hash, item_pos); an item shorter than SPAN has one seed."""
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """(item_id, item_hash, n, tokens): a row for each text of an item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, rows = b.column("item_id").to_pylist(), []
-            for i, x in zip(ids, b.column("text").to_pylist()):
-                t = token_hashes(x)
-                masks = masks_for([]) if len(t) >= SPAN else masks_for([len(t)])[-1:] if len(t) else []
-                rows += [(i, len(t), t.tobytes(), a, c) for h in window_sums(t, masks).values() for c, a in enumerate(h.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()))], names=["item_id", "n", "tokens", "hash", "item_pos"])
+        for b in pieces(batches, "text"):
+            tokens = [token_hashes(x) for x in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("item_id"), b.column("item_hash"), pa.array([len(t) for t in tokens], pa.int32()), pa.array([t.tobytes() for t in tokens], pa.binary())], names=["item_id", "item_hash", "n", "tokens"])
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("item_hash"), "text").where("text is not null and item_id is not null")
+    return rows.dropDuplicates(["item_id", "item_hash"]).mapInArrow(run, "item_id long, item_hash long, n int, tokens binary").where("n > 0")
 
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null").dropDuplicates(["item_id", "text"])
-    return rows.mapInArrow(run, "item_id long, n int, tokens binary, hash long, item_pos long")
 
+def item_seeds(items: DataFrame) -> DataFrame:
+    """(item_id, item_hash, n, hash, item_pos); an item shorter than SPAN has one seed."""
 
-REGIONS = "doc_id long, doc_hash long, region long, begin long, tokens binary, seeds array<struct<hash:long,pos:long>>"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "tokens"):
+            for i, fp, n, x in zip(*(b.column(c).to_pylist() for c in ("item_id", "item_hash", "n")), b.column("tokens")):
+                masks = masks_for([]) if n >= SPAN else masks_for([n])[-1:]
+                sums = list(window_sums(np.frombuffer(x.as_buffer(), np.int64), masks).values())
+                at = np.concatenate([np.arange(len(h)) for h in sums])
+                same = [pa.array(np.full(len(at), v), t) for v, t in ((i, pa.int64()), (fp, pa.int64()), (n, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(np.concatenate(sums)), pa.array(at)], names=["item_id", "item_hash", "n", "hash", "item_pos"])
+
+    return items.mapInArrow(run, "item_id long, item_hash long, n int, hash long, item_pos long")
 
 
 #: Bits of a hash passed over by the second bitmap; the first takes the lowest ones.
 SECOND = 24
 
 
-def document_regions(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], lengths: list[int], around: int) -> DataFrame:
-    """Regions of documents around seeds that may be in the benchmark: tokens from ``begin`` on, ``around`` more on each side."""
+def text_seeds(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], lengths: list[int]) -> DataFrame:
+    """(doc_hash, hash, pos): seeds of texts that may be in the benchmark, of copies once."""
     shared, masks = docs.sparkSession.sparkContext.broadcast(known), masks_for(lengths)
     width = {salt: len(mask) for salt, mask in masks}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("hash", pa.int64()), ("pos", pa.int64())])))
         for b in pieces(batches, "text"):
             texts = [token_hashes(x) for x in b.column("text").to_pylist()]
-            ends = np.cumsum([len(t) for t in texts])
+            begins, ends, fps = np.cumsum([0, *(len(t) for t in texts)])[:-1], np.cumsum([len(t) for t in texts]), b.column("doc_hash").to_numpy()
             every, found = np.concatenate([*texts, np.empty(0, np.int64)]), []
             for salt, h in window_sums(every, masks).items():
                 at = np.flatnonzero(in_bitmap(shared.value[0], h))
                 at = at[in_bitmap(shared.value[1], h[at] >> SECOND)]
                 doc = np.searchsorted(ends, at, side="right")
                 inside = at + width[salt] <= ends[doc]  # windows over the end of a text are none of its own
-                found.append((doc[inside], at[inside], h[at[inside]]))
-            doc, at, seed = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((at, doc))
-            doc, at, seed = doc[order], at[order], seed[order]
-            ids, fps, rows = b.column("doc_id").to_pylist(), b.column("doc_hash").to_pylist(), []
-            for own in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(doc)) + 1):
-                if not len(own):
-                    continue
-                k = int(doc[own[0]])
-                i, fp, t = ids[k], fps[k], texts[k]
-                h, p = seed[own], at[own] - (ends[k] - len(t))
-                for part in np.split(np.arange(len(p)), np.flatnonzero(np.diff(p) > SPAN) + 1):
-                    begin, to = max(0, int(p[part[0]]) - around), int(p[part[-1]]) + SPAN + around
-                    rows.append((i, fp, int(p[part[0]]), begin, t[begin:to].tobytes(), [{"hash": a, "pos": c} for a, c in zip(h[part].tolist(), p[part].tolist())]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[x.split()[0] for x in REGIONS.split(", ")])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_hash"), "text").where("text is not null")
-    return rows.mapInArrow(run, REGIONS)
+                doc, at = doc[inside], at[inside]
+                found.append((fps[doc], h[at], at - begins[doc]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found)], names=["doc_hash", "hash", "pos"])
+
+    return docs.select(F.xxhash64("text").alias("doc_hash"), "text").where("text is not null").mapInArrow(run, "doc_hash long, hash long, pos long").distinct()
+
+
+def covered(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """(doc_hash, item_id, item_hash, shift, begin, part): of each hit the tokens of the text from ``begin`` on that the item, laid at ``shift``, covers.
+
+    ``hits`` is (doc_hash, item_id, item_hash, n, shift). Texts without any go no further than the task that reads them.
+    """
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(hits.select("doc_hash").distinct(), "doc_hash"))
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(in_bitmap(wanted.value, b.column("doc_hash").to_numpy())))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text"):
+            for fp, text, own in zip(b.column("doc_hash").to_pylist(), b.column("text").to_pylist(), b.column("hits")):
+                t, own = token_hashes(text), own.values
+                i, item, n, shift = (own.field(c).to_numpy() for c in ("item_id", "item_hash", "n", "shift"))
+                begin, end = np.maximum(shift, 0), np.minimum(shift + n, len(t))
+                for low in range(0, len(i), 1024):  # parts of few hits at a time
+                    some = slice(low, low + 1024)
+                    parts = pa.array([t[x:y].tobytes() for x, y in zip(begin[some].tolist(), end[some].tolist())], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), fp)), *(pa.array(x[some]) for x in (i, item, shift, begin)), parts], names=["doc_hash", "item_id", "item_hash", "shift", "begin", "part"])
+
+    texts = docs.select(F.xxhash64("text").alias("doc_hash"), "text").where("text is not null").mapInArrow(chosen, "doc_hash long, text string").dropDuplicates(["doc_hash"])
+    per = hits.groupBy("doc_hash").agg(F.collect_list(F.struct("item_id", "item_hash", "n", "shift")).alias("hits"))
+    return texts.join(per, "doc_hash").mapInArrow(cut, "doc_hash long, item_id long, item_hash long, shift long, begin long, part binary")
 
 
 def best_run(equal: np.ndarray, least: int, share: int) -> tuple[int, int] | None:
@@ -124,49 +146,42 @@ def best_run(equal: np.ndarray, least: int, share: int) -> tuple[int, int] | Non
     return best
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: int = SHARE) -> DataFrame:
-    """(doc_id, doc_hash, item_id, doc_begin, item_begin, n_tokens, n_equal): the longest overlap of each contaminated
-    document and item, in tokens."""
-    items = stage(item_seeds(benchmark), "item-seeds")
+OVERLAPS = "doc_hash long, item_id long, doc_begin long, item_begin long, n_tokens long, n_equal long"
+
+
+def text_overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: int = SHARE) -> DataFrame:
+    """A row of OVERLAPS for each contaminated text and item, with their longest overlap, in tokens; written to the shared folder."""
+    items = stage(items_of(benchmark), "items")
+    seeds = stage(item_seeds(items), "item-seeds")
     lengths = sorted(r["n"] for r in items.where(F.col("n") < SPAN).select("n").distinct().collect())  # fewer than SPAN numbers
-    longest = items.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    known = bitmap(items, "hash"), bitmap(items.select(F.shiftright("hash", SECOND).alias("high")), "high")
-    regions = stage(document_regions(docs, known, lengths, max(longest, least)), "document-regions")
-    hits = (
-        regions.select("doc_id", "doc_hash", "region", F.explode("seeds").alias("s"))
-        .select("doc_id", "doc_hash", "region", F.col("s.hash").alias("hash"), F.col("s.pos").alias("pos"))
-        .join(items.select("item_id", "hash", "item_pos"), "hash")
-        .select("doc_id", "doc_hash", "region", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
-        .distinct()
-        .groupBy("doc_id", "doc_hash", "region", "item_id")
-        .agg(F.array_sort(F.collect_list("shift")).alias("shifts"))
-    )
-    key = [F.col("h.doc_id").eqNullSafe(F.col("g.doc_id")), F.col("h.doc_hash") == F.col("g.doc_hash"), F.col("h.region") == F.col("g.region")]
-    both = hits.alias("h").join(regions.drop("seeds").dropDuplicates(["doc_id", "doc_hash", "region"]).alias("g"), key).select("h.*", "g.begin", F.col("g.tokens").alias("doc_tokens"))
-    both = both.join(items.select("item_id", F.col("tokens").alias("item_tokens")).distinct(), "item_id")
+    known = bitmap(seeds, "hash"), bitmap(seeds.select(F.shiftright("hash", SECOND).alias("high")), "high")
+    hits = text_seeds(docs, known, lengths).join(seeds, "hash").select("doc_hash", "item_id", "item_hash", F.col("n").cast("long").alias("n"), (F.col("pos") - F.col("item_pos")).alias("shift"))
+    hits = stage(hits.distinct(), "seed-hits")
+    parts = covered(docs, hits).join(items.select("item_id", "item_hash", "tokens"), ["item_id", "item_hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "doc_hash", "item_id", "doc_begin", "item_begin", "n_tokens", "n_equal"]
+        names = [x.split()[0] for x in OVERLAPS.split(", ")]
         for b in batches:
             rows = []
-            for r in b.to_pylist():
-                d, m, found = np.frombuffer(r["doc_tokens"], np.int64), np.frombuffer(r["item_tokens"], np.int64), None
-                for shift in r["shifts"]:
-                    at = shift - r["begin"]  # where the item would begin in d
-                    i, j = max(0, -at), min(len(m), len(d) - at)
-                    if j <= i:
-                        continue
-                    equal = d[at + i : at + j] == m[i:j]
-                    run = best_run(equal, min(least, len(m)), share)
-                    if run and (len(m) >= SPAN or equal.all()) and (found is None or run[1] - run[0] > found[2]):
-                        found = (shift + i + run[0], i + run[0], run[1] - run[0], int(equal[run[0] : run[1]].sum()))
-                if found:
-                    rows.append((r["doc_id"], r["doc_hash"], r["item_id"], *found))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in range(7)], names=names)
-
-    found = both.mapInArrow(run, "doc_id long, doc_hash long, item_id long, doc_begin long, item_begin long, n_tokens long, n_equal long")
+            for fp, i, shift, begin, x, y in zip(*(b.column(c).to_pylist() for c in ("doc_hash", "item_id", "shift", "begin")), b.column("part"), b.column("tokens")):
+                d, m = (np.frombuffer(v.as_buffer(), np.int64) for v in (x, y))
+                first = begin - shift  # the item's tokens before the text begins
+                equal = d == m[first : first + len(d)]
+                found = best_run(equal, min(least, len(m)), share)
+                if found and (len(m) >= SPAN or equal.all()):
+                    rows.append((fp, i, begin + found[0], first + found[0], found[1] - found[0], int(equal[found[0] : found[1]].sum())))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], names=names)
+
     best = F.max_by(F.struct("doc_begin", "item_begin", "n_tokens", "n_equal"), F.struct("n_tokens", -F.col("doc_begin"), -F.col("item_begin"))).alias("o")
-    return found.groupBy("doc_id", "doc_hash", "item_id").agg(best).select("doc_id", "doc_hash", "item_id", "o.*")
+    out = stage(parts.select("doc_hash", "item_id", "shift", "begin", "part", "tokens").mapInArrow(run, OVERLAPS).groupBy("doc_hash", "item_id").agg(best).select("doc_hash", "item_id", "o.*"), "overlaps")
+    discard(items, seeds, hits)
+    return out
+
+
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: int = SHARE) -> DataFrame:
+    """(doc_id, doc_hash, item_id, doc_begin, item_begin, n_tokens, n_equal): OVERLAPS for each contaminated document."""
+    found = text_overlaps(docs, benchmark, least, share)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_hash")).where("text is not null").join(found, "doc_hash").distinct().select("doc_id", *found.columns)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: int = SHARE) -> DataFrame:
@@ -177,6 +192,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, shar
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: int = SHARE) -> DataFrame:
     """``docs`` without its contaminated rows, all columns kept. Rows are told apart by the hash of their text."""
-    bad = stage(find_overlaps(docs, benchmark, least, share).select("doc_hash").distinct(), "contaminated")  # written, so that its size is known to the planner
-    keyed = docs.withColumn("__decontam_hash", F.xxhash64("text"))
-    return keyed.join(bad.withColumnRenamed("doc_hash", "__decontam_hash"), "__decontam_hash", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = unused(docs, "doc_hash")
+    found = text_overlaps(docs, benchmark, least, share)
+    bad = stage(found.select(F.col("doc_hash").alias(name)).distinct(), "contaminated")  # written, so that its size is known to the planner
+    discard(found)
+    return docs.join(bad, F.xxhash64(docs["text"]) == F.col(name), "left_anti")
