@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .util import text_column
+from .util import pieces, text_column
 
 BLANK = "▁"
 
@@ -105,7 +105,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 4096, chunk: int
         if tokenizer not in _LOADED:
             _LOADED[tokenizer] = CountingTokenizer(tokenizer)
         tok = _LOADED[tokenizer]
-        for b in batches:
+        for b in pieces(batches, "text"):
             texts, n = text_column(b, "text"), []
             for i in range(0, len(texts), 64):
                 some = texts[i : i + 64]
