@@ -70,9 +70,9 @@ def test_quality_base_and_lines(spark, odd, empty):
     out = {r.doc_id: r for r in quality.clean(docs).collect()}
     assert len(out) == 31 and out[3].text == unique(3) and out[99].text.startswith("Menu") and out[3].kept and quality.clean(docs).columns == docs.columns
     frequent = quality.frequent_lines(docs)
-    few = quality._judged(docs, ["doc_id"], frequent, 20, 30, 50, True)
+    few = quality._judged(docs, ["doc_id"], frequent, 20, 50, True)
     bound, quality.BROADCAST = quality.BROADCAST, 0
-    many = quality._judged(docs, ["doc_id"], frequent, 20, 30, 50, True)
+    many = quality._judged(docs, ["doc_id"], frequent, 20, 50, True)
     quality.BROADCAST = bound
     assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
 
@@ -82,15 +82,16 @@ def test_quality_lines_of_every_length(spark):
     unique = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
     rows = [(k, f"{notice}\n{unique(k)}", "en", "src0", 1, 1, True) for k in range(21)]
     rows += [(100 + k, f"{notice}\n{unique(100 + k)}", "en", "src1", 1, 1, True) for k in range(20)]  # at the limit
-    rows += [(200 + k, f"{notice} copied\n{unique(200)}", "en", "src2", 1, 1, True) for k in range(30)]  # exact copies are one document
+    rows += [(200 + k, f"{notice} copied\n{unique(200)}", "en", "src2", 1, 1, True) for k in range(30)]  # exact copies
     docs = spark.createDataFrame(rows, DOCS)
-    assert {r.doc_id: r.n_removed_words for r in quality.judge(docs).collect()} == {r[0]: 55 * (r[0] < 100) for r in rows}
-    assert {r.doc_id: r.text for r in quality.clean(docs).collect()} == {r[0]: unique(r[0]) if r[0] < 100 else r[1] for r in rows}
-    frequent = quality.frequent_lines(docs)
+    assert {r.doc_id: r.n_removed_words for r in quality.judge(docs).collect()} == {r[0]: 55 * (r[0] < 100) + 116 * (r[0] >= 200) for r in rows}
+    assert {r.doc_id: r.n_removed_words for r in quality.judge(docs.union(docs), texts_once=True).collect()} == {r[0]: 55 * (r[0] < 100) for r in rows}
+    assert {r.doc_id: r.text for r in quality.clean(docs, texts_once=True).collect()} == {r[0]: unique(r[0]) if r[0] < 100 else r[1] for r in rows}
+    frequent = quality.frequent_lines(docs, texts_once=True)
     bound, quality.BROADCAST = quality.BROADCAST, 0
-    many = quality._judged(docs, ["doc_id"], frequent, 20, None, 50, True)
+    many = quality._judged(docs, ["doc_id"], frequent, 20, 50, True)
     quality.BROADCAST = bound
-    assert sorted(r["__n_removed_words"] for r in many.collect()) == [0] * 50 + [55] * 21
+    assert sorted(r["n_removed_words"] for r in many.collect()) == [0] * 50 + [55] * 21
 
 
 def test_token_counts_splice(spark, odd, empty):
