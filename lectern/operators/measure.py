@@ -13,12 +13,14 @@ COVER = lambda x: f"""with per as (select s.person, s.source, count(i.item_id) a
 STOP = "('the', 'and', 'for', 'with', 'that', 'this', 'what', 'about')"
 MOVES = {"question": r"\\?", "first": r"(?i)\\b(?:i|me|my)\\b", "second": r"(?i)\\b(?:you|your)\\b", "hedge": r"(?i)\\b(?:maybe|perhaps|in)\\b", "list": r"\\|", "shout": r"!!"}
 SAFE = {k: v.replace("\\\\", "\\").replace(r"\b(?:", r"(?:^|[^A-Za-z0-9_])(?:").replace(r")\b", r")(?:$|[^A-Za-z0-9_])") for k, v in MOVES.items()}
+#: One scan with a count for each move, then a row for each.
+MOVED = lambda x: f"with counted as (select person, words, {', '.join(f'{x.hits("text", p)} as {k}' for k, p in SAFE.items())} from items where retrieval = 'retrieved'), moved as ({x.unpivot('counted', ('person', 'words'), tuple(SAFE), 'move', 'hits')})"
 BANDS = "case when words < 100 then 'a' when words < 400 then 'b' else 'c' end"
 CLAIM = "(case when locate_ > 0 then 'verified' else 'dropped' end)"
 
 
 def _checked(x) -> str:
-    loose = lambda c: x.sub(x.sub(f"lower({c})", "[^a-z0-9\\s]", ""), "\\s+", " ")
+    loose = lambda c: x.sub(x.sub(f"lower({c})", "[^\\p{L}\\p{N}\\s]", ""), "\\s+", " ")
     return f"with checked as (select c.quote_id, c.item_id, c.quote, d.text, {x.locate('c.quote', 'd.text')} as found_at, {x.locate(x.sub('c.quote', '\\s+', ' '), x.sub('d.text', '\\s+', ' '))} as at_flat, {x.locate(loose('c.quote'), loose('d.text'))} as at_loose from claims c join documents d on c.item_id = d.doc_id)"
 
 
@@ -71,12 +73,9 @@ CATALOGUE = {
         r as (select *, row_number() over (partition by person order by readings desc, items desc, label) as r from g where readings >= 2) select person, label, readings, items, r from r where r <= 4""",
     "a11_habit_evidence": lambda x: f"""with e as (select person, concat('h', cast(item_id % 7 as {x.string})) as slug, count(distinct item_id) as n, {x.sha(x.set_listed(f"cast({x.div('item_id', '7')} as {x.string})"))} as evidence from items where retrieval = 'retrieved' group by person, item_id % 7),
         d as (select *, row_number() over (partition by person, evidence order by slug) as k from e), r as (select *, row_number() over (partition by person order by n desc, slug) as r from d where k = 1) select person, slug, n, r from r where r <= 4""",
-    "a12_voice_moves": lambda x: "with i as (select person, words, text from items where retrieval = 'retrieved') "
-    + " union all ".join(f"select person, '{k}' as move, cast(sum({x.hits('text', p)}) as bigint) as occurrences, {x.count_if(f'{x.hits("text", p)} > 0')} as spread, floor(sum({x.hits('text', p)}) * 1e4 / sum(words) + 0.5) as rate from i group by person" for k, p in SAFE.items()),
+    "a12_voice_moves": lambda x: MOVED(x) + " select person, move, cast(sum(hits) as bigint) as occurrences, " + x.count_if("hits > 0") + " as spread, floor(sum(hits) * 1e4 / sum(words) + 0.5) as rate from moved group by person, move",
     "a13_voice_population": lambda x: f"with m as (select *, max(words) over (partition by person) as most from items where retrieval = 'retrieved'), u as (select * from m where words >= 300 or most < 300) select person, count(*) as measured, {x.low_median('words')} as median_words from u group by person",
-    "p17_spread_class": lambda x: "with i as (select person, text from items where retrieval = 'retrieved'), "
-    + "s as (" + " union all ".join(f"select person, '{k}' as move, {x.count_if(f'{x.hits("text", p)} > 0')} as spread, count(*) as n from i group by person" for k, p in SAFE.items())
-    + ") select person, move, case when spread * 3 >= n * 2 then 'characteristic' when spread * 3 >= n then 'occasional' when spread > 0 then 'thin' else 'absent' end as class from s",
+    "p17_spread_class": lambda x: MOVED(x) + ", s as (select person, move, " + x.count_if("hits > 0") + " as spread, count(*) as n from moved group by person, move) select person, move, case when spread * 3 >= n * 2 then 'characteristic' when spread * 3 >= n then 'occasional' when spread > 0 then 'thin' else 'absent' end as class from s",
     "w6_exemplars": lambda x: f"""with u as (select person, item_id, title, row_number() over (partition by person order by published_at, item_id) - 1 as i, count(*) over (partition by person) as n from items where retrieval = 'retrieved' and published_at is not null)
         select person, item_id, substring(title, 1, 140) as exemplar from u where i = 0 or i = cast(floor((n - 1) / 2.0 + 0.5) as bigint) or i = n - 1""",
     "a14_scorecard": lambda x: _checked(x) + f", w as (select *, {x.words('quote')} as qw from checked) select quote_id % 3 as generation, count(*) as claims, {x.count_if('found_at > 0')} as faithful, floor({x.median('qw')} + 0.5) as median_quote_words from w group by quote_id % 3",

@@ -17,7 +17,7 @@ TOP = "tops as (select q_id, max(cos) as top from scored group by q_id)"
 PROBES = "probes as (select person, 1 as inside, max(cos) as top from (select s.person, s.q_id, s.cos from scored s where s.q_id % 4 <> 3) t group by person, q_id)"
 
 CATALOGUE = {
-    "v1_cosine": lambda x: f"select q_id, chunk_id, cos from scored where q_id < 10",
+    "v1_cosine": lambda x: f"select q_id, chunk_id, cos from scored",
     "j1_vector_base": lambda x: "select c.chunk_id, c.item, c.ordinal, c.person, p.slug from chunks_v c join citations t on c.item = t.item join positions p on t.position = p.position and p.person = c.person",
     "j2_vector_join": lambda x: f"select q_id, chunk_id, cos from scored where cos >= {FLOOR}",
     "p3_floor": lambda x: f"select q_id, count(*) as n_over from scored where cos >= {STRICT} group by q_id",
@@ -30,8 +30,7 @@ CATALOGUE = {
     "t8_bounded_limit": lambda x: "select q_id, greatest(1, least(20, q_id - 5)) as bounded from questions",
     "j7_supported_positions": lambda x: BLEND + " select q_id, position, best, hits from pos",
     "v2_model_gate": lambda x: f"select model, min({x.size('embedding')}) as least_dim, max({x.size('embedding')}) as most_dim, count(*) as n, case when model <> 'm0' then 'wrong_model' when min({x.size('embedding')}) = 64 and max({x.size('embedding')}) = 64 then 'ready' else 'nothing_indexed' end as state from chunks_v group by model",
-    "v3_statement_score": lambda x: f"""with bg as (select p.position, floor(avg({x.cos('p.s_vec', 'e.embedding')}) * 1e3 + 0.5) / 1e3 as background from positions p join embeddings e on e.vec_id % 61 = 0 and e.label <> p.person group by p.position)
-        select s.q_id, s.position, floor((s.scos - coalesce(bg.background, 0)) * 1e3 + 0.5) / 1e3 as score from scored_statements s left join bg on s.position = bg.position""",
+    "v3_statement_score": lambda x: "select s.q_id, s.position, floor((s.scos - coalesce(bg.background, 0)) * 1e3 + 0.5) / 1e3 as score from scored_statements s left join backgrounds bg on s.position = bg.position",
     "v4_blend": lambda x: BLEND + " select q_id, position, blend from blended",
     "v6_duplicate_vectors": lambda x: f"select count(*) as n_groups from (select embedding from embeddings group by embedding having count(*) > 1) t",
     "p13_effective_floor": lambda x: f"with {TOP} select q_id, case when q_id % 7 = 0 then 0.3 when q_id % 5 = 0 then 0.55 else greatest(coalesce(top, 0.55), 0.52) end as floor_used, case when q_id % 5 = 0 or top <= 0 then null else top end as scale from tops",
@@ -60,14 +59,14 @@ CATALOGUE = {
     "a16_bars": lambda x: f"""with {TOP}, r as (select q.person, count(*) as n, {x.count_if(f't.top >= {STRICT}')} as grounded from tops t join questions q on t.q_id = q.q_id group by q.person)
         select person, case when n = 0 then 'not_measured' when grounded >= 0.7 * n then 'pass' else 'fail' end as grounded_bar from r""",
     "a17_negatives": lambda x: f"""select q.person, {x.count_if(f'm.top >= {FLOOR}')} as answered, {x.count_if(f'm.top < {FLOOR}')} as rested, count(*) as total from
-        (select q.q_id, q.person, max({x.cos('c.embedding', 'q.q_vec')}) as top from questions q join chunks_v c on c.person = (q.person + 1) % 10 where q.q_id % 2 = 0 group by q.q_id, q.person) m join questions q on q.q_id = m.q_id group by q.person""",
+        (select q.q_id, q.person, max({x.cos('c.embedding', 'q.q_vec')}) as top from questions q join chunks_v c on c.person = (q.person + 1) % 10 group by q.q_id, q.person) m join questions q on q.q_id = m.q_id group by q.person""",
     "w12_near_miss": lambda x: "with p as (select person, coalesce(lead(person) over (order by person), min(person) over ()) as next_person from (select distinct person from questions) t) select p.person, p.next_person, q.q_id from p join questions q on q.person = p.next_person",
-    "a20_floor_calibration": lambda x: f"""with own as (select person, min(top) as in_min from (select person, q_id, max(cos) as top from scored where q_id % 4 <> 3 group by person, q_id) t group by person),
-        off as (select person, max(top) as out_max from (select (e.label + 1) % 10 as person, e.vec_id, max(floor({x.cos('c.embedding', 'e.embedding')} * 1e4 + 0.5) / 1e4) as top from embeddings e join chunks_v c on c.person = (e.label + 1) % 10 where e.vec_id % 61 = 0 group by 1, 2) t group by person)
+    "a20_floor_calibration": lambda x: f"""with own as (select person, min(top) as in_min from (select person, q_id, max(cos) as top from scored group by person, q_id) t group by person),
+        off as (select person, max(top) as out_max from (select c.person, q.q_id, max(floor({x.cos('c.embedding', 'q.q_vec')} * 1e4 + 0.5) / 1e4) as top from questions q join chunks_v c on c.person = (q.person + 1) % 10 group by c.person, q.q_id) t group by person)
         select o.person, case when f.out_max is null then 0.55 when o.in_min > f.out_max then floor((f.out_max + (o.in_min - f.out_max) * 0.25) * 1e4 + 0.5) / 1e4 else 0.55 end as measured_floor from own o left join off f on o.person = f.person""",
     "a21_fit_calibration": lambda x: f"""with own as (select q.person, q.q_id, max(s.scos) as top from scored_statements s join questions q on s.q_id = q.q_id group by q.person, q.q_id)
         select person, min(top) as cut, floor((max(top) - min(top)) * 1e4 + 0.5) / 1e4 as span from own group by person""",
-    "a22_background": lambda x: f"select p.position, floor(coalesce(avg({x.cos('p.s_vec', 'e.embedding')}), 0) * 1e3 + 0.5) / 1e3 as background from positions p join embeddings e on e.vec_id % 61 = 0 group by p.position",
+    "a22_background": lambda x: "select position, background from backgrounds_all",
     "w5_even_sample": lambda x: f"with r as (select chunk_id, person, row_number() over (partition by person order by chunk_id) - 1 as i, count(*) over (partition by person) as n from chunks_v) select person, chunk_id from r where i % greatest({x.div('n', '8')}, 1) = 0 and {x.div('i', f'greatest({x.div(chr(110), chr(56))}, 1)')} < 8",
     "a28_corpus_guard": lambda x: "select model, count(*) as n, count(*) >= 40000 as over_limit from chunks_v group by model",
     "a30_models": lambda x: "select distinct model from chunks_v",

@@ -6,10 +6,12 @@ of a session; ``prelude`` writes them as common table expressions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import vectors
 from .dialect import Duck, Spark
 
 TABLES = ("documents", "embeddings", "events", "pages", "benchmark", "conversations", "labels")
@@ -28,7 +30,7 @@ VIEWS: dict[str, Callable] = {
         when item_id % 23 = 0 then 'pending' when published_at < {FLOOR_DATE} then 'skipped_window' else 'retrieved' end as retrieval from items0""",
     "chunks0": lambda x: "select vec_id, label, embedding, row_number() over (partition by label order by vec_id) - 1 as rn from embeddings",
     "chunks_v": lambda x: f"""select vec_id as chunk_id, label as person, embedding, rn, label * 1000 + {x.div("rn", "5")} as item, rn % 5 as ordinal, 'm0' as model from chunks0""",
-    "questions": lambda x: "select vec_id as q_id, label as person, embedding as q_vec from embeddings where vec_id < 50",
+    "questions": lambda x: "select vec_id as q_id, label as person, embedding as q_vec from embeddings where vec_id % 50 = 0",
     "positions0": lambda x: "select label * 4 + rn % 4 as position, label as person, vec_id, embedding, row_number() over (partition by label * 4 + rn % 4 order by vec_id) as k from chunks0",
     "positions": lambda x: f"select position, person, embedding as s_vec, concat('p-', cast(position as {x.string})) as slug from positions0 where k = 1",
     "citations": lambda x: f"""select distinct c.person * 4 + c.rn % 4 as position, c.item from chunks_v c where c.item % 3 <> 0 and not ((c.person * 4 + c.rn % 4) % 2 = 1 and c.item % 2 = 1)""",
@@ -36,19 +38,49 @@ VIEWS: dict[str, Callable] = {
     "scored": lambda x: f"""select q.q_id, q.person, c.chunk_id, c.item, c.ordinal, floor({x.cos("c.embedding", "q.q_vec")} * 1e4 + 0.5) / 1e4 as cos
         from questions q join chunks_v c on q.person = c.person where c.chunk_id <> q.q_id""",
     "scored_statements": lambda x: f"""select q.q_id, p.position, p.slug, floor({x.cos("p.s_vec", "q.q_vec")} * 1e4 + 0.5) / 1e4 as scos from questions q join positions p on q.person = p.person""",
-    "claims": lambda x: f"""select b.item_id as quote_id, d.doc_id as found_in, b.text as quote, case when b.item_id % 2 = 0 then d.doc_id else (d.doc_id + 7) % (select count(*) from documents) end as item_id
-        from benchmark b join documents d on {x.locate("b.text", "d.text")} > 0""",
+    # a text that holds a quote holds its second to sixth word as words, so these five find the pairs to look at
+    "quote_keys": lambda x: f"""select item_id as quote_id, text as quote, {x.join(x.slice(x.split("text", "\\s+"), 2, 5), " ")} as five from benchmark where {x.size(x.split("text", "\\s+"))} >= 7""",
+    "text_fives": lambda x: f"""select doc_id, {x.join(x.slice("w", "i", 5), " ")} as five from {x.explode(f"(select doc_id, w, {x.range('1', x.size('w') + ' - 4')} as places from (select doc_id, {x.split('text', chr(92) + 's+')} as w from documents) t where {x.size('w')} >= 5) u", "places", "i")}""",
+    "backgrounds": lambda x: f"select p.position, floor(coalesce(avg({x.cos('p.s_vec', 'e.embedding')}), 0) * 1e3 + 0.5) / 1e3 as background from positions p join embeddings e on e.label <> p.person group by p.position",
+    "backgrounds_all": lambda x: f"select p.position, floor(coalesce(avg({x.cos('p.s_vec', 'e.embedding')}), 0) * 1e3 + 0.5) / 1e3 as background from positions p cross join embeddings e group by p.position",
+    "claims": lambda x: f"""select q.quote_id, d.doc_id as found_in, q.quote, case when q.quote_id % 2 = 0 then d.doc_id else (d.doc_id + 7) % (select count(*) from documents) end as item_id
+        from quote_keys q join (select distinct doc_id, five from text_fives) f on q.five = f.five join documents d on d.doc_id = f.doc_id where {x.locate("q.quote", "d.text")} > 0""",
     "replies": lambda x: "select a.conv_id, a.turn, a.text as reply, b.text as record from conversations a left join conversations b on a.conv_id = b.conv_id and b.turn = a.turn - 1 where a.role = 'assistant'",
     "polls": lambda x: f"select user_id, event_id, ts, event_type, value, {x.json_int('props', 'k')} as k, row_number() over (partition by user_id order by ts, event_id) as seq from events",
     "pages_v": lambda x: f"""select page_id, url, html, {x.extract("url", "^https?://([^/]+)")} as host from pages""",
 }
 
 
-def register(spark: SparkSession, sf_dir: str) -> None:
+#: Views that Spark builds from others by an operator; their statement above is the check's.
+BUILT: dict[str, Callable[[SparkSession], DataFrame]] = {
+    "scored": lambda s: vectors.score(s.table("questions"), s.table("chunks_v")),
+    "scored_statements": lambda s: vectors.score(s.table("questions"), s.sql("select position as chunk_id, person, position as item, 0 as ordinal, s_vec as embedding from positions"), own=True)
+    .selectExpr("q_id", "chunk_id as position", "concat('p-', cast(chunk_id as string)) as slug", "cos as scos"),
+    "backgrounds": lambda s: vectors.background(s.table("positions"), s.table("embeddings"), others_only=True),
+    "backgrounds_all": lambda s: vectors.background(s.table("positions"), s.table("embeddings"), others_only=False),
+}
+
+
+def register(spark: SparkSession, sf_dir: str, statement: str = "") -> SparkSession:
+    """A session of its own, so that no view of the caller is replaced, with the tables and the views that the statement
+    needs, directly or through others."""
+    own = spark.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.ansi.enabled"):
+        own.conf.set(key, spark.conf.get(key))
+    texts = {name: view(Spark) for name, view in VIEWS.items()}
+    uses = {"scored": "questions chunks_v", "scored_statements": "questions positions", "backgrounds": "positions", "backgrounds_all": "positions"}
+    wanted, queue = set(), [statement or " ".join(VIEWS)]
+    while queue:
+        words = set(re.findall(r"\w+", queue.pop()))
+        for name in words & set(texts) - wanted:
+            wanted.add(name)
+            queue.append(uses.get(name) or texts[name])
     for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    for name, view in VIEWS.items():
-        spark.sql(view(Spark)).createOrReplaceTempView(name)
+        own.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    for name in VIEWS:
+        if name in wanted:
+            (BUILT[name](own) if name in BUILT else own.sql(texts[name])).createOrReplaceTempView(name)
+    return own
 
 
 def prelude() -> str:
@@ -60,8 +92,7 @@ def define(catalogue: dict[str, Callable]) -> tuple[dict[str, Callable], dict[st
 
     def query(statement: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str):
-            register(spark, sf_dir)
-            return spark.sql(statement(Spark))
+            return register(spark, sf_dir, statement(Spark)).sql(statement(Spark))
 
         return run
 
