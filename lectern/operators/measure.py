@@ -50,7 +50,6 @@ CATALOGUE = {
     "j6_covered_items": lambda x: "select p.position, count(distinct v.item) as items, count(distinct c.item) as cited from positions p join chunks_v v on v.person = p.person left join citations c on c.position = p.position and c.item = v.item group by p.position",
     "j10_quote_located": lambda x: _checked(x) + " select quote_id, item_id, found_at, at_flat, case when found_at > 0 then 'exact' when at_flat > 0 then 'flat' else 'missing' end as how from checked",
     "j11_nearly": lambda x: _checked(x) + " select quote_id, item_id from checked where found_at = 0 and at_flat = 0 and at_loose > 0",
-    "j9_chunk_of_quote": lambda x: _checked(x) + f" select quote_id, item_id, {x.div('found_at - 1', '1300')} as ordinal from checked where found_at > 0",
     "e6_quote_verification": lambda x: _checked(x) + f" select item_id, {x.count_if('at_flat > 0')} as verified, {x.count_if('at_flat = 0')} as dropped, {x.count_if('at_flat = 0 and at_loose > 0')} as nearly from checked group by item_id",
     "j12_lookup_fallback": lambda x: "select r.item_id, coalesce(u.item_id, t.item_id) as found from (select item_id, case when item_id % 2 = 0 then external_id end as ref, title from items where item_id % 10 = 0) r left join items u on u.external_id = r.ref left join (select title, min(item_id) as item_id from items group by title) t on t.title = r.title",
     "j16_issued_refs": lambda x: "select c.quote_id, i.item_id is not null as issued from claims c left join (select item_id from items where retrieval = 'retrieved') i on c.item_id = i.item_id",
@@ -99,7 +98,6 @@ CATALOGUE = {
     "w9_issued_refs": lambda x: f"select c.quote_id, c.item_id, concat('c', cast(row_number() over (partition by i.person order by i.published_at desc nulls last, i.external_id, c.quote_id) as {x.string})) as ref from claims c join items i on c.item_id = i.item_id",
     "w10_unique_slugs": lambda x: f"""with b as (select item_id, person, substring({x.sub(x.sub("lower(title)", "[^a-z0-9]+", "-"), "^-+|-+$", "")}, 1, 6) as base from items), n as (select *, row_number() over (partition by person, base order by item_id) as k from b)
         select item_id, case when k = 1 then base else concat(base, '-', cast(k as {x.string})) end as slug from n""",
-    "t5_corpus_order": lambda x: "select item_id, row_number() over (partition by person order by published_at desc nulls last, external_id) as place from items",
     "t6_recent": lambda x: "with r as (select person, item_id, row_number() over (partition by person order by published_at desc nulls last, external_id) as r, count(*) over (partition by person) as n from items) select person, item_id, r, n > 10 as more_available from r where r <= 10",
     "t7_citation_order": lambda x: "select c.position, c.item, row_number() over (partition by c.position order by i.published_at desc nulls last, c.item) as place from citations c left join items i on i.item_id = c.item",
     "e3_golden_questions": lambda x: "with r as (select item_id, person, title, row_number() over (partition by person order by md5(external_id)) as r from items where retrieval = 'retrieved' and title <> '') select item_id, person, title from r where r <= 9",

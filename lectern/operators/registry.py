@@ -1,11 +1,13 @@
-"""All queries of the corpus operators, with their check."""
+"""All queries of the corpus operators, with their check; of two with one name the library's job counts."""
 
 from __future__ import annotations
 
 from ..plans.bindings import define
 from ..streaming.ledgers import CATALOGUE as LEDGERS
+from . import jobs
 from .measure import CATALOGUE as MEASURE
 from .retrieval import CATALOGUE as RETRIEVAL
 from .text import CATALOGUE as TEXT
 
-QUERIES, ORACLES = define({**RETRIEVAL, **MEASURE, **TEXT, **LEDGERS})
+QUERIES, ORACLES = define({k: v for part in (RETRIEVAL, MEASURE, TEXT, LEDGERS) for k, v in part.items() if k not in jobs.QUERIES})
+QUERIES, ORACLES = QUERIES | jobs.QUERIES, ORACLES | jobs.ORACLES

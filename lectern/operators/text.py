@@ -13,13 +13,7 @@ def _lines(x) -> str:
 
 
 CATALOGUE = {
-    "x1_html_text": lambda x: f"select page_id, length({x.sub(x.sub(x.sub(x.sub('html', '(?s)<(script|style)[^>]*>.*?</(script|style)>', ''), '<br>', ' '), '<[^>]+>', ' '), '\\s+', ' ')}) as n_text from pages",
-    "x4_feed_body": lambda x: f"select page_id, length(coalesce(nullif({x.extract('html', '(?s)<article>(.*?)</article>')}, ''), {x.extract('html', '(?s)<body>(.*?)</body>')})) as n_body from pages",
     "x5_gate_markers": lambda x: f"select page_id, case when {x.like('html', '(?i)class=.paywall')} then 'widget' when {x.like('html', '(?i)members only')} then 'phrase' end as gate from pages",
-    "x6_published": lambda x: f"""select k, coalesce(nullif({x.extract('html', 'article:published_time. content=.([0-9-]{10})')}, ''), nullif({x.extract('html', 'datetime=.([0-9-]{10})')}, '')) as day,
-        case when {x.like('html', 'article:published_time')} then 'meta' when {x.like('html', 'datetime=')} then 'time' else 'none' end as found_in from (select page_id as k, case page_id % 3 when 0 then concat('<meta property="article:published_time" content="2024-03-0', cast(page_id % 9 + 1 as {x.string}), '">') when 1 then '<time datetime="2024-01-02">' else html end as html from pages) t""",
-    "x7_agreement": lambda x: "with " + _lines(x) + f", n as (select doc_id, line, row_number() over (partition by doc_id order by line) as r from lines) select doc_id, count(*) as n, {x.count_if('r % 5 <> 0')} as shared from n group by doc_id",
-    "x8_longer_body": lambda x: f"select doc_id, case when {x.words('text')} > {x.words('substring(text, 101, 1000000)')} then 'page' else 'feed' end as body_from from documents",
     "x9_word_count": lambda x: f"select doc_id, {x.words('text')} as words from documents",
     "x11_paragraphs": lambda x: "with " + _lines(x) + " select doc_id, count(*) as paragraphs, cast(sum(length(line)) as bigint) as chars from lines group by doc_id",
     "x12_caption_ends": lambda x: "select user_id, event_id, seq, coalesce(lead(seq) over (partition by user_id order by seq), seq + 1) as end_at from polls",
@@ -40,15 +34,7 @@ CATALOGUE = {
         r as (select conv_id, turn, diag, island, count(*) as n from i group by conv_id, turn, diag, island) select conv_id, turn, max(n) + 5 as longest from r group by conv_id, turn""",
     "a24_repeated_lines": lambda x: "with " + _lines(x) + ", d as (select distinct source, doc_id, line from lines), n as (select source, count(distinct doc_id) as pages from d group by source) select d.source, d.line, count(*) as on_pages from d join n on d.source = n.source group by d.source, d.line, n.pages having count(*) >= greatest(2, ceil(n.pages / 2.0))",
     "x3_without_boilerplate": lambda x: "with " + _lines(x) + ", d as (select distinct source, doc_id, line from lines), n as (select source, count(distinct doc_id) as pages from d group by source), often as (select d.source, d.line from d join n on d.source = n.source group by d.source, d.line, n.pages having count(*) * 10 >= n.pages) select l.doc_id, count(*) as lines_kept from lines l left join often o on l.source = o.source and l.line = o.line where o.line is null group by l.doc_id",
-    "s2_feed_entries": lambda x: f"select page_id, {x.extract('e', '<guid>([^<]*)</guid>')} as guid, {x.extract('e', '<title>([^<]*)</title>')} as title from {x.explode(f"(select page_id, {x.every(f"'{FEED}'", '(?s)<item>.*?</item>')} as a from pages) t", 'a', 'e')}",
-    "s3_sitemap_urls": lambda x: f"select page_id, loc from (select page_id, {x.extract('e', '<loc>([^<]*)</loc>')} as loc from {x.explode(f"(select page_id, {x.every(f"'{MAP}'", '(?s)<url>.*?</url>')} as a from pages) t", 'a', 'e')}) u where loc like 'http%'",
     "s4_document_kind": lambda x: f"select page_id, case when {x.like('html', '(?i)<(rss|feed)')} then 'feed' when {x.like('html', '(?i)<(urlset|sitemapindex)')} then 'sitemap' else 'neither' end as kind from pages",
-    "s5_archive_items": lambda x: f"select event_id, {x.json_str('props', 'k')} as slug, {x.stamp('ts')} as day from events where ts >= timestamp '2024-01-05 00:00:00'",
-    "s6_listing": lambda x: f"select event_id, {x.json_int('props', 'k')} * 60 as duration_s from events where event_type = 'view'",
-    "s8_own_posts": lambda x: "select event_id, user_id from events where event_type <> 'error' and value is not null",
     "s9_caption_track": lambda x: f"""with t as (select d.doc_id, v.lang, v.kind, v.pos from (select doc_id from documents) d join {x.values(["('de', 'asr', 1)", "('en', 'asr', 2)", "('en', 'manual', 3)"], 'lang', 'kind', 'pos')} v on (d.doc_id + v.pos) % 3 <> 0),
         r as (select *, row_number() over (partition by doc_id order by case when lang = 'en' then 0 else 1 end, case when kind = 'asr' then 1 else 0 end, pos) as r from t) select doc_id, lang, kind from r where r = 1""",
-    "s10_insert_if_absent": lambda x: "select i.item_id from items i left join (select item_id from items where item_id % 4 = 0) old on i.item_id = old.item_id where old.item_id is null",
-    "s11_replace_by_key": lambda x: "select item, count(*) as chunks from chunks_v group by item",
-    "s12_current_version": lambda x: "with v as (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events where event_type = 'purchase') select user_id, event_id from v where r = 1",
 }

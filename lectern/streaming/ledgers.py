@@ -15,7 +15,6 @@ CATALOGUE = {
     "i7_silence_ledger": lambda x: RUNS + f", l as (select user_id, island, count(*) as attempts, {x.hours('max(ts)', 'min(ts)')} as hours from run where fail group by user_id, island) select user_id, count(*) as silences, max(attempts) as most_attempts, {x.any('hours >= 24')} as outage from l group by user_id",
     "i8_blocked": lambda x: RUNS + " select user_id, event_id, cast(run_k as bigint) as consecutive from run where fail and run_k = 5",
     "i9_retry_budget": lambda x: RUNS + " select event_id, case when run_k >= 3 then 'failed' else 'pending' end as state from run where fail",
-    "i10_catalogue_upsert": lambda x: "with old as (select item_id, published_at, retrieval from items where item_id % 2 = 0) select n.item_id, coalesce(o.published_at, n.published_at) is null as undated, case when o.retrieval is null or o.retrieval = 'pending' then n.retrieval else o.retrieval end as retrieval from items n left join old o on n.item_id = o.item_id",
     "i11_reopen_rules": lambda x: f"select item_id, case when retrieval = 'skipped_window' and published_at >= date '2024-02-01' then 'window_widened' when retrieval = 'skipped_short' then 'shorts_enabled' when retrieval = 'failed' and item_id % 2 = 0 then 'lastmod_moved' end as rule from items where retrieval in ('skipped_window', 'skipped_short', 'failed')",
     "i12_register_sources": lambda x: f"select person, source, case when srcno % 2 = 0 then date '2024-01-01' < backfill_floor else false end as reopened, backfill_complete and not (srcno % 2 = 0) as complete_after from sources",
     "i13_stuck_rebuilds": lambda x: RUNS.replace("'error'", "'click'") + ", last as (select user_id, max(seq) as s from run group by user_id) select r.user_id, cast(r.run_k as bigint) as cycles_behind, r.run_k >= 2 as fault from run r join last l on r.user_id = l.user_id and r.seq = l.s where r.fail",

@@ -28,7 +28,7 @@ def _rows(frame: pd.DataFrame) -> list:
     return sorted(tuple(show(v) for v in r) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_rows(spark, duck, name):
     got, want = QUERIES[name](spark, SF).toPandas(), duck.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
