@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .tokens import encoder
-from .util import new_path, pieces, stage, text_column
+from .util import new_path, pieces, small_batches, stage, text_column
 
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
@@ -47,15 +47,16 @@ def encode_partitions(docs: DataFrame, tokenizer: str, lead: bool, end_id: int)
 
 def save(rows: DataFrame, path: str, row_group: int = 16 << 20, page_rows: int = 256) -> str:
     """Writes rows of FILE_SCHEMA with Spark's committer: a lost task is written again, never twice."""
-    (
+    written = (
         rows.write.option("parquet.block.size", row_group)
         .option("parquet.page.row.count.limit", page_rows)
         .option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.enable.dictionary", "false")
         .option("parquet.enable.dictionary#ids.list.element", "true")
         .option("compression", "zstd")
-        .parquet(path)
     )
+    with small_batches(rows.sparkSession):
+        written.parquet(path)
     return path
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +45,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """Arrow batches of about ``size`` bytes while the block runs, as rows hold whole texts; then the session is as it was."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: the lineage ends there, and a lost executor costs a re-read only."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged = path
     return out
@@ -84,6 +98,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = 4
         block = np.cumsum(pc.binary_length(b.column(column)).fill_null(0).to_numpy().astype(np.int64)) // limit
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), b.num_rows]
         yield from (b.slice(i, j - i) for i, j in zip(cuts, cuts[1:]) if j > i)
+    pa.default_memory_pool().release_unused()  # a worker outlives its task
 
 
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
@@ -97,12 +112,13 @@ def bitmap(df: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:
     falsely true, never falsely false: callers use it to skip work, and decide by a join or a comparison.
     """
     slot = F.pmod(F.col(column), F.lit(bits))
-    words = (
+    some = (
         df.where(F.col(column).isNotNull())
         .groupBy((slot / F.lit(63)).cast("long").alias("w"))
         .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod({column}, {bits}L), 63L) as int))")).alias("m"))
-        .toPandas()
     )
+    with small_batches(df.sparkSession):
+        words = some.toPandas()
     out = np.zeros((bits + 62) // 63, dtype=np.int64)
     out[words["w"].to_numpy(dtype=np.int64)] = words["m"].to_numpy(dtype=np.int64)
     return out
@@ -116,7 +132,7 @@ def in_bitmap(words: np.ndarray, values: np.ndarray, bits: int = 1 << 23) -> np.
 class WordHashes(dict):
     """64-bit hashes of words, as signed integers, kept for the next text; emptied at ``keep`` entries."""
 
-    def __init__(self, keep: int = 500_000):
+    def __init__(self, keep: int = 200_000):
         super().__init__()
         self.keep = keep
 
