@@ -35,29 +35,13 @@ CATALOGUE = {
     "v6_duplicate_vectors": lambda x: f"select count(*) as n_groups from (select embedding from embeddings group by embedding having count(*) > 1) t",
     "p13_effective_floor": lambda x: f"with {TOP} select q_id, case when q_id % 7 = 0 then 0.3 when q_id % 5 = 0 then 0.55 else greatest(coalesce(top, 0.55), 0.52) end as floor_used, case when q_id % 5 = 0 or top <= 0 then null else top end as scale from tops",
     "p14_fit_grade": lambda x: "select q_id, position, case when scos is null then 'ungraded' when scos >= 0.1 + 0.66 * 0.2 then 'close' when scos >= 0.1 + 0.33 * 0.2 then 'partial' else 'distant' end as fit from scored_statements",
-    "w4_candidate_rank": lambda x: HITS + f" select q.q_id, cast(coalesce(r.item_rank, 0) as bigint) as item_rank from (select q_id, person * 1000 + 1 as item from questions) q left join ranked r on q.q_id = r.q_id and q.item = r.item",
     "w11_bounded_evidence": lambda x: "with c as (select position, item, row_number() over (partition by position order by item) as r, count(*) over (partition by position) as n from citations) select position, item, r, greatest(n - 4, 0) as more_citations from c where r <= 4",
     "j8_relations": lambda x: "select position, other, direction, relation from (select p_from as position, p_to as other, 'forward' as direction, relation from relations union all select p_to, p_from, 'back', relation from relations) t",
     "u2_both_directions": lambda x: f"select p_from as position, relation from relations union all select p_to, relation from relations",
     "a9_riding_lines": lambda x: BLEND + """, lines as (select distinct position % 5 as line, item from citations),
         ride as (select s.q_id, l.line, count(distinct s.position) as n from shown s join citations c on s.position = c.position join lines l on c.item = l.item where s.place <= 5 group by s.q_id, l.line),
         r as (select *, row_number() over (partition by q_id order by n desc, line) as r from ride) select q_id, line, n, r from r where r <= 3""",
-    "e1_read_without_position": lambda x: HITS + " select k.q_id, k.item from ranked k left join (select distinct item from citations) c on k.item = c.item where k.item_rank = 1 and c.item is null",
-    "e1_find_positions": lambda x: BLEND + f", {TOP} select s.q_id, s.slug, s.blend, s.place from shown s join tops t on s.q_id = t.q_id where t.top >= {FLOOR} and s.place <= 5",
     "e1_find_positions_strict": lambda x: BLEND.replace(f">= {FLOOR}", f">= {STRICT}") + f", {TOP} select s.q_id, s.slug, s.blend, s.place from shown s join tops t on s.q_id = t.q_id where t.top >= {STRICT} and s.place <= 5",
-    "e1_citations": lambda x: BLEND + ", c as (select s.q_id, s.place, c.item, row_number() over (partition by s.q_id, s.place order by c.item) as r from shown s join citations c on s.position = c.position where s.place <= 5) select * from c where r <= 4",
-    "e1_relations": lambda x: BLEND + " select s.q_id, s.slug, r.p_to as other, r.relation from shown s join relations r on s.position = r.p_from where s.place <= 5 union all select s.q_id, s.slug, r.p_from, r.relation from shown s join relations r on s.position = r.p_to where s.place <= 5",
-    "e1_nothing_matched": lambda x: f"with {TOP} select q_id, top, case when top < {STRICT} then 'under_floor' else 'answered' end as reason from tops",
-    "e2_funnel": lambda x: BLEND + f""", {TOP}, f as (select q.q_id, q.person, t.top >= {FLOOR} as gate, coalesce(r.item_rank, 0) as rank_,
-            r.item in (select item from citations) as cited, q.person * 1000 + 1 as item from questions q left join tops t on q.q_id = t.q_id left join ranked r on r.q_id = q.q_id and r.item = q.person * 1000 + 1)
-        select person, count(*) as asked, {x.count_if('gate')} as gate, {x.count_if('gate and rank_ > 0')} as candidate, {x.count_if('gate and rank_ > 0 and cited')} as cited from f group by person""",
-    "e4_rungs": lambda x: BLEND + f""", {TOP}, best as (select q_id, min(place) as place from shown group by q_id)
-        select t.q_id, case when t.top < {FLOOR} then 'silence' when b.place is null then 'uncovered' when t.top < {STRICT} then 'outranked' else 'grounded' end as rung from tops t left join best b on t.q_id = b.q_id""",
-    "a15_rung_histogram": lambda x: BLEND + f""", {TOP}, best as (select q_id, min(place) as place from shown group by q_id),
-        rungs as (select q.person, t.q_id, case when t.top < {FLOOR} then 'silence' when b.place is null then 'uncovered' when t.top < {STRICT} then 'outranked' else 'grounded' end as rung from tops t join questions q on t.q_id = q.q_id left join best b on t.q_id = b.q_id)
-        select person, {x.count_if("rung = 'silence'")} as silence, {x.count_if("rung = 'uncovered'")} as uncovered, {x.count_if("rung = 'outranked'")} as outranked, {x.count_if("rung = 'grounded'")} as grounded, count(*) as asked from rungs group by rollup(person)""",
-    "a16_bars": lambda x: f"""with {TOP}, r as (select q.person, count(*) as n, {x.count_if(f't.top >= {STRICT}')} as grounded from tops t join questions q on t.q_id = q.q_id group by q.person)
-        select person, case when n = 0 then 'not_measured' when grounded >= 0.7 * n then 'pass' else 'fail' end as grounded_bar from r""",
     "a17_negatives": lambda x: f"""select q.person, {x.count_if(f'm.top >= {FLOOR}')} as answered, {x.count_if(f'm.top < {FLOOR}')} as rested, count(*) as total from
         (select q.q_id, q.person, max({x.cos('c.embedding', 'q.q_vec')}) as top from questions q join chunks_v c on c.person = (q.person + 1) % 10 group by q.q_id, q.person) m join questions q on q.q_id = m.q_id group by q.person""",
     "w12_near_miss": lambda x: "with p as (select person, coalesce(lead(person) over (order by person), min(person) over ()) as next_person from (select distinct person from questions) t) select p.person, p.next_person, q.q_id from p join questions q on q.person = p.next_person",

@@ -9,6 +9,7 @@ the result is that of ranking all pairs. Cosines are rounded to four places befo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import date
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 #: Questions in a block: at 1024 dimensions, 64 MB of the broadcast.
 BLOCK = 8192
+LONG_AGO, FAR_OFF = 0, 1 << 40
 PAIRS = "q_id long, person long, chunk_id long, item long, ordinal long, cos double"
 
 
@@ -34,20 +36,24 @@ def rounded(cos: np.ndarray, places: float = 1e4) -> np.ndarray:
 
 def _against(block: list, chunks: DataFrame, k: int | None, own: bool) -> DataFrame:
     ids, people = np.array([r["q_id"] for r in block]), np.array([r["person"] for r in block])
-    shared = chunks.sparkSession.sparkContext.broadcast((ids, people, unit_rows(pa.array([list(r["q_vec"]) if r["q_vec"] else None for r in block], pa.list_(pa.float64())))))
+    days = np.array([[LONG_AGO if r["since"] is None else r["since"].toordinal(), FAR_OFF if r["until"] is None else r["until"].toordinal()] for r in block]).reshape(-1, 2)
+    shared = chunks.sparkSession.sparkContext.broadcast((ids, people, days, unit_rows(pa.array([list(r["q_vec"]) if r["q_vec"] else None for r in block], pa.list_(pa.float64())))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, people, q = shared.value
+        ids, people, days, q = shared.value
         for b in batches:
             person, chunk, item, ordinal = (b.column(c).to_numpy() for c in ("person", "chunk_id", "item", "ordinal"))
             vectors = unit_rows(b.column("embedding"))
+            day = b.column("day").fill_null(0).to_numpy() + date(1970, 1, 1).toordinal()
+            undated = ~b.column("day").is_valid().to_numpy(zero_copy_only=False)
             found = []
             for p in np.unique(person).tolist():
                 rows, mine = np.flatnonzero(person == p), np.flatnonzero(people == p)
                 cos = rounded(q[mine] @ vectors[rows].T)
                 for a, i in enumerate(mine.tolist()):
-                    at = rows if own else rows[chunk[rows] != ids[i]]
-                    c = cos[a] if own else cos[a][chunk[rows] != ids[i]]
+                    fits = np.where(undated[rows], (days[i] == (LONG_AGO, FAR_OFF)).all(), (day[rows] >= days[i, 0]) & (day[rows] <= days[i, 1]))
+                    fits &= own | (chunk[rows] != ids[i])
+                    at, c = rows[fits], cos[a][fits]
                     if k is not None and len(at) > k:
                         best = np.lexsort((chunk[at], item[at], -c))[:k]
                         at, c = at[best], c[best]
@@ -55,19 +61,22 @@ def _against(block: list, chunks: DataFrame, k: int | None, own: bool) -> DataFr
             i, at, c = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (i.astype(np.int64), person[at].astype(np.int64), chunk[at], item[at].astype(np.int64), ordinal[at].astype(np.int64), c)], names=[x.split()[0] for x in PAIRS.split(", ")])
 
-    return chunks.select(F.col("chunk_id").cast("long"), F.col("person").cast("long"), F.col("item").cast("long"), F.col("ordinal").cast("long"), "embedding").mapInArrow(run, PAIRS)
+    day = F.unix_date("published_at") if "published_at" in chunks.columns else F.lit(None).cast("int")
+    return chunks.select(F.col("chunk_id").cast("long"), F.col("person").cast("long"), F.col("item").cast("long"), F.col("ordinal").cast("long"), "embedding", day.alias("day")).mapInArrow(run, PAIRS)
 
 
 def score(questions: DataFrame, chunks: DataFrame, k: int | None = None, own: bool = False) -> DataFrame:
     """PAIRS of each question and the chunks of its person: all of them, or the nearest ``k``.
 
-    ``questions`` has (q_id, person, q_vec), ``chunks`` (chunk_id, person, item, ordinal, embedding). Unless ``own`` is
-    set, the chunk with the id of the question is left out. Nulls: a null vector has the cosine 0; a null person meets
-    none. No questions or chunks give no row.
+    ``questions`` has (q_id, person, q_vec), ``chunks`` (chunk_id, person, item, ordinal, embedding). A question's dates
+    ``since`` and ``until``, both inclusive, bound ``published_at`` of the chunks, and leave out undated ones, where given.
+    Unless ``own`` is set, the chunk with the id of the question is left out. Nulls: a null vector has the cosine 0; a
+    null person meets none. No questions or chunks give no row.
     """
     spark, out = chunks.sparkSession, None
     block: list = []
-    for r in questions.select("q_id", "person", "q_vec").where("person is not null").toLocalIterator():
+    bounds = [F.col(c) if c in questions.columns else F.lit(None).cast("date").alias(c) for c in ("since", "until")]
+    for r in questions.select("q_id", "person", "q_vec", *bounds).where("person is not null").toLocalIterator():
         block.append(r)
         if len(block) == BLOCK:
             part = _against(block, chunks, k, own)

@@ -61,6 +61,12 @@ BUILT: dict[str, Callable[[SparkSession], DataFrame]] = {
 }
 
 
+def define_view(name: str, view: Callable) -> str:
+    """Adds a view that other modules state, after those it uses."""
+    VIEWS[name] = view
+    return name
+
+
 def register(spark: SparkSession, sf_dir: str, statement: str = "") -> SparkSession:
     """A session of its own, so that no view of the caller is replaced, with the tables and the views that the statement
     needs, directly or through others."""
