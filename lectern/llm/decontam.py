@@ -95,6 +95,7 @@ def text_seeds(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], lengths: l
                 doc, at = doc[inside], at[inside]
                 found.append((fps[doc], h[at], at - begins[doc]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found)], names=["doc_hash", "hash", "pos"])
+        _WORDS.clear()
 
     return docs.select(F.xxhash64("text").alias("doc_hash"), "text").where("text is not null").mapInArrow(run, "doc_hash long, hash long, pos long").distinct()
 
@@ -157,7 +158,8 @@ def text_overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, sha
     known = bitmap(seeds, "hash"), bitmap(seeds.select(F.shiftright("hash", SECOND).alias("high")), "high")
     hits = text_seeds(docs, known, lengths).join(seeds, "hash").select("doc_hash", "item_id", "item_hash", F.col("n").cast("long").alias("n"), (F.col("pos") - F.col("item_pos")).alias("shift"))
     hits = stage(hits.distinct(), "seed-hits")
-    parts = covered(docs, hits).join(items.select("item_id", "item_hash", "tokens"), ["item_id", "item_hash"])
+    near = stage(covered(docs, hits), "covered")  # written, so that no task feeds two Python workers
+    parts = near.join(items.select("item_id", "item_hash", "tokens"), ["item_id", "item_hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in OVERLAPS.split(", ")]
@@ -174,7 +176,7 @@ def text_overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, sha
 
     best = F.max_by(F.struct("doc_begin", "item_begin", "n_tokens", "n_equal"), F.struct("n_tokens", -F.col("doc_begin"), -F.col("item_begin"))).alias("o")
     out = stage(parts.select("doc_hash", "item_id", "shift", "begin", "part", "tokens").mapInArrow(run, OVERLAPS).groupBy("doc_hash", "item_id").agg(best).select("doc_hash", "item_id", "o.*"), "overlaps")
-    discard(items, seeds, hits)
+    discard(items, seeds, hits, near)
     return out
 
 

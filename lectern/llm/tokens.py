@@ -58,7 +58,7 @@ class Encoder:
     pieces is emptied at ``keep`` entries.
     """
 
-    def __init__(self, path: str, lead: bool, keep: int = 900_000):
+    def __init__(self, path: str, lead: bool, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
