@@ -45,6 +45,11 @@ VIEWS: dict[str, Callable] = {
     "backgrounds_all": lambda x: f"select p.position, floor(coalesce(avg({x.cos('p.s_vec', 'e.embedding')}), 0) * 1e3 + 0.5) / 1e3 as background from positions p cross join embeddings e group by p.position",
     "claims": lambda x: f"""select q.quote_id, d.doc_id as found_in, q.quote, case when q.quote_id % 2 = 0 then d.doc_id else (d.doc_id + 7) % (select count(*) from documents) end as item_id
         from quote_keys q join (select distinct doc_id, five from text_fives) f on q.five = f.five join documents d on d.doc_id = f.doc_id where {x.locate("q.quote", "d.text")} > 0""",
+    # a source is checked by the user of its number; notes stand on the claims that were found in their item
+    "checks": lambda x: "select s.person, s.source, s.platform, max(e.ts) as last_checked, max(case s.platform when 'substack' then 24 when 'youtube' then 48 when 'blog' then 72 else 6 end) as every_h from sources s left join events e on e.user_id = s.srcno group by s.person, s.source, s.platform",
+    "compiles": lambda x: f"""select i.person, max(case when s.backfill_complete then i.published_at end) as compiled_at, concat('c', cast(count(distinct s.platform) % 2 as {x.string}), '+m0.s1.p', cast(min(s.srcno) % 2 as {x.string}), '.r1') as version
+        from items i join sources s on s.person = i.person and s.source = i.source where i.retrieval = 'retrieved' group by i.person""",
+    "notes": lambda x: f"select item_id, concat('g', cast(quote_id % 3 as {x.string})) as extractor, count(*) as claims from claims group by item_id, quote_id % 3",
     "replies": lambda x: "select a.conv_id, a.turn, a.text as reply, b.text as record from conversations a left join conversations b on a.conv_id = b.conv_id and b.turn = a.turn - 1 where a.role = 'assistant'",
     "polls": lambda x: f"select user_id, event_id, ts, event_type, value, {x.json_int('props', 'k')} as k, row_number() over (partition by user_id order by ts, event_id) as seq from events",
     "pages_v": lambda x: f"""select page_id, url, html, {x.extract("url", "^https?://([^/]+)")} as host from pages""",

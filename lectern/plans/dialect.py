@@ -42,6 +42,9 @@ class Spark:
     day = staticmethod(lambda c: f"cast({c} as date)")
     hours = staticmethod(lambda later, earlier: f"(cast(floor((unix_seconds(cast({later} as timestamp)) - unix_seconds(cast({earlier} as timestamp))) / 3600) as bigint))")
     stamp = staticmethod(lambda c: f"date_format({c}, 'yyyy-MM-dd HH:mm:ss')")
+    secs = staticmethod(lambda c: f"unix_seconds(cast({c} as timestamp))")
+    grams = staticmethod(lambda c, n: f"transform(sequence(1, greatest(length({c}) - {n - 1}, 1)), i -> substring({c}, i, {n}))")
+    try_number = staticmethod(lambda c: f"try_cast({c} as double)")
     unpivot = staticmethod(lambda table, kept, names, key, value: f"select {', '.join(kept)}, {key}, {value} from {table} lateral view stack({len(names)}, {', '.join(f"'{n}', {n}" for n in names)}) as {key}, {value}")
     values = staticmethod(lambda rows, *names: f"(select * from values {', '.join(rows)} as t({', '.join(names)}))")
     months = staticmethod(lambda d, n: f"add_months({d}, {n})")
@@ -86,6 +89,9 @@ class Duck:
     day = staticmethod(lambda c: f"cast({c} as date)")
     hours = staticmethod(lambda later, earlier: f"cast(floor((epoch({later}) - epoch({earlier})) / 3600) as bigint)")
     stamp = staticmethod(lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')")
+    secs = staticmethod(lambda c: f"cast(floor(epoch({c})) as bigint)")
+    grams = staticmethod(lambda c, n: f"list_transform(range(1, greatest(length({c}) - {n - 1}, 1) + 1), lambda i: substring({c}, i, {n}))")
+    try_number = staticmethod(lambda c: f"try_cast({c} as double)")
     unpivot = staticmethod(lambda table, kept, names, key, value: " union all ".join(f"select {', '.join(kept)}, '{n}' as {key}, {n} as {value} from {table}" for n in names))
     values = staticmethod(lambda rows, *names: f"(select * from (values {', '.join(rows)}) as t({', '.join(names)}))")
     months = staticmethod(lambda d, n: f"cast({d} + to_months({n}) as date)")
