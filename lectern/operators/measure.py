@@ -79,7 +79,9 @@ CATALOGUE = {
     "j10_quote_located": lambda x: _checked(x) + " select quote_id, item_id, found_at, at_flat, case when found_at > 0 then 'exact' when at_flat > 0 then 'flat' else 'missing' end as how from checked",
     "j11_nearly": lambda x: _checked(x) + " select quote_id, item_id from checked where found_at = 0 and at_flat = 0 and at_loose > 0",
     "e6_quote_verification": lambda x: _checked(x) + f" select item_id, {x.count_if('at_flat > 0')} as verified, {x.count_if('at_flat = 0')} as dropped, {x.count_if('at_flat = 0 and at_loose > 0')} as nearly from checked group by item_id",
-    "j12_lookup_fallback": lambda x: "select r.item_id, coalesce(u.item_id, t.item_id) as found from (select item_id, case when item_id % 2 = 0 then external_id end as ref, title from items where item_id % 10 = 0) r left join items u on u.external_id = r.ref left join (select title, min(item_id) as item_id from items group by title) t on t.title = r.title",
+    "j12_lookup_fallback": lambda x: f"""with refs as (select item_id, person, case when item_id % 4 < 3 then concat('HTTPS://www.x.example/p/', case when item_id % 4 = 2 then '0' else '' end, external_id, '/') end as url, title from items where item_id % 50 = 0),
+        urls as (select person, item_id, concat('x.example/p/', external_id) as url from items), titles as (select person, title, min(item_id) as item_id from items group by person, title)
+        select r.item_id, coalesce(u.item_id, t.item_id) as found, case when u.item_id is not null then 'url' when t.item_id is not null then 'title' end as how from refs r left join urls u on u.person = r.person and u.url = {x.sub(x.sub('lower(r.url)', '^https?://(www[.])?', ''), '/+$', '')} left join titles t on t.person = r.person and t.title = r.title""",
     "j16_issued_refs": lambda x: "select c.quote_id, i.item_id is not null as issued from claims c left join (select item_id from items where retrieval = 'retrieved') i on c.item_id = i.item_id",
     "j17_ownership_conflict": lambda x: "select source, count(distinct person) as owners from sources group by source having count(distinct person) > 1",
     "j18_overrides": lambda x: f"""with o as {x.values(["(1, 'blog', null, 12)", "(2, 'blog', 'src2', 6)", "(3, 'youtube', null, 24)"], "ord", "platform", "handle", "hours")},
@@ -116,8 +118,8 @@ CATALOGUE = {
     "a19_publish_gate": lambda x: GATE(x),
     "a23_most_common": lambda x: f"with c as (select lang, source, count(*) as n, min(doc_id) as first_at from documents group by lang, source), r as (select *, row_number() over (partition by lang order by n desc, first_at) as r from c) select lang, source, n from r where r = 1",
     "a25_publish_rate": lambda x: f"with s as (select person, source, count(published_at) as n, {x.days('max(published_at)', 'min(published_at)')} as span from items group by person, source) select person, source, n, case when n < 2 or span = 0 then cast(n as double) else floor((n - 1) * 365.0 / span * 100 + 0.5) / 100 end as projected from s",
-    "a26_archive_survey": lambda x: f"""select s.person, s.source, {x.count_if(f'i.published_at >= {FLOOR_DATE}')} as in_window, {x.count_if('i.toxic = 1')} as paywalled,
-        cast(ceil(count(*) * max(case s.platform when 'youtube' then 4 when 'blog' then 2 else 1 end) / 60.0) as bigint) as minutes from sources s join items i on s.person = i.person and s.source = i.source group by s.person, s.source""",
+    "a26_archive_survey": lambda x: f"""select s.person, s.source, s.platform, {x.count_if(f'i.published_at >= {FLOOR_DATE} or i.published_at is null')} as in_window, {x.count_if('i.toxic = 1')} as paywalled, {x.count_if(f'(i.published_at >= {FLOOR_DATE} or i.published_at is null) and (i.toxic is null or i.toxic = 0)')} as bodies,
+        cast(ceil({x.count_if(f'(i.published_at >= {FLOOR_DATE} or i.published_at is null) and (i.toxic is null or i.toxic = 0)')} * max(case s.platform when 'youtube' then 4 when 'blog' then 2 else 1 end) / 60.0) as bigint) as minutes from sources s join items i on s.person = i.person and s.source = i.source group by s.person, s.source, s.platform""",
     "e18_backfill_plan": lambda x: f"select s.platform, {x.count_if(f'i.published_at >= {FLOOR_DATE}')} as in_window, {x.count_if('i.published_at is null')} as undated, cast(ceil({x.count_if(f'i.published_at >= {FLOOR_DATE}')} / 60.0) as bigint) as minutes from sources s join items i on s.person = i.person and s.source = i.source group by s.platform",
     "a27_fleet": lambda x: "select person, count(*) as n from items where retrieval = 'retrieved' group by person order by n desc, person",
     "a29_pass_metrics": lambda x: "select quote_id % 3 as pass, count(*) as refs, count(distinct item_id) as items from claims group by quote_id % 3",
@@ -142,7 +144,9 @@ CATALOGUE = {
         from r left join note n on n.item_id = r.item_id where r.r <= 5""",
     "e8_personas": lambda x: f"""select p.person, p.paused, max(c.version) as version, {x.iso('max(c.compiled_at)')} as compiled_at, count(s.source) as sources, {x.count_if('not s.backfill_complete')} as blocked, {x.listed('case when not s.backfill_complete then s.source end', 's.source')} as blocked_sources
         from people p left join compiles c on c.person = p.person left join sources s on p.person = s.person group by p.person, p.paused""",
-    "e9_layers": lambda x: f"select p.person, l.layer, case when p.paused then 'withdrawn' when l.k % 2 = 0 then 'withheld' else 'served' end as state from people p cross join {x.values(["(1, 'voice')", "(2, 'coverage')", "(3, 'positions')", "(4, 'habits')", "(5, 'lines')"], 'k', 'layer')} l",
+    "e9_layers": lambda x: f"""with v as (select person, {x.split(x.sub("version", "[+]", "."), "[.]")} as a, {x.split(x.sub(f"'{OURS}'", "[+]", "."), "[.]")} as b from compiles)
+        select p.person, k.layer, case when v.person is null then 'absent' when p.paused then 'withdrawn' when max(case when {" or ".join(f"(k.part = {i} and {x.at('v.a', i)} <> {x.at('v.b', i)})" for i in range(1, 6))} then 1 else 0 end) = 1 then 'withheld' else 'served' end as state
+        from people p left join v on v.person = p.person cross join {x.values(["(1, 'voice')", "(2, 'voice')", "(1, 'coverage')", "(2, 'coverage')", "(1, 'habits')", "(3, 'habits')", "(1, 'positions')", "(4, 'positions')", "(1, 'revisions')", "(5, 'revisions')"], 'part', 'layer')} k group by p.person, p.paused, v.person, k.layer""",
     "e10_measured_layers": lambda x: COVER(x) + " select person, count(*) as sources, cast(sum(retrieved) as bigint) as items, cast(sum(words) as bigint) as words from per group by person",
     "e11_positions_build": lambda x: "select quote_id % 12 as cluster, count(*) as claims, count(distinct c.item_id) as items, count(*) - count(i.item_id) as unabsorbed from claims c left join items i on c.item_id = i.item_id and i.retrieval = 'retrieved' group by quote_id % 12",
     "e12_revisions": lambda x: f"""with dated as (select p.position, p.person, min(t.published_at) as since from positions p join citations c on c.position = p.position left join vec_items t on t.item = c.item group by p.position, p.person),
@@ -159,8 +163,8 @@ CATALOGUE = {
         ev as (select r.grp, c.item from rows_ r join citations c on c.position = r.position group by r.grp, c.item), en as (select grp, count(*) as items from ev group by grp)
         select r.grp, count(*) as members, min(r.position) as at_position, {x.first_by('r.slug', x.pair('length(r.slug)', 'r.position'))} as wording, coalesce(max(en.items), 0) as evidence from rows_ r left join en on en.grp = r.grp group by r.grp""",
     "u6_first_sources": lambda x: "with r as (select source, lang, doc_id, row_number() over (partition by source order by doc_id) as r from documents) select source, lang, doc_id from r where r = 1",
-    "n1_claim_rows": lambda x: f"select person, k, v from {x.posexplode(f'(select person, {x.split("max(title)", " ")} as a from items group by person) t', 'a', 'k', 'v')}",
-    "n2_json_path": lambda x: f"select event_id, {x.json_int('props', 'k')} as k from events",
-    "n3_statements": lambda x: f"select person, {x.size(x.slice(x.split('max(title)', ' '), 1, 5))} as kept from items group by person",
+    "n1_claim_rows": lambda x: f"select item_id, k, said from {x.posexplode(f'(select item_id, {x.split("text", "[.] ")} as a from items where retrieval = {chr(39)}retrieved{chr(39)}) t', 'a', 'k', 'said')} where said <> ''",
+    "n2_json_path": lambda x: f"""select event_id, {x.json_int('props', 'k')} as k, case when n is not null and n = n and abs(n) < 1e300 then n end as finite from (select event_id, props, {x.try_number(f"case event_id % 4 when 0 then {x.json_str('props', 'k')} when 1 then 'NaN' when 2 then concat('x', {x.json_str('props', 'k')}) else {x.json_str('props', 'none')} end")} as n from events) t""",
+    "n3_statements": lambda x: f"select item_id, {x.size(x.slice(x.split('text', '[.] '), 1, 5))} as kept, {x.join(x.slice(x.split('text', '[.] '), 1, 5), ' / ')} as statements from items where retrieval = 'retrieved' and text <> ''",
     "n4_digest_lines": lambda x: f"select item_id, concat_ws(' | ', external_id, substring(title, 1, 40), coalesce({x.iso('published_at')}, 'undated')) as line from items",
 }

@@ -35,7 +35,7 @@ CATALOGUE = {
     "x16_timecodes": lambda x: f"""with c as (select event_id, k * 61 as s from polls), r as (select event_id, s, case when s >= 3600 then concat(cast({x.div('s', '3600')} as {x.string}), ':', lpad(cast({x.div('s % 3600', '60')} as {x.string}), 2, '0'), ':', lpad(cast(s % 60 as {x.string}), 2, '0')) else concat(cast({x.div('s', '60')} as {x.string}), ':', lpad(cast(s % 60 as {x.string}), 2, '0')) end as code from c),
         p as (select *, {x.split('code', ':')} as a from r) select event_id, s, code, case when {x.size('a')} = 3 then cast({x.at('a', 1)} as bigint) * 3600 + cast({x.at('a', 2)} as bigint) * 60 + cast({x.at('a', 3)} as bigint) else cast({x.at('a', 1)} as bigint) * 60 + cast({x.at('a', 2)} as bigint) end as parsed from p""",
     "x17_months_before": lambda x: f"select item_id, {x.iso(x.months('published_at', -1))} as month_before, {x.days('published_at', x.months('published_at', -1))} as days from items where published_at is not null",
-    "x18_quoted_spans": lambda x: f"""with q as (select conv_id, turn, record, q from {x.explode(f"(select conv_id, turn, record, {x.every('reply', QUOTED, 1)} as a from replies) t", 'a', 'q')})
+    "x18_quoted_spans": lambda x: f"""with q as (select conv_id, turn, record, q from {x.explode(f"(select conv_id, turn, record, {x.every('said', QUOTED, 1)} as a from replies) t", 'a', 'q')})
         select conv_id, turn, q, record is null or {x.locate('lower(q)', "lower(coalesce(record, ''))")} = 0 as forged from q""",
     "x19_recitations": lambda x: f"""select distinct r.conv_id, r.turn, f.field from replies r join {x.values(["('thnd')", "('position')", "('start_ms')", "('enst')", "('the')", "('chunk_id')", "('confidence')"], 'field')} f on {x.locate('f.field', 'lower(r.reply)')} > 0 and {x.locate('f.field', "lower(coalesce(r.record, ''))")} = 0
         where {x.locate("concat(' ', f.field, ' ')", f"concat(' ', {x.sub('lower(r.reply)', '[^a-z0-9_]+', ' ')}, ' ')")} > 0""",
@@ -49,11 +49,11 @@ CATALOGUE = {
         m as (select a.conv_id, a.turn, a.p - b.p as diag, a.p from a join b on a.conv_id = b.conv_id and a.turn = b.turn and a.g = b.g where length(a.g) = 6),
         i as (select *, p - row_number() over (partition by conv_id, turn, diag order by p) as island from m),
         r as (select conv_id, turn, diag, island, count(*) as n from i group by conv_id, turn, diag, island) select conv_id, turn, max(n) + 5 as longest from r group by conv_id, turn""",
-    "a24_repeated_lines": lambda x: "with " + _lines(x) + ", d as (select distinct source, doc_id, line from lines), n as (select source, count(distinct doc_id) as pages from d group by source) select d.source, d.line, count(*) as on_pages from d join n on d.source = n.source group by d.source, d.line, n.pages having count(*) >= greatest(2, ceil(n.pages / 2.0))",
-    "x3_without_boilerplate": lambda x: "with " + _lines(x) + ", d as (select distinct source, doc_id, line from lines), n as (select source, count(distinct doc_id) as pages from d group by source), often as (select d.source, d.line from d join n on d.source = n.source group by d.source, d.line, n.pages having count(*) * 10 >= n.pages) select l.doc_id, count(*) as lines_kept from lines l left join often o on l.source = o.source and l.line = o.line where o.line is null group by l.doc_id",
-    "s4_document_kind": lambda x: f"select page_id, case when {x.like('html', '(?i)<(rss|feed)')} then 'feed' when {x.like('html', '(?i)<(urlset|sitemapindex)')} then 'sitemap' else 'neither' end as kind from pages",
-    "s9_caption_track": lambda x: f"""with t as (select d.doc_id, v.lang, v.kind, v.pos from (select doc_id from documents) d join {x.values(["('de', 'asr', 1)", "('en', 'asr', 2)", "('en', 'manual', 3)"], 'lang', 'kind', 'pos')} v on (d.doc_id + v.pos) % 3 <> 0),
-        r as (select *, row_number() over (partition by doc_id order by case when lang = 'en' then 0 else 1 end, case when kind = 'asr' then 1 else 0 end, pos) as r from t) select doc_id, lang, kind from r where r = 1""",
+    "a24_repeated_lines": lambda x: "select host, line, on_pages from site_repeated",
+    "x3_without_boilerplate": lambda x: f"select l.host, l.page_id, count(*) as lines_kept, {x.listed('l.line', 'l.line')} as text from site_lines l left join site_repeated o on l.host = o.host and l.line = o.line where o.line is null group by l.host, l.page_id",
+    "s4_document_kind": lambda x: f"""select page_id, case when {x.like('head', '(?i)<(rss|feed)[ >]')} then 'feed' when {x.like('head', '(?i)<(urlset|sitemapindex)[ >]')} then 'sitemap' else 'neither' end as kind
+        from (select page_id, substring(case page_id % 5 when 0 then concat('<?xml version="1.0"?><rss version="2.0">', html) when 1 then concat('<feed xmlns="a">', html) when 2 then concat('<urlset xmlns="s">', html) when 3 then concat('<sitemapindex>', html) else html end, 1, 2000) as head from pages) t""",
+    "s9_caption_track": lambda x: "with r as (select *, row_number() over (partition by video order by case when lang = 'en' then 0 else 1 end, case when kind = 'asr' then 1 else 0 end, pos) as r from tracks) select video, lang, kind from r where r = 1",
     "x16_rough_ages": lambda x: f"""with a as (select event_id, concat(cast(k % 11 + 1 as {x.string}), ' ', case k % 6 when 0 then 'hours' when 1 then 'days' when 2 then 'weeks' when 3 then 'months' when 4 then 'years' else 'views' end, ' ago') as age from polls)
         select a.event_id, a.age, cast({x.extract('a.age', '^([0-9]+) ')} as bigint) * u.days as days_ago from a join {x.values(["('hour', 0)", "('day', 1)", "('week', 7)", "('month', 30)", "('year', 365)"], 'unit', 'days')} u on u.unit = {x.extract('a.age', ' (hour|day|week|month|year)s? ago$')}""",
 }

@@ -43,16 +43,22 @@ VIEWS: dict[str, Callable] = {
     "text_fives": lambda x: f"""select doc_id, {x.join(x.slice("w", "i", 5), " ")} as five from {x.explode(f"(select doc_id, w, {x.range('1', x.size('w') + ' - 4')} as places from (select doc_id, {x.split('text', chr(92) + 's+')} as w from documents) t where {x.size('w')} >= 5) u", "places", "i")}""",
     "backgrounds": lambda x: f"select p.position, floor(coalesce(avg({x.cos('p.s_vec', 'e.embedding')}), 0) * 1e3 + 0.5) / 1e3 as background from positions p join embeddings e on e.label <> p.person group by p.position",
     "backgrounds_all": lambda x: f"select p.position, floor(coalesce(avg({x.cos('p.s_vec', 'e.embedding')}), 0) * 1e3 + 0.5) / 1e3 as background from positions p cross join embeddings e group by p.position",
-    "claims": lambda x: f"""select q.quote_id, d.doc_id as found_in, q.quote, case when q.quote_id % 2 = 0 then d.doc_id else (d.doc_id + 7) % (select count(*) from documents) end as item_id
+    "claims": lambda x: f"""select q.quote_id, d.doc_id as found_in, case when q.quote_id % 5 = 1 then lower(replace(replace(q.quote, '.', ''), ',', '')) else q.quote end as quote, case when q.quote_id % 2 = 0 then d.doc_id else (d.doc_id + 7) % (select count(*) from documents) end as item_id
         from quote_keys q join (select distinct doc_id, five from text_fives) f on q.five = f.five join documents d on d.doc_id = f.doc_id where {x.locate("q.quote", "d.text")} > 0""",
     # a source is checked by the user of its number; notes stand on the claims that were found in their item
     "checks": lambda x: "select s.person, s.source, s.platform, max(e.ts) as last_checked, max(case s.platform when 'substack' then 24 when 'youtube' then 48 when 'blog' then 72 else 6 end) as every_h from sources s left join events e on e.user_id = s.srcno group by s.person, s.source, s.platform",
     "compiles": lambda x: f"""select i.person, max(case when s.backfill_complete then i.published_at end) as compiled_at, concat('c', cast(count(distinct s.platform) % 2 as {x.string}), '+m0.s1.p', cast(min(s.srcno) % 2 as {x.string}), '.r1') as version
         from items i join sources s on s.person = i.person and s.source = i.source where i.retrieval = 'retrieved' group by i.person""",
     "notes": lambda x: f"select item_id, concat('g', cast(quote_id % 3 as {x.string})) as extractor, count(*) as claims from claims group by item_id, quote_id % 3",
-    "replies": lambda x: "select a.conv_id, a.turn, a.text as reply, b.text as record from conversations a left join conversations b on a.conv_id = b.conv_id and b.turn = a.turn - 1 where a.role = 'assistant'",
+    "replies": lambda x: "select a.conv_id, a.turn, a.text as reply, b.text as record, concat(a.text, case a.turn % 4 when 1 then concat(' “', substring(coalesce(b.text, ''), 1, 30), '” it says') when 3 then ' \"this was never written\" it says' else '' end) as said from conversations a left join conversations b on a.conv_id = b.conv_id and b.turn = a.turn - 1 where a.role = 'assistant'",
     "polls": lambda x: f"select user_id, event_id, ts, event_type, value, {x.json_int('props', 'k')} as k, row_number() over (partition by user_id order by ts, event_id) as seq from events",
     "pages_v": lambda x: f"""select page_id, url, html, {x.extract("url", "^https?://([^/]+)")} as host from pages""",
+    # what stands on each page of a site: its host, the part of the site, its title
+    "site_lines": lambda x: f"""select host, page_id, line from (select host, page_id, host as line from pages_v union all select host, page_id, concat('in ', {x.extract("url", "^https?://[^/]+/([^/?#]*)")}) from pages_v union all select host, page_id, {x.extract("html", "<title>([^<]*)</title>")} from pages_v) t where line <> ''""",
+    "site_recent": lambda x: "select l.host, l.page_id, l.line from site_lines l join (select host, page_id, row_number() over (partition by host order by page_id desc) as r from pages_v) p on p.page_id = l.page_id where p.r <= 20",
+    "site_repeated": lambda x: "select d.host, d.line, count(*) as on_pages from (select distinct host, page_id, line from site_recent) d join (select host, count(distinct page_id) as pages from site_recent group by host) n on n.host = d.host group by d.host, d.line, n.pages having count(*) >= greatest(2, ceil(n.pages / 2.0))",
+    # a source is a video here, its languages are tracks, of which those that nobody judged are machine-made
+    "tracks": lambda x: "select d.source as video, d.lang, case when max(l.quality) = 1 then 'manual' else 'asr' end as kind, min(d.doc_id) as pos from documents d left join labels l on l.doc_id = d.doc_id and d.doc_id % 40 < 2 group by d.source, d.lang",
 }
 
 
