@@ -368,6 +368,9 @@ STREAMS = {
     "i4_cursor_stream": (streams.cursors, RUN + " select user_id as key, event_id, max(k) over (partition by user_id order by seq rows unbounded preceding) as cursor_at from p"),
     "i5_gaps_stream": (streams.gaps, RUN + " select user_id as key, event_id, coalesce(k > max(k) over (partition by user_id order by seq rows between unbounded preceding and 1 preceding), false) as reopened from p"),
     "i6_fault_ledger_stream": (streams.faults, RUN + ", f as (select *, floor(epoch(min(ts) filter (bad) over (partition by user_id, island)))::bigint as first_s, floor(epoch(ts))::bigint as last_s from r) select user_id as key, event_id, first_s, last_s, n::bigint as fails, last_s - first_s >= 86400 as escalated from f where bad"),
+    "i7_silence_ledger_stream": (streams.silences, RUN + ", f as (select *, floor(epoch(min(ts) filter (bad) over (partition by user_id, island)))::bigint as first_s, floor(epoch(ts))::bigint as last_s from r) select user_id as key, event_id, n::bigint as attempts, last_s - first_s >= 86400 as outage from f where bad"),
+    "i13_stuck_rebuilds_stream": (lambda s: streams.behind(s.withColumn("behind", F.col("k") % 2 == 0)), RUN.replace("event_type = 'error' as bad", "json_extract_string(props, '$.k')::bigint % 2 = 0 as bad") + " select user_id as key, event_id, n::bigint as cycles_behind, n >= 2 as fault from r where bad"),
+    "i14_freshness_stream": (streams.freshest, RUN + ", s as (select *, floor(epoch(ts))::bigint as at_s from p), b as (select *, max(at_s) over (partition by user_id order by seq rows between unbounded preceding and 1 preceding) as before from s) select user_id as key, event_id, at_s as newest_s from b where before is null or at_s > before"),
     "i8_blocked_stream": (streams.blocks, RUN + " select user_id as key, event_id, 5::bigint as consecutive from r where bad and n = 5"),
     "i9_retry_budget_stream": (streams.retries, RUN + " select user_id as key, event_id, case when n >= 3 then 'failed' else 'pending' end as state from r where bad"),
 }

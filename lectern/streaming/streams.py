@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.sinks import insert_absent, new_folder, shared_dir
+from ..sources.sinks import insert_absent, new_folder
 
 
 def closed_days(polls: DataFrame, key: str = "key", late: str = "0 seconds") -> DataFrame:
@@ -104,6 +104,39 @@ def blocks(polls: DataFrame, key: str = "key", failed: str = "failed", limit: in
     return folded(polls, key, ["event_id", failed], (0,), fold, "n long", f"{key} long, event_id long, consecutive long")
 
 
+def silences(polls: DataFrame, key: str = "key", failed: str = "failed", outage_s: int = 86_400) -> DataFrame:
+    """(key, event_id, attempts, outage): a row for each attempt that stays without an answer; an answer ends the silence."""
+
+    def fold(now, row):
+        event, at, bad = row
+        if not bad:
+            return (0, 0), None
+        first, n = (now[0], now[1] + 1) if now[1] else (at, 1)
+        return (first, n), (event, n, at - first >= outage_s)
+
+    return folded(polls, key, ["event_id", "at_s", failed], (0, 0), fold, "first long, attempts long", f"{key} long, event_id long, attempts long, outage boolean")
+
+
+def behind(polls: DataFrame, key: str = "key", column: str = "behind", limit: int = 2) -> DataFrame:
+    """(key, event_id, cycles_behind, fault): a row for each cycle that finds a rebuild behind; catching up clears the count."""
+
+    def fold(now, row):
+        n = now[0] + 1 if row[1] else 0
+        return (n,), (row[0], n, n >= limit) if row[1] else None
+
+    return folded(polls, key, ["event_id", column], (0,), fold, "n long", f"{key} long, event_id long, cycles_behind long, fault boolean")
+
+
+def freshest(polls: DataFrame, key: str = "key") -> DataFrame:
+    """(key, event_id, newest_s): each report that is newer than all before it of its key."""
+
+    def fold(now, row):
+        newer = now[0] is None or row[1] > now[0]
+        return (row[1] if newer else now[0],), (row[0], row[1]) if newer else None
+
+    return folded(polls, key, ["event_id", "at_s"], (None,), fold, "newest long", f"{key} long, event_id long, newest_s long")
+
+
 def retries(polls: DataFrame, key: str = "key", failed: str = "failed", budget: int = 3) -> DataFrame:
     """(key, event_id, state) of each failure: "pending" until the ``budget``-th in a row, then "failed"."""
 
@@ -122,4 +155,4 @@ def replay(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-__all__ = ["blocks", "closed_days", "cursors", "faults", "first_inserts", "folded", "gaps", "replay", "retries", "shared_dir", "store_days"]
+__all__ = ["behind", "blocks", "closed_days", "cursors", "faults", "first_inserts", "folded", "freshest", "gaps", "replay", "retries", "silences", "store_days"]
