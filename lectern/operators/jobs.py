@@ -12,7 +12,7 @@ from ..functions import chunking, embedding, html
 from ..plans.bindings import prelude, register
 from ..sources import documents as read, sinks
 from ..streaming import streams
-from . import folds
+from . import folds, verify
 
 DIM, BUDGET = 64, 6000
 POLLS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -395,7 +395,42 @@ def i2_late_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 I2 = """with e as (select user_id as key, strftime(ts, '%Y-%m-%d') as day, count(*) as posts, count(*) filter (event_id % 2 = 0 and user_id % 3 <> 0) as early from events group by all)
     select key, day, case when early > 0 then early else posts end as posts, false as late from e union all select key, day, posts, true from e where early > 0"""
 
+def _claimed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Replies about each item of eight words or more, a sentence a row, some of their statements wrong; the items; and what is held."""
+    i = _items(spark, sf_dir).where("words >= 8").withColumn("url", F.concat(F.lit("https://x.example/p/"), "external_id"))
+    n, own = F.col("item_id"), F.concat(F.lit("http://www.x.example/p/"), F.col("external_id"), F.lit("/"))
+    start = F.trim(F.substring(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), 1, 40))
+    lines = [
+        F.lit("**Record**"), F.concat(F.lit("**Title:** “"), F.when(n % 3 == 0, "Another title").otherwise(F.col("title")), F.lit("”.")), F.concat(F.lit("URL: "), F.when(n % 4 == 1, F.lit("https://x.example/p/elsewhere")).otherwise(own)),
+        F.concat(F.lit("**Published at**: "), F.coalesce(F.date_format(F.date_add("published_at", F.when(n % 5 == 0, 1).otherwise(0)), "yyyy-MM-dd"), F.lit("unknown"))), F.concat(F.lit('Quote: "'), F.when(n % 7 == 0, "words that never stood there").otherwise(start), F.lit('"')),
+        F.concat(F.lit("They say "), F.col("title")), F.lit("nothing like this was said before"),
+    ]
+    said = i.select("item_id", "person", F.col("url").alias("own_url"), F.posexplode(F.array(*lines)).alias("k", "text"))
+    sentences = said.select((F.col("item_id") * 10 + F.col("k")).alias("sentence_id"), "person", "text", F.when(F.col("k") < 5, F.col("own_url")).when(F.col("k") == 6, "https://x.example/p/none").alias("claimed"))
+    return sentences, i.select("person", "item_id", "url", "title", "published_at", F.col("text").alias("body")), i.where("item_id % 2 = 0").select("person", F.col("title").alias("statement"))
+
+
+def e5_verify_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.verify(*_claimed(spark, sf_dir))
+
+
+def e5_source_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.faults(verify.verify(*_claimed(spark, sf_dir)))
+
+
+E5 = r""", i as (select * from items where words >= 8), flat as (select person, item_id, lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) as t from i),
+    held as (select distinct s.item_id from flat s join flat h on h.person = s.person and h.item_id % 2 = 0 and length(h.t) >= 15 and (contains('they say ' || s.t, h.t) or contains(h.t, 'they say ' || s.t))),
+    verdicts as (
+        select item_id * 10 as sentence_id, person, item_id, 'header' as kind, 'sourced' as verdict from i union all select item_id * 10 + 1, person, item_id, 'title', case when item_id % 3 = 0 then 'unsourced' else 'sourced' end from i
+        union all select item_id * 10 + 2, person, item_id, 'url', case when item_id % 4 = 1 then 'unsourced' else 'sourced' end from i
+        union all select item_id * 10 + 3, person, item_id, 'published_at', case when published_at is null then 'never_claimed' when item_id % 5 = 0 then 'unsourced' else 'sourced' end from i
+        union all select item_id * 10 + 4, person, item_id, 'quote', case when item_id % 7 = 0 then 'unsourced' else 'sourced' end from i
+        union all select item_id * 10 + 5, person, null, 'sentence', case when item_id in (select item_id from held) then 'sourced' else 'never_claimed' end from i
+        union all select item_id * 10 + 6, person, null, 'sentence', 'never_claimed' from i)"""
+
 JOBS = {
+    "e5_verify_sources": (e5_verify_sources, prelude() + E5 + " select * from verdicts"),
+    "e5_source_faults": (e5_source_faults, prelude() + E5 + " select person, count(*) filter (verdict = 'sourced') as sourced, count(*) filter (verdict = 'unsourced') as unsourced, count(*) filter (verdict = 'never_claimed') as never_claimed, count(*) filter (verdict = 'unsourced') > 0 as fault from verdicts group by person"),
     "s2_feed_entries": (s2_feed_entries, prelude() + S2), "s3_sitemap_urls": (s3_sitemap_urls, S3), "s5_archive_items": (s5_archive_items, prelude() + S5), "s6_listing": (s6_listing, prelude() + S6), "s7_captions": (s7_captions, S7),
     "s8_own_posts": (s8_own_posts, S8), "s10_insert_if_absent": (s10_insert_if_absent, S10), "s11_replace_by_key": (s11_replace_by_key, S11), "s12_current_version": (s12_current_version, S12),
     "x1_html_text": (x1_html_text, X1), "x2_densest_container": (x2_densest_container, None), "x4_feed_body": (x4_feed_body, X4), "x6_published": (x6_published, X6), "x7_agreement": (x7_agreement, X7), "x8_longer_body": (x8_longer_body, X8),

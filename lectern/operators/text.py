@@ -40,7 +40,6 @@ CATALOGUE = {
     "x19_recitations": lambda x: f"""select distinct r.conv_id, r.turn, f.field from replies r join {x.values(["('thnd')", "('position')", "('start_ms')", "('enst')", "('the')", "('chunk_id')", "('confidence')"], 'field')} f on {x.locate('f.field', 'lower(r.reply)')} > 0 and {x.locate('f.field', "lower(coalesce(r.record, ''))")} = 0
         where {x.locate("concat(' ', f.field, ' ')", f"concat(' ', {x.sub('lower(r.reply)', '[^a-z0-9_]+', ' ')}, ' ')")} > 0""",
     "x20_record_lines": lambda x: f"select doc_id, case when {x.like('text', '(?i)https?://')} then 'url' when {x.like('text', '[0-9]{4}-[0-9]{2}-[0-9]{2}')} then 'date' when {x.like('text', '“')} then 'quote' else 'title' end as kind from documents",
-    "e5_verify_sources": lambda x: "select r.conv_id, r.turn, case when i.item_id is not null then 'sourced' when r.record is null then 'never_claimed' else 'unsourced' end as verdict from replies r left join items i on i.item_id = r.conv_id and substring(i.text, 1, 12) = substring(r.reply, 1, 12)",
     "j13_contains_both_ways": lambda x: f"""with g as (select distinct item_id, person, title, gram from {x.explode(f"(select item_id, person, title, {x.grams('title', 8)} as a from items where length(title) >= 15) t", 'a', 'gram')}),
         inside as (select a.item_id as part, g.item_id as whole from items a join g on g.person = a.person and g.gram = substring(a.title, 1, 8) and g.item_id <> a.item_id where length(a.title) >= 15 and {x.locate('a.title', 'g.title')} > 0),
         both_ as (select part as item_id, whole as other from inside union select whole, part from inside) select item_id, min(other) as held, count(*) as n from both_ group by item_id""",

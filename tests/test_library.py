@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import chunking, embedding, html
-from lectern.operators import find, folds, jobs, vectors
+from lectern.operators import find, folds, jobs, vectors, verify
 from lectern.plans.bindings import register
 from lectern.sources import documents as read, sinks
 from lectern.streaming import streams
@@ -186,3 +186,24 @@ def test_queries_leave_the_callers_views_alone(spark):
     own = register(spark, SF, "items")
     assert spark.table("documents").count() == 3 and own.table("items").count() == 200
     spark.catalog.dropTempView("documents")
+
+
+def test_record_lines(spark):
+    lines = {
+        "**Record**": ("header", ""), "**Title**: On it": ("title", "On it"), "*url:* x.example/a": ("url", "x.example/a"), "Published: 2024-01-02": ("published_at", "2024-01-02"), "published at: soon": None,
+        "Title: On it": None, "Quote: “well”": ("quote", "“well”"), "Link: see below": None, "date: on 2024-01-02 at noon": ("published_at", "on 2024-01-02 at noon"), "They said: no": None, "": None,
+    }
+    rows = spark.createDataFrame([(k,) for k in lines], "t string").select("t", verify.record_field(F.col("t")).alias("f")).collect()
+    assert {r.t: r.f and tuple(r.f) for r in rows} == lines
+    assert spark.createDataFrame([("HTTPS://www.A.example/x/.",)], "u string").select(verify.comparable(F.col("u")).alias("c")).first().c == "a.example/x"
+
+
+def test_verdicts(spark):
+    items = spark.createDataFrame([("p", 1, "https://a.example/x", "One title", datetime.date(2024, 1, 2), "It was  said here."), ("p", 2, "https://a.example/y", None, None, None)], "person string, item_id long, url string, title string, published_at date, body string")
+    held = spark.createDataFrame([("p", "Nothing grows in the dark"), ("p", "short")], "person string, statement string")
+    asked = [
+        ("it was said here", "a.example/x/", "sourced"), ("it was never said", "a.example/x", "unsourced"), ("anything", "a.example/y", "unsourced"), ("Nothing grows in the dark, I think", "a.example/y", "sourced"), ("grows in the dark", None, "sourced"),
+        ("a short one", None, "never_claimed"), ("it was said here", "Two title", "never_claimed"), ("it was said here", "One title", "sourced"), ("**Title**: x", "a.example/y", "never_claimed"), (None, "a.example/x", "unsourced"),
+    ]
+    rows = spark.createDataFrame([(k, "p", t, c) for k, (t, c, _) in enumerate(asked)], "sentence_id long, person string, text string, claimed string")
+    assert {r.sentence_id: r.verdict for r in verify.verify(rows, items, held).collect()} == {k: v for k, (_, _, v) in enumerate(asked)}
