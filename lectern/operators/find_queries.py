@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.bindings import define_view, prelude, register
-from . import find
+from . import calibrate, find
 
 VEC_ITEMS = define_view("vec_items", lambda x: "select v.item, v.person, i.title, i.published_at, i.retrieval from (select v.item, v.person, v.item % d.n as doc from (select distinct item, person from chunks_v) v cross join (select count(*) as n from documents) d) v left join items i on i.item_id = v.doc")
 ASKED = define_view(
@@ -74,9 +74,46 @@ LISTED: dict[str, tuple[Callable[[find.Find, DataFrame], DataFrame], str]] = {
 }
 
 
+FOREIGN = define_view("foreign_probes", lambda x: "select q_id, (person + 1) % 10 as person, q_vec from questions")
+
+
+def _floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = register(spark, sf_dir, "chunks_v positions foreign_probes")
+    return calibrate.floors(own.table("chunks_v"), own.table("positions"), own.table("foreign_probes"))
+
+
+def _scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = register(spark, sf_dir, "chunks_v positions foreign_probes backgrounds")
+    quotes = own.sql("select chunk_id as q_id, person, embedding as q_vec from chunks_v")
+    return calibrate.scales(quotes, own.table("positions"), own.table("backgrounds"), own.table("foreign_probes"))
+
+
+def e14_calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, s = _floors(spark, sf_dir), _scales(spark, sf_dir)
+    return f.select("person", F.col("level").alias("floor"), F.col("separation").alias("floor_state")).join(s.select("person", F.col("level").alias("cut"), "span", F.col("separation").alias("fit_state")), "person", "full")
+
+
+LEVEL = """lv as (select person, min(top) filter (inside) as lo, max(top) filter (not inside) as hi, count(*) filter (inside) as n from tops group by person),
+    st as (select *, case when n < 4 or hi is null then 'not_measurable' when hi >= lo then 'overlapping' else 'separated' end as separation from lv),
+    res as (select person, case when separation = 'separated' then floor((hi + (lo - hi) * 0.25) * 1e4 + 0.5) / 1e4 else FALLBACK end as level, case when separation = 'separated' then floor((lo - hi) * 1e4 + 0.5) / 1e4 end as span, separation,
+        case when separation <> 'not_measurable' then floor(lo * 1e4 + 0.5) / 1e4 end as in_low, case when separation <> 'not_measurable' then floor(hi * 1e4 + 0.5) / 1e4 end as out_high from st)"""
+_COS = "floor(list_cosine_similarity(cast({a} as double[]), cast({b} as double[])) * 1e4 + 0.5) / 1e4"
+FLOOR_SQL = f""", pn as (select *, row_number() over (partition by person order by position) - 1 as i, count(*) over (partition by person) as n from positions),
+    probes as (select position as q_id, person, s_vec as v, true as inside from pn where i % greatest(n // 12, 1) = 0 and i // greatest(n // 12, 1) < 12 union all select q_id, person, q_vec, false from foreign_probes),
+    tops as (select p.q_id, p.person, p.inside, max({_COS.format(a='c.embedding', b='p.v')}) as top from probes p join chunks_v c on c.person = p.person group by p.q_id, p.person, p.inside), """ + LEVEL.replace("FALLBACK", "0.55")
+SCALE_SQL = f""", qn as (select *, row_number() over (partition by person order by chunk_id) - 1 as i, count(*) over (partition by person) as n from chunks_v),
+    probes as (select chunk_id as q_id, person, embedding as v, true as inside from qn where n <= 12 or list_contains(list_transform(range(0, 12), lambda k: (k * n) // 12), i) union all select q_id, person, q_vec, false from foreign_probes),
+    tops as (select p.q_id, p.person, p.inside, max(floor(({_COS.format(a='c.s_vec', b='p.v')} - coalesce(b.background, 0)) * 1e4 + 0.5) / 1e4) as top from probes p join positions c on c.person = p.person left join backgrounds b on b.position = c.position group by p.q_id, p.person, p.inside), """ + LEVEL.replace("FALLBACK", "null::double")
+CALIBRATIONS = {
+    "a20_floor_calibration": (_floors, FLOOR_SQL + " select * from res"), "a21_fit_calibration": (_scales, SCALE_SQL + " select * from res"),
+    "e14_calibrate": (e14_calibrate, FLOOR_SQL.replace("probes as", "fprobes as").replace("from probes", "from fprobes").replace("tops as", "ftops as").replace("from tops", "from ftops").replace("lv as", "flv as").replace("from lv", "from flv").replace("st as", "fst as").replace("from st)", "from fst)").replace("res as", "fres as")
+     + SCALE_SQL + " select coalesce(f.person, s.person) as person, f.level as floor, f.separation as floor_state, s.level as cut, s.span, s.separation as fit_state from fres f full join res s on s.person = f.person"),
+}
+
+
 def _query(form):
     return lambda spark, sf_dir: form(*searched(spark, sf_dir))
 
 
-QUERIES = {k: _query(form) for k, (form, _) in LISTED.items()}
-ORACLES = {k: prelude() + FOUND + "\n" + sql for k, (_, sql) in LISTED.items()}
+QUERIES = {k: _query(form) for k, (form, _) in LISTED.items()} | {k: q for k, (q, _) in CALIBRATIONS.items()}
+ORACLES = {k: prelude() + FOUND + "\n" + sql for k, (_, sql) in LISTED.items()} | {k: prelude() + sql for k, (_, sql) in CALIBRATIONS.items()}

@@ -45,11 +45,6 @@ CATALOGUE = {
     "a17_negatives": lambda x: f"""with off as (select q.q_id, q.person, max(floor({x.cos('c.embedding', 'q.q_vec')} * 1e4 + 0.5) / 1e4) as top from questions q join chunks_v c on c.person = (q.person + 1) % 10 group by q.q_id, q.person)
         select person, {x.count_if(f'top >= {FLOOR}')} as answered, {x.count_if(f'top < {FLOOR}')} as rested, {x.count_if(f'top >= {STRICT}')} as near_answered, {x.count_if(f'top < {STRICT}')} as near_rested, count(*) as total from off group by person""",
     "w12_near_miss": lambda x: "with p as (select person, coalesce(lead(person) over (order by person), min(person) over ()) as next_person from (select distinct person from questions) t) select p.person, p.next_person, q.q_id from p join questions q on q.person = p.next_person",
-    "a20_floor_calibration": lambda x: f"""with own as (select person, min(top) as in_min from (select person, q_id, max(cos) as top from scored group by person, q_id) t group by person),
-        off as (select person, max(top) as out_max from (select c.person, q.q_id, max(floor({x.cos('c.embedding', 'q.q_vec')} * 1e4 + 0.5) / 1e4) as top from questions q join chunks_v c on c.person = (q.person + 1) % 10 group by c.person, q.q_id) t group by person)
-        select o.person, case when f.out_max is null then 0.55 when o.in_min > f.out_max then floor((f.out_max + (o.in_min - f.out_max) * 0.25) * 1e4 + 0.5) / 1e4 else 0.55 end as measured_floor from own o left join off f on o.person = f.person""",
-    "a21_fit_calibration": lambda x: f"""with own as (select q.person, q.q_id, max(s.scos) as top from scored_statements s join questions q on s.q_id = q.q_id group by q.person, q.q_id)
-        select person, min(top) as cut, floor((max(top) - min(top)) * 1e4 + 0.5) / 1e4 as span from own group by person""",
     "a22_background": lambda x: "select position, background from backgrounds_all",
     "w5_even_sample": lambda x: f"with r as (select chunk_id, person, row_number() over (partition by person order by chunk_id) - 1 as i, count(*) over (partition by person) as n from chunks_v) select person, chunk_id from r where i % greatest({x.div('n', '8')}, 1) = 0 and {x.div('i', f'greatest({x.div(chr(110), chr(56))}, 1)')} < 8",
     "a28_corpus_guard": lambda x: "select model, count(*) as n, count(*) >= 40000 as over_limit from chunks_v group by model",
@@ -58,7 +53,6 @@ CATALOGUE = {
         c as (select distinct t.position, v.chunk_id, v.person, v.embedding, d.since from citations t join chunks_v v on t.item = v.item and v.person * 4 + v.rn % 4 = t.position join dated d on d.position = t.position),
         pairs as (select a.person, a.position as pa, b.position as pb, max(floor({x.cos('a.embedding', 'b.embedding')} * 1e4 + 0.5) / 1e4) as cos from c a join c b on a.person = b.person and a.since < b.since group by a.person, a.position, b.position),
         r as (select *, row_number() over (partition by person order by cos desc, pa, pb) as r, count(*) over (partition by person) as n from pairs where cos >= 0.2) select person, pa, pb, cos, r, greatest(n - 120, 0) as bounded_out from r where r <= 120""",
-    "e14_calibrate": lambda x: f"""select person, min(top) as least_top, max(top) as most_top, count(*) as n from (select person, q_id, max(cos) as top from scored group by person, q_id) t group by person""",
     "e17_bar_transitions": lambda x: f"""with {TOP}, r as (select q.person, {x.count_if(f't.top >= {STRICT}')} >= 0.7 * count(*) as pass_now from tops t join questions q on t.q_id = q.q_id group by q.person)
         select person, case when pass_now and person % 3 = 0 then 'cleared' when pass_now then 'quiet' when person % 3 = 0 then 'still_open' else 'opened' end as change from r""",
 }
