@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..sources.sinks import new_folder
 
@@ -58,3 +58,31 @@ def passes(rows: DataFrame, key: str, order: list, size: str, budget: int, gap:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*names, name])
 
     return ordered.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, LongType(), False)]))
+
+
+def unique_slugs(rows: DataFrame, group: str, base: str, order: list, name: str = "slug") -> DataFrame:
+    """``rows`` with a slug of its own each: the base, or the first of base-2, base-3 and so on that no row before it in
+    the group has, whether by suffix or by its own base.
+
+    What is free depends on all rows before, so a group is named in one task, which holds the group's slugs.
+    """
+    names = rows.columns
+    at = names.index(group), names.index(base)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, taken, tried = object(), set(), {}
+        for b in batches:
+            out = []
+            for own, slug in zip(b.column(at[0]).to_pylist(), b.column(at[1]).to_pylist()):
+                if own != last:
+                    last, taken, tried = own, set(), {}
+                new, k = slug, tried.get(slug, 1)
+                while new in taken:
+                    k += 1
+                    new = f"{slug}-{k}"
+                tried[slug] = k
+                taken.add(new)
+                out.append(new)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*names, name])
+
+    return rows.repartition(group).sortWithinPartitions(group, *order).mapInArrow(run, StructType([*rows.schema.fields, StructField(name, StringType())]))

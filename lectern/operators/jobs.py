@@ -395,6 +395,11 @@ def i2_late_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 I2 = """with e as (select user_id as key, strftime(ts, '%Y-%m-%d') as day, count(*) as posts, count(*) filter (event_id % 2 = 0 and user_id % 3 <> 0) as early from events group by all)
     select key, day, case when early > 0 then early else posts end as posts, false as late from e union all select key, day, posts, true from e where early > 0"""
 
+def w10_first_free_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.substring(F.regexp_replace(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 60)
+    return folds.unique_slugs(_items(spark, sf_dir).select("person", "item_id", base.alias("base")), "person", "base", [F.asc("item_id")])
+
+
 def _claimed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Replies about each item of eight words or more, a sentence a row, some of their statements wrong; the items; and what is held."""
     i = _items(spark, sf_dir).where("words >= 8").withColumn("url", F.concat(F.lit("https://x.example/p/"), "external_id"))
@@ -429,7 +434,7 @@ E5 = r""", i as (select * from items where words >= 8), flat as (select person,
         union all select item_id * 10 + 6, person, null, 'sentence', 'never_claimed' from i)"""
 
 JOBS = {
-    "e5_verify_sources": (e5_verify_sources, prelude() + E5 + " select * from verdicts"),
+    "w10_first_free_slugs": (w10_first_free_slugs, None), "e5_verify_sources": (e5_verify_sources, prelude() + E5 + " select * from verdicts"),
     "e5_source_faults": (e5_source_faults, prelude() + E5 + " select person, count(*) filter (verdict = 'sourced') as sourced, count(*) filter (verdict = 'unsourced') as unsourced, count(*) filter (verdict = 'never_claimed') as never_claimed, count(*) filter (verdict = 'unsourced') > 0 as fault from verdicts group by person"),
     "s2_feed_entries": (s2_feed_entries, prelude() + S2), "s3_sitemap_urls": (s3_sitemap_urls, S3), "s5_archive_items": (s5_archive_items, prelude() + S5), "s6_listing": (s6_listing, prelude() + S6), "s7_captions": (s7_captions, S7),
     "s8_own_posts": (s8_own_posts, S8), "s10_insert_if_absent": (s10_insert_if_absent, S10), "s11_replace_by_key": (s11_replace_by_key, S11), "s12_current_version": (s12_current_version, S12),

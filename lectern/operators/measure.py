@@ -100,8 +100,8 @@ CATALOGUE = {
         select cluster, count(distinct item_id) as items, {x.iso('min(d)')} as held_since, {x.iso('max(d)')} as held_until, {x.days('max(d)', 'min(d)')} as days_spanned,
         case when count(distinct item_id) >= 5 and {x.days('max(d)', 'min(d)')} > 7 then 'high' when count(distinct item_id) >= 2 then 'moderate' else 'low' end as confidence from r group by cluster""",
     "a10_line_survival": lambda x: """with e as (select person, item_id % 9 as label, item_id % 4 as reading, item_id from items where retrieval = 'retrieved'),
-        g as (select person, label, count(distinct reading) as readings, count(distinct item_id) as items from e group by person, label),
-        r as (select *, row_number() over (partition by person order by readings desc, items desc, label) as r from g where readings >= 2) select person, label, readings, items, r from r where r <= 4""",
+        g as (select person, label, count(distinct reading) as readings, count(distinct item_id) as items from e group by person, label), dropped as (select person, sum(case when readings < 2 then 1 else 0 end) as singles from g group by person),
+        r as (select *, row_number() over (partition by person order by readings desc, items desc, label) as r from g where readings >= 2) select r.person, r.label, r.readings, r.items, r.r, cast(d.singles as bigint) as dropped_singles from r join dropped d on d.person = r.person where r.r <= 4""",
     "a11_habit_evidence": lambda x: f"""with e as (select person, concat('h', cast(item_id % 7 as {x.string})) as slug, count(distinct item_id) as n, {x.sha(x.set_listed(f"cast({x.div('item_id', '7')} as {x.string})"))} as evidence from items where retrieval = 'retrieved' group by person, item_id % 7),
         d as (select *, row_number() over (partition by person, evidence order by slug) as k from e), r as (select *, row_number() over (partition by person order by n desc, slug) as r from d where k = 1) select person, slug, n, r from r where r <= 4""",
     "a12_voice_moves": lambda x: MOVED(x) + " select person, move, cast(sum(hits) as bigint) as occurrences, " + x.count_if("hits > 0") + " as spread, floor(sum(hits) * 1e4 / sum(words) + 0.5) as rate from moved group by person, move",
@@ -117,12 +117,17 @@ CATALOGUE = {
         select c.person, count(*) as positions, {x.count_if('c.n = 0')} as uncited, max(c.n) as most_citations, coalesce(max(d.groups_), 0) as duplicate_vectors, coalesce(max(s.n), 0) as superseded from c left join dup d on d.person = c.person left join sup s on s.person = c.person group by c.person""",
     "a19_publish_gate": lambda x: GATE(x),
     "a23_most_common": lambda x: f"with c as (select lang, source, count(*) as n, min(doc_id) as first_at from documents group by lang, source), r as (select *, row_number() over (partition by lang order by n desc, first_at) as r from c) select lang, source, n from r where r = 1",
-    "a25_publish_rate": lambda x: f"with s as (select person, source, count(published_at) as n, {x.days('max(published_at)', 'min(published_at)')} as span from items group by person, source) select person, source, n, case when n < 2 or span = 0 then cast(n as double) else floor((n - 1) * 365.0 / span * 100 + 0.5) / 100 end as projected from s",
+    "a25_publish_rate": lambda x: f"""with s as (select i.person, i.source, max(s.platform) as platform, count(i.published_at) as n, count(distinct i.published_at) as days_, {x.days('max(i.published_at)', 'min(i.published_at)')} as span from items i join sources s on s.person = i.person and s.source = i.source group by i.person, i.source)
+        select person, source, platform, n, case when platform = 'bluesky' and span > 0 then least(365.0, floor(days_ * 365.0 / (span + 1) * 100 + 0.5) / 100) when n < 2 or coalesce(span, 0) = 0 then cast(n as double) else floor((n - 1) * 365.0 / span * 100 + 0.5) / 100 end as projected,
+        case when platform = 'bluesky' and span > 0 then 'sample days' when n < 2 or coalesce(span, 0) = 0 then 'count' else 'rate' end as basis from s""",
     "a26_archive_survey": lambda x: f"""select s.person, s.source, s.platform, {x.count_if(f'i.published_at >= {FLOOR_DATE} or i.published_at is null')} as in_window, {x.count_if('i.toxic = 1')} as paywalled, {x.count_if(f'(i.published_at >= {FLOOR_DATE} or i.published_at is null) and (i.toxic is null or i.toxic = 0)')} as bodies,
         cast(ceil({x.count_if(f'(i.published_at >= {FLOOR_DATE} or i.published_at is null) and (i.toxic is null or i.toxic = 0)')} * max(case s.platform when 'youtube' then 4 when 'blog' then 2 else 1 end) / 60.0) as bigint) as minutes from sources s join items i on s.person = i.person and s.source = i.source group by s.person, s.source, s.platform""",
-    "e18_backfill_plan": lambda x: f"select s.platform, {x.count_if(f'i.published_at >= {FLOOR_DATE}')} as in_window, {x.count_if('i.published_at is null')} as undated, cast(ceil({x.count_if(f'i.published_at >= {FLOOR_DATE}')} / 60.0) as bigint) as minutes from sources s join items i on s.person = i.person and s.source = i.source group by s.platform",
+    "e18_backfill_plan": lambda x: f"""with s as (select s.person, s.source, s.platform, {x.count_if(f'i.published_at >= {FLOOR_DATE}')} as dated, {x.count_if('i.published_at is null')} as undated, count(distinct i.published_at) as days_, {x.days('max(i.published_at)', 'min(i.published_at)')} as span, count(i.published_at) as n from sources s join items i on s.person = i.person and s.source = i.source group by s.person, s.source, s.platform),
+        p as (select *, case when platform in ('blog', 'substack') then cast(dated + undated as double) when platform = 'bluesky' and span > 0 then least(365.0, floor(days_ * 365.0 / (span + 1) + 0.5)) when n < 2 or coalesce(span, 0) = 0 then cast(n as double) else floor((n - 1) * 365.0 / span + 0.5) end as in_window from s)
+        select person, source, platform, in_window, case when platform in ('blog', 'substack') then 'counted' else 'projected' end as basis, cast(ceil(in_window * case platform when 'youtube' then 4 when 'blog' then 2 else 1 end / 60.0) as bigint) as minutes from p""",
     "a27_fleet": lambda x: "select person, count(*) as n from items where retrieval = 'retrieved' group by person order by n desc, person",
-    "a29_pass_metrics": lambda x: "select quote_id % 3 as pass, count(*) as refs, count(distinct item_id) as items from claims group by quote_id % 3",
+    "a29_pass_metrics": lambda x: f"""with n as (select quote_id, item_id, row_number() over (order by item_id, quote_id) as ref from (select distinct quote_id, item_id from claims) c), p as (select *, {x.div('ref - 1', '5')} as pass from n), f as (select p.*, c.quote_id is not null as placed from p left join (select distinct c.quote_id, c.item_id from claims c join documents d on d.doc_id = c.item_id and {x.locate('c.quote', 'd.text')} > 0) c on c.quote_id = p.quote_id and c.item_id = p.item_id)
+        select pass, count(*) as refs, {x.count_if('placed')} as placed, {x.count_if('not placed')} as omitted, count(distinct item_id) as items, cast(sum({x.count_if('placed')}) over (order by pass) as bigint) as recovered from f group by pass""",
     "a31_sample_description": lambda x: f"select {BANDS} as band, count(*) as items, cast(sum(words) as bigint) as words from items where retrieval = 'retrieved' group by {BANDS}",
     "a32_feed_survey": lambda x: f"select person, source, {x.count_if(f'published_at >= {FLOOR_DATE} or published_at is null')} as in_window, {x.count_if('published_at is null')} as undated from items group by person, source",
     "w1_stratified_sample": lambda x: f"with r as (select item_id, {BANDS} as band, row_number() over (partition by {BANDS} order by md5(external_id)) as r from items where retrieval = 'retrieved') select item_id, band, r from r where r <= 20",
@@ -136,7 +141,7 @@ CATALOGUE = {
     "w10_unique_slugs": lambda x: f"""with b as (select item_id, person, substring({x.sub(x.sub("lower(title)", "[^a-z0-9]+", "-"), "^-+|-+$", "")}, 1, 6) as base from items), n as (select *, row_number() over (partition by person, base order by item_id) as k from b)
         select item_id, case when k = 1 then base else concat(base, '-', cast(k as {x.string})) end as slug from n""",
     "t6_recent": lambda x: "with r as (select person, item_id, row_number() over (partition by person order by published_at desc nulls last, external_id) as r, count(*) over (partition by person) as n from items) select person, item_id, r, n > 10 as more_available from r where r <= 10",
-    "t7_citation_order": lambda x: "select c.position, c.item, row_number() over (partition by c.position order by i.published_at desc nulls last, c.item) as place from citations c left join items i on i.item_id = c.item",
+    "t7_citation_order": lambda x: "select c.position, c.item, row_number() over (partition by c.position order by t.published_at desc nulls last, s.start_at asc nulls first, c.item) as place from citations c left join vec_items t on t.item = c.item left join (select item, min(ordinal) as start_at from chunks_v where ordinal > 0 group by item) s on s.item = c.item",
     "e3_golden_questions": lambda x: "with r as (select item_id, person, title, row_number() over (partition by person order by md5(external_id)) as r from items where retrieval = 'retrieved' and title <> '') select item_id, person, title from r where r <= 9",
     "e7_recent_items": lambda x: f"""with r as (select i.person, i.item_id, i.retrieval, i.published_at, row_number() over (partition by i.person order by i.published_at desc nulls last, i.external_id) as r, count(*) over (partition by i.person) as n from items i),
         note as (select item_id, {x.last_by('extractor', x.pair('extractor', 'claims'))} as extractor, cast(sum(claims) as bigint) as claims from notes group by item_id)
@@ -157,7 +162,7 @@ CATALOGUE = {
     "e16_generations": lambda x: _checked(x) + f" select quote_id % 2 as generation, count(*) as claims, {x.count_if('found_at > 0')} as faithful, {x.count_if('found_at = 0 and at_loose > 0')} as nearly from checked group by quote_id % 2",
     "u1_held": lambda x: f"select person, slug from positions union select person, concat('line-', cast(position % 5 as {x.string})) from positions",
     "u3_residue": lambda x: "select item_id from items where retrieval = 'retrieved' except select item_id from claims",
-    "u4_citation_urls": lambda x: f"select position, {x.set_listed(f'cast(item as {x.string})')} as urls from citations group by position",
+    "u4_citation_urls": lambda x: f"select position, {x.set_listed('url')} as urls from (select position, concat('https://x.example/', slug) as url from positions union all select c.position, case when t.published_at is not null then concat('https://x.example/p/', cast(c.item as {x.string})) end from citations c left join vec_items t on t.item = c.item) u where url is not null group by position",
     "u5_merge_groups": lambda x: f"""with groups_ as (select p_from as grp, p_from as member, 0 as k from relations union all select p_from, p_to, 1 from relations),
         mine as (select member, min(grp) as grp from groups_ group by member), rows_ as (select p.position, p.slug, coalesce(m.grp, p.position) as grp from positions p left join mine m on m.member = p.position),
         ev as (select r.grp, c.item from rows_ r join citations c on c.position = r.position group by r.grp, c.item), en as (select grp, count(*) as items from ev group by grp)

@@ -33,14 +33,16 @@ CATALOGUE = {
     "v3_statement_score": lambda x: "select s.q_id, s.position, floor((s.scos - coalesce(bg.background, 0)) * 1e3 + 0.5) / 1e3 as score from scored_statements s left join backgrounds bg on s.position = bg.position",
     "v4_blend": lambda x: BLEND + " select q_id, position, blend from blended",
     "v6_duplicate_vectors": lambda x: f"select count(*) as n_groups from (select embedding from embeddings group by embedding having count(*) > 1) t",
-    "p13_effective_floor": lambda x: f"with {TOP} select q_id, case when q_id % 7 = 0 then 0.3 when q_id % 5 = 0 then 0.55 else greatest(coalesce(top, 0.55), 0.52) end as floor_used, case when q_id % 5 = 0 or top <= 0 then null else top end as scale from tops",
-    "p14_fit_grade": lambda x: "select q_id, position, case when scos is null then 'ungraded' when scos >= 0.1 + 0.66 * 0.2 then 'close' when scos >= 0.1 + 0.33 * 0.2 then 'partial' else 'distant' end as fit from scored_statements",
+    "p13_effective_floor": lambda x: f"""with {TOP}, moved as (select distinct p.person from relations r join positions p on p.position = r.p_from where r.relation = 'drifting')
+        select q.q_id, case when f.floor > 0.2 then cast(f.floor as double) when m.person is not null then 0.55 else greatest(coalesce(t.top, 0.55), 0.52) end as floor_used, case when m.person is not null or f.span is null or f.span <= 0 then null else cast(f.span as double) end as scale
+        from questions q left join tops t on t.q_id = q.q_id left join floors f on f.person = q.person left join moved m on m.person = q.person""",
+    "p14_fit_grade": lambda x: "select s.q_id, s.position, case when s.scos is null or f.span is null or f.span <= 0 then 'ungraded' when s.scos - f.cut >= 0.66 * f.span then 'close' when s.scos - f.cut >= 0.33 * f.span then 'partial' else 'distant' end as fit from scored_statements s join positions p on p.position = s.position left join floors f on f.person = p.person",
     "w11_bounded_evidence": lambda x: "with c as (select position, item, row_number() over (partition by position order by item) as r, count(*) over (partition by position) as n from citations) select position, item, r, greatest(n - 4, 0) as more_citations from c where r <= 4",
     "j8_relations": lambda x: "select position, other, direction, relation from (select p_from as position, p_to as other, 'forward' as direction, relation from relations union all select p_to, p_from, 'back', relation from relations) t",
     "u2_both_directions": lambda x: f"select p_from as position, relation from relations union all select p_to, relation from relations",
-    "a9_riding_lines": lambda x: BLEND + """, lines as (select distinct position % 5 as line, item from citations),
-        ride as (select s.q_id, l.line, count(distinct s.position) as n from shown s join citations c on s.position = c.position join lines l on c.item = l.item where s.place <= 5 group by s.q_id, l.line),
-        r as (select *, row_number() over (partition by q_id order by n desc, line) as r from ride) select q_id, line, n, r from r where r <= 3""",
+    "a9_riding_lines": lambda x: BLEND + """, lines as (select distinct line, item from through_lines), few as (select * from shown where place <= 5), n as (select q_id, count(*) as most from few group by q_id),
+        ride as (select s.q_id, l.line, count(distinct s.position) as n from few s join citations c on s.position = c.position join lines l on c.item = l.item group by s.q_id, l.line),
+        r as (select *, row_number() over (partition by q_id order by n desc, line) as r from ride) select r.q_id, r.line, r.n, r.r from r join n on n.q_id = r.q_id where r.r <= n.most""",
     "e1_find_positions_strict": lambda x: BLEND.replace(f">= {FLOOR}", f">= {STRICT}") + f", {TOP} select s.q_id, s.slug, s.blend, s.place from shown s join tops t on s.q_id = t.q_id where t.top >= {STRICT} and s.place <= 5",
     "a17_negatives": lambda x: f"""with off as (select q.q_id, q.person, max(floor({x.cos('c.embedding', 'q.q_vec')} * 1e4 + 0.5) / 1e4) as top from questions q join chunks_v c on c.person = (q.person + 1) % 10 group by q.q_id, q.person)
         select person, {x.count_if(f'top >= {FLOOR}')} as answered, {x.count_if(f'top < {FLOOR}')} as rested, {x.count_if(f'top >= {STRICT}')} as near_answered, {x.count_if(f'top < {STRICT}')} as near_rested, count(*) as total from off group by person""",

@@ -19,5 +19,8 @@ CATALOGUE = {
     "i12_register_sources": lambda x: f"select person, source, case when srcno % 2 = 0 then date '2024-01-01' < backfill_floor else false end as reopened, backfill_complete and not (srcno % 2 = 0) as complete_after from sources",
     "i13_stuck_rebuilds": lambda x: RUNS.replace("'error'", "'click'") + ", last as (select user_id, max(seq) as s from run group by user_id) select r.user_id, cast(r.run_k as bigint) as cycles_behind, r.run_k >= 2 as fault from run r join last l on r.user_id = l.user_id and r.seq = l.s where r.fail",
     "i14_freshness": lambda x: f"with l as (select user_id, max(ts) as newest from events group by user_id), m as (select max(newest) as now_ from l) select l.user_id, case when {x.hours('m.now_', 'l.newest')} >= 24 then 'stale' else 'fresh' end as state from l, m",
-    "i15_due_assertions": lambda x: f"with l as (select user_id, event_type, max(ts) as last_at from events group by user_id, event_type), m as (select max(ts) as now_ from events) select l.user_id, l.event_type, case when l.event_type = 'error' then 'fault_open' when {x.hours('m.now_', 'l.last_at')} >= 168 then 'weekly' else 'not_due' end as why from l, m",
+    "i15_due_assertions": lambda x: f"""with u as (select distinct user_id from events), a as (select distinct event_type as assertion from events), last_ as (select user_id, event_type, max(ts) as last_at from events group by user_id, event_type), m as (select max(ts) as now_ from events),
+        f as (select user_id, max(ts) as failed_at from events where event_type = 'error' group by user_id), p as (select user_id, max(ts) as passed_at from events where event_type <> 'error' group by user_id), c as (select user_id, max(ts) as compiled_at from events where event_type = 'signup' group by user_id)
+        select u.user_id, a.assertion, case when f.failed_at is not null and (p.passed_at is null or f.failed_at > p.passed_at) and a.assertion = 'error' then 'fault_open' when l.last_at is null then 'never_asked' when c.compiled_at > l.last_at then 'recompiled' when {x.hours('m.now_', 'l.last_at')} >= 168 then 'weekly' else 'not_due' end as why
+        from u cross join a cross join m left join last_ l on l.user_id = u.user_id and l.event_type = a.assertion left join f on f.user_id = u.user_id left join p on p.user_id = u.user_id left join c on c.user_id = u.user_id""",
 }

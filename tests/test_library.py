@@ -207,3 +207,17 @@ def test_verdicts(spark):
     ]
     rows = spark.createDataFrame([(k, "p", t, c) for k, (t, c, _) in enumerate(asked)], "sentence_id long, person string, text string, claimed string")
     assert {r.sentence_id: r.verdict for r in verify.verify(rows, items, held).collect()} == {k: v for k, (_, _, v) in enumerate(asked)}
+
+
+def test_unique_slugs(spark):
+    rng = random.Random(6)
+    rows = [(k, rng.choice("pq"), rng.choice(["a", "b", "a-2", "a-2-2", "b-3", "c"])) for k in range(80)]
+    got = {r.id: r.slug for r in folds.unique_slugs(spark.createDataFrame(rows, "id long, person string, base string").repartition(4), "person", "base", [F.asc("id")]).collect()}
+    taken = set()
+    for k, person, base in rows:
+        n, slug = 1, base
+        while (person, slug) in taken:
+            n += 1
+            slug = f"{base}-{n}"
+        taken.add((person, slug))
+        assert got[k] == slug
