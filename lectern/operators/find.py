@@ -78,7 +78,7 @@ class Find:
     def hits(self) -> DataFrame:
         """(q_id, chunk_id, item, cos, r, floor): the nearest chunks of each question, in order; written once."""
         near = vectors.score(self.questions, self.chunks, k=HITS).join(F.broadcast(self.floors.select(F.col("person").cast("long").alias("person"), "floor")), "person")  # a row a person
-        return self._written(near.withColumn("r", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("cos"), "item", "chunk_id"))), "hits")
+        return self._written(near, "hits")
 
     @cached_property
     def facts(self) -> DataFrame:

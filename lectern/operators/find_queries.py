@@ -20,7 +20,7 @@ FLOORS = define_view("floors", lambda x: "select person, case when person % 3 =
 
 
 def searched(spark: SparkSession, sf_dir: str) -> tuple[find.Find, DataFrame]:
-    own = register(spark, sf_dir, "asked vec_items through_lines floors citations relations positions backgrounds")
+    own = register(spark, sf_dir, "asked vec_items through_lines floors citations relations positions backgrounds", ("chunks_v", "vec_items", "asked"))
     chunks = own.sql("select c.chunk_id, c.person, c.item, c.ordinal, c.embedding, t.published_at from chunks_v c left join vec_items t on t.item = c.item")
     q, floors = own.table("asked"), own.sql("select person, cast(floor as double) as floor, cast(cut as double) as cut, cast(span as double) as span from floors")
     return find.Find(q, chunks, own.table("vec_items"), own.table("positions"), own.table("backgrounds"), own.table("citations"), own.table("relations"), own.table("through_lines"), floors), q.select("q_id", "item")

@@ -12,8 +12,36 @@ COVER = lambda x: f"""with per as (select s.person, s.source, count(i.item_id) a
         cast(coalesce(sum(case when i.retrieval = 'retrieved' then i.words end), 0) as bigint) as words, min(case when i.retrieval = 'retrieved' then i.published_at end) as first_day, max(case when i.retrieval = 'retrieved' then i.published_at end) as last_day
         from sources s left join items i on s.person = i.person and s.source = i.source group by s.person, s.source)"""
 STOP = "(" + ", ".join(f"'{w}'" for w in find.STOP) + ")"
-MOVES = {"question": r"\\?", "first": r"(?i)\\b(?:i|me|my)\\b", "second": r"(?i)\\b(?:you|your)\\b", "hedge": r"(?i)\\b(?:maybe|perhaps|in)\\b", "list": r"\\|", "shout": r"!!", "plural": r"(?i)\\b(?:we|our|us)\\b"}
-SAFE = {k: v.replace("\\\\", "\\").replace(r"\b(?:", r"(?:^|[^A-Za-z0-9_])(?:").replace(r")\b", r")(?:$|[^A-Za-z0-9_])") for k, v in MOVES.items()}
+#: Expressions of each move of a voice and of its registers. A blank or an apostrophe with a mark may be missing.
+MOVES = {
+    "hedging": ["I think\\b", "I do ?n'?t think\\b", "I'?m not sure\\b", "I could be wrong\\b", "I suspect\\b", "my sense is\\b", "probably\\b", "perhaps\\b", "maybe\\b", "might be\\b", "seems? (?:like|to)\\b", "kind of\\b", "sort of\\b"],
+    "direct-address": ["here'?s (?:what|the thing|why|how|where)\\b", "I want you to\\b", "you need to\\b", "you should\\b", "if you'?re\\b", "think about (?:it|this) as\\b", "ask yourself\\b"],
+    "enumeration": ["number (?:one|two|three|four|five)\\b", "the (?:first|second|third) thing\\b", "\\b(?:first|second|third|fourth|finally),", "point (?:one|two|three)\\b"],
+    "wry-aside": ["frankly\\b", "honestly\\b", "which is (?:wild|nuts|bananas|insane|mad)\\b", "to be fair\\b", "funnily enough\\b"],
+    "concession-pivot": ["I'?m not saying\\b", "I'?m just saying\\b", "that said\\b", "having said that\\b", "to be clear\\b", "not to say\\b"],
+    "reframe": ["the (?:real )?question is not\\b", "is not (?:which|whether|can|what|how)\\b", "it'?s not (?:about )?\\w+,? it'?s\\b", "rather than asking\\b", "the wrong question\\b"],
+}
+#: Of the registers, without apostrophes.
+REGISTERS = {
+    "second": "you youre youve your yours yourself", "first": "i im ive ill me my mine myself", "plural": "we were weve us our ours ourselves",
+}
+
+
+def MOVED(x) -> str:  # noqa: N802
+    """(person, words, move, hits): one scan with a count for each move and register, then a row for each.
+
+    Moves are counted by their expressions, ended by ``x.edge``; registers by words, so that words in a row count each.
+    """
+    edged = lambda v: v.replace("\\b(", x.begin + "(").replace("\\b", x.edge).replace("'", "\\x27")
+    moves = {k: x.hits("text", "(?i)" + "|".join(map(edged, alternatives))) for k, alternatives in MOVES.items()}
+    registers = {k: x.count_in("ws", words.split()) for k, words in REGISTERS.items()}
+    names = {f"m_{k.replace('-', '_')}": k for k in (*moves, *registers)}
+    counted = ", ".join(f"{v} as m_{k.replace('-', '_')}" for k, v in {**moves, **registers}.items())
+    tall = x.unpivot("counted", ("person", "words"), tuple(names), "move", "hits")
+    said = f"said as (select person, words, text, {x.every("replace(lower(text), chr(39), '')", "[a-z0-9_]+")} as ws from items where retrieval = 'retrieved')"
+    return f"with {said}, counted as (select person, words, {counted} from said), tall as ({tall}), moved as (select person, words, replace(substring(move, 3, 40), '_', '-') as move, hits from tall)"
+
+
 OURS = "c0+m0.s1.p0.r1"
 #: Rows that break a rule of the tables, by rule; the first part gives each rule a row of its own.
 AUDIT = {
@@ -40,8 +68,6 @@ def GATE(x) -> str:  # noqa: N802
     return facts + f", rows_ as ({rows}) select person, check_name, passed, min(case when passed then 1 else 0 end) over (partition by person) = 1 as published from rows_"
 
 
-#: One scan with a count for each move, then a row for each.
-MOVED = lambda x: f"with counted as (select person, words, {', '.join(f'{x.hits("text", p)} as {k}' for k, p in SAFE.items())} from items where retrieval = 'retrieved'), moved as ({x.unpivot('counted', ('person', 'words'), tuple(SAFE), 'move', 'hits')})"
 BANDS = "case when words < 100 then 'a' when words < 400 then 'b' else 'c' end"
 CLAIM = "(case when locate_ > 0 then 'verified' else 'dropped' end)"
 

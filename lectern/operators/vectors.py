@@ -66,7 +66,7 @@ def _against(block: list, chunks: DataFrame, k: int | None, own: bool) -> DataFr
 
 
 def score(questions: DataFrame, chunks: DataFrame, k: int | None = None, own: bool = False) -> DataFrame:
-    """PAIRS of each question and the chunks of its person: all of them, or the nearest ``k``.
+    """PAIRS of each question and the chunks of its person: all of them, or the nearest ``k`` with their rank ``r``.
 
     ``questions`` has (q_id, person, q_vec), ``chunks`` (chunk_id, person, item, ordinal, embedding). A question's dates
     ``since`` and ``until``, both inclusive, bound ``published_at`` of the chunks, and leave out undated ones, where given.
@@ -86,7 +86,7 @@ def score(questions: DataFrame, chunks: DataFrame, k: int | None = None, own: bo
         out = part if out is None else out.unionByName(part)
     if k is None:
         return out
-    return out.withColumn("r", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("cos"), "item", "chunk_id"))).where(F.col("r") <= k).drop("r")
+    return out.withColumn("r", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("cos"), "item", "chunk_id"))).where(F.col("r") <= k)
 
 
 def mean_directions(vectors: DataFrame, key: str = "label", column: str = "embedding") -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import vectors
+from ..sources.sinks import new_folder
 from .dialect import Duck, Spark
 
 TABLES = ("documents", "embeddings", "events", "pages", "benchmark", "conversations", "labels")
@@ -44,7 +45,7 @@ VIEWS: dict[str, Callable] = {
     "backgrounds": lambda x: f"select p.position, floor(coalesce(avg({x.cos('p.s_vec', 'e.embedding')}), 0) * 1e3 + 0.5) / 1e3 as background from positions p join embeddings e on e.label <> p.person group by p.position",
     "backgrounds_all": lambda x: f"select p.position, floor(coalesce(avg({x.cos('p.s_vec', 'e.embedding')}), 0) * 1e3 + 0.5) / 1e3 as background from positions p cross join embeddings e group by p.position",
     "claims": lambda x: f"""select q.quote_id, d.doc_id as found_in, case when q.quote_id % 5 = 1 then lower(replace(replace(q.quote, '.', ''), ',', '')) else q.quote end as quote, case when q.quote_id % 2 = 0 then d.doc_id else (d.doc_id + 7) % (select count(*) from documents) end as item_id
-        from quote_keys q join (select distinct doc_id, five from text_fives) f on q.five = f.five join documents d on d.doc_id = f.doc_id where {x.locate("q.quote", "d.text")} > 0""",
+        from (select distinct k.quote_id, k.quote, f.doc_id from quote_keys k join text_fives f on k.five = f.five) q join documents d on d.doc_id = q.doc_id where {x.locate("q.quote", "d.text")} > 0""",
     # a source is checked by the user of its number; notes stand on the claims that were found in their item
     "checks": lambda x: "select s.person, s.source, s.platform, max(e.ts) as last_checked, max(case s.platform when 'substack' then 24 when 'youtube' then 48 when 'blog' then 72 else 6 end) as every_h from sources s left join events e on e.user_id = s.srcno group by s.person, s.source, s.platform",
     "compiles": lambda x: f"""select i.person, max(case when s.backfill_complete then i.published_at end) as compiled_at, concat('c', cast(count(distinct s.platform) % 2 as {x.string}), '+m0.s1.p', cast(min(s.srcno) % 2 as {x.string}), '.r1') as version
@@ -78,9 +79,9 @@ def define_view(name: str, view: Callable) -> str:
     return name
 
 
-def register(spark: SparkSession, sf_dir: str, statement: str = "") -> SparkSession:
+def register(spark: SparkSession, sf_dir: str, statement: str = "", written: tuple[str, ...] = ()) -> SparkSession:
     """A session of its own, so that no view of the caller is replaced, with the tables and the views that the statement
-    needs, directly or through others."""
+    needs, directly or through others; those ``written`` are stored once, where several others read them."""
     own = spark.newSession()
     for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.ansi.enabled"):
         own.conf.set(key, spark.conf.get(key))
@@ -96,7 +97,12 @@ def register(spark: SparkSession, sf_dir: str, statement: str = "") -> SparkSess
         own.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     for name in VIEWS:
         if name in wanted:
-            (BUILT[name](own) if name in BUILT else own.sql(texts[name])).createOrReplaceTempView(name)
+            view = BUILT[name](own) if name in BUILT else own.sql(texts[name])
+            if name in written:
+                path = new_folder(spark, name)
+                view.write.parquet(path)
+                view = own.read.schema(view.schema).parquet(path)
+            view.createOrReplaceTempView(name)
     return own
 
 

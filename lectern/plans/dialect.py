@@ -5,6 +5,8 @@ from __future__ import annotations
 
 class Spark:
     name = "spark"
+    #: An ASCII edge of a word: the engine's own would see letters beyond ASCII.
+    begin, edge = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
     string, double = "string", "double"
 
     div = staticmethod(lambda a, b: f"(({a}) div ({b}))")
@@ -42,6 +44,7 @@ class Spark:
     day = staticmethod(lambda c: f"cast({c} as date)")
     hours = staticmethod(lambda later, earlier: f"(cast(floor((unix_seconds(cast({later} as timestamp)) - unix_seconds(cast({earlier} as timestamp))) / 3600) as bigint))")
     stamp = staticmethod(lambda c: f"date_format({c}, 'yyyy-MM-dd HH:mm:ss')")
+    count_in = staticmethod(lambda a, words: f"cast(size(filter({a}, w -> w in ({', '.join(repr(w) for w in words)}))) as bigint)")
     secs = staticmethod(lambda c: f"unix_seconds(cast({c} as timestamp))")
     grams = staticmethod(lambda c, n: f"transform(sequence(1, greatest(length({c}) - {n - 1}, 1)), i -> substring({c}, i, {n}))")
     try_number = staticmethod(lambda c: f"try_cast({c} as double)")
@@ -52,6 +55,7 @@ class Spark:
 
 class Duck:
     name = "duckdb"
+    begin, edge = "\\b", "\\b"
     string, double = "varchar", "double"
 
     div = staticmethod(lambda a, b: f"(({a}) // ({b}))")
@@ -89,6 +93,7 @@ class Duck:
     day = staticmethod(lambda c: f"cast({c} as date)")
     hours = staticmethod(lambda later, earlier: f"cast(floor((epoch({later}) - epoch({earlier})) / 3600) as bigint)")
     stamp = staticmethod(lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')")
+    count_in = staticmethod(lambda a, words: f"cast(len(list_filter({a}, lambda w: w in ({', '.join(repr(w) for w in words)}))) as bigint)")
     secs = staticmethod(lambda c: f"cast(floor(epoch({c})) as bigint)")
     grams = staticmethod(lambda c, n: f"list_transform(range(1, greatest(length({c}) - {n - 1}, 1) + 1), lambda i: substring({c}, i, {n}))")
     try_number = staticmethod(lambda c: f"try_cast({c} as double)")

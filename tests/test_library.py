@@ -221,3 +221,14 @@ def test_unique_slugs(spark):
             slug = f"{base}-{n}"
         taken.add((person, slug))
         assert got[k] == slug
+
+
+def test_voice_counts(spark):
+    from lectern.operators.measure import MOVED
+    from lectern.plans.dialect import Spark
+
+    texts = ["I think so. Maybe, maybe not; improbably, I'm not sure. I dont think ökind of maybeé", "First, you need to. Finally, it's not about speed, it's cost. You're my, my friend; we were yours", "To be fair, which is wild. That said, the wrong question", ""]
+    own = spark.newSession()
+    own.createDataFrame([(k, "p", len(t.split()), t, "retrieved") for k, t in enumerate(texts)], "item_id long, person string, words long, text string, retrieval string").createOrReplaceTempView("items")
+    got = {r.move: r.n for r in own.sql(MOVED(Spark) + " select move, sum(hits) as n from moved group by move").collect()}
+    assert got == {"hedging": 8, "direct-address": 1, "enumeration": 2, "wry-aside": 2, "concession-pivot": 1, "reframe": 2, "second": 3, "first": 5, "plural": 2}
