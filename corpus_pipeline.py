@@ -1,5 +1,11 @@
 """From documents to packed sequences: quality rules, one of each group of near copies, no benchmark text, no personal
-data, packed windows. Each stage is written as Parquet and read again by the next."""
+data, packed windows. Each stage is written as Parquet and read again by the next.
+
+Nulls: a null or empty text fails the quality rules, so no later stage of a run meets one; a stage that is called alone
+takes them as its operator says: near duplicates and decontamination keep them, pseudonyms leave them, packing gives
+their end id. Null hosts are one host. Repeated rows are copies, of which rows that share a doc_id stay or go together.
+Rows without a doc_id are kept by every stage that judges by id. Other columns, whatever their names, pass through.
+Empty tables give empty tables."""
 
 from __future__ import annotations
 
