@@ -179,13 +179,23 @@ CATALOGUE = {
         select p.person, k.layer, case when v.person is null then 'absent' when p.paused then 'withdrawn' when max(case when {" or ".join(f"(k.part = {i} and {x.at('v.a', i)} <> {x.at('v.b', i)})" for i in range(1, 6))} then 1 else 0 end) = 1 then 'withheld' else 'served' end as state
         from people p left join v on v.person = p.person cross join {x.values(["(1, 'voice')", "(2, 'voice')", "(1, 'coverage')", "(2, 'coverage')", "(1, 'habits')", "(3, 'habits')", "(1, 'positions')", "(4, 'positions')", "(1, 'revisions')", "(5, 'revisions')"], 'part', 'layer')} k group by p.person, p.paused, v.person, k.layer""",
     "e10_measured_layers": lambda x: COVER(x) + " select person, count(*) as sources, cast(sum(retrieved) as bigint) as items, cast(sum(words) as bigint) as words from per group by person",
-    "e11_positions_build": lambda x: "select quote_id % 12 as cluster, count(*) as claims, count(distinct c.item_id) as items, count(*) - count(i.item_id) as unabsorbed from claims c left join items i on c.item_id = i.item_id and i.retrieval = 'retrieved' group by quote_id % 12",
+    "e11_positions_build": lambda x: f"""with refs as (select c.quote_id, c.item_id, c.quote, i.person, i.published_at, concat('c', cast(row_number() over (partition by i.person order by i.published_at desc nulls last, i.external_id, c.quote_id) as {x.string})) as ref from claims c join items i on c.item_id = i.item_id),
+        answers as (select person, quote_id % 12 as cluster, case when quote_id % 10 = 9 then concat('x', ref) else ref end as ref from refs where quote_id % 7 <> 6),
+        kept as (select a.person, a.cluster, r.item_id, r.quote, r.published_at from answers a join refs r on r.person = a.person and r.ref = a.ref), lost as (select a.person, a.cluster, count(*) as dropped from answers a left join refs r on r.person = a.person and r.ref = a.ref where r.ref is null group by a.person, a.cluster),
+        free as (select r.person, count(*) as unabsorbed from refs r left join answers a on a.person = r.person and a.ref = r.ref where a.ref is null group by r.person),
+        built as (select person, cluster, count(*) as claims, count(distinct item_id) as items, min(published_at) as since, max(published_at) as until, min(quote) as statement from kept group by person, cluster),
+        named as (select *, {x.sub(f"substring({x.sub(x.sub('lower(statement)', '[^a-z0-9]+', '-'), '^-+|-+$', '')}, 1, 24)", "-+$", "")} as base from built), numbered as (select *, row_number() over (partition by person, base order by cluster) as k from named)
+        select n.person, n.cluster, n.claims, n.items, {x.iso('n.since')} as held_since, {x.iso('n.until')} as held_until, {x.days('n.until', 'n.since')} as days_spanned, case when n.items >= 5 and {x.days('n.until', 'n.since')} > 7 then 'high' when n.items >= 2 then 'moderate' else 'low' end as confidence,
+        case when n.k = 1 then n.base else concat(n.base, '-', cast(n.k as {x.string})) end as slug, coalesce(l.dropped, 0) as dropped, coalesce(f.unabsorbed, 0) as unabsorbed from numbered n left join lost l on l.person = n.person and l.cluster = n.cluster left join free f on f.person = n.person""",
     "e12_revisions": lambda x: f"""with dated as (select p.position, p.person, min(t.published_at) as since from positions p join citations c on c.position = p.position left join vec_items t on t.item = c.item group by p.position, p.person),
         v as (select r.p_from, r.p_to, r.relation, row_number() over (partition by r.p_from, r.p_to order by r.relation) as k from relations r) select v.p_from, v.p_to, v.relation, {x.days('b.since', 'a.since')} as gap_days from v join dated a on a.position = v.p_from join dated b on b.position = v.p_to where v.k = 1 and a.person = b.person and v.relation <> 'drifting' and a.since is not null and b.since is not null""",
     "e13_support_keys": lambda x: f"""with k as (select p.position, {x.sha(f"concat(cast(p.person as {x.string}), '|', p.slug, '|', {x.set_listed(f'cast(c.item as {x.string})')})")} as check_key from positions p join citations c on c.position = p.position group by p.position, p.person, p.slug),
         judged as (select p.position, {x.sha(f"concat(cast(p.person as {x.string}), '|', p.slug, '|', {x.set_listed(f'cast(c.item as {x.string})')})")} as check_key from positions p join citations c on c.position = p.position join vec_items t on t.item = c.item where t.retrieval = 'retrieved' group by p.position, p.person, p.slug)
         select k.position, k.check_key, j.check_key is not null as held from k left join judged j on j.check_key = k.check_key""",
-    "e16_generations": lambda x: _checked(x) + f" select quote_id % 2 as generation, count(*) as claims, {x.count_if('found_at > 0')} as faithful, {x.count_if('found_at = 0 and at_loose > 0')} as nearly from checked group by quote_id % 2",
+    "e16_generations": lambda x: _checked(x) + f""", r as (select item_id, row_number() over (partition by {BANDS} order by md5(external_id)) as r from items where retrieval = 'retrieved'), sampled as (select item_id from r where r <= 200),
+        g as (select c.quote_id % 3 as generation, count(*) as claims, count(distinct c.item_id) as items, {x.count_if('found_at > 0 or at_flat > 0')} as faithful, {x.count_if('found_at = 0 and at_flat = 0 and at_loose > 0')} as nearly from checked c join sampled s on s.item_id = c.item_id group by c.quote_id % 3),
+        tall as ({x.unpivot('g', ('generation',), ('claims', 'items', 'faithful', 'nearly'), 'measure', 'n')})
+        select measure, cast(coalesce(sum(case when generation = 0 then n end), 0) as bigint) as g0, cast(coalesce(sum(case when generation = 1 then n end), 0) as bigint) as g1, cast(coalesce(sum(case when generation = 2 then n end), 0) as bigint) as g2 from tall group by measure""",
     "u1_held": lambda x: f"select person, slug from positions union select person, concat('line-', cast(position % 5 as {x.string})) from positions",
     "u3_residue": lambda x: "select item_id from items where retrieval = 'retrieved' except select item_id from claims",
     "u4_citation_urls": lambda x: f"select position, {x.set_listed('url')} as urls from (select position, concat('https://x.example/', slug) as url from positions union all select c.position, case when t.published_at is not null then concat('https://x.example/p/', cast(c.item as {x.string})) end from citations c left join vec_items t on t.item = c.item) u where url is not null group by position",

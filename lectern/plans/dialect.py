@@ -13,7 +13,7 @@ class Spark:
     days = staticmethod(lambda later, earlier: f"cast(datediff({later}, {earlier}) as bigint)")
     plus_days = staticmethod(lambda d, n: f"date_add({d}, cast({n} as int))")
     iso = staticmethod(lambda d: f"date_format({d}, 'yyyy-MM-dd')")
-    words = staticmethod(lambda c: f"(case when regexp_replace({c}, r'^\\s+|\\s+$', '') = '' then 0L else cast(size(split(regexp_replace({c}, r'^\\s+|\\s+$', ''), r'\\s+')) as bigint) end)")
+    words = staticmethod(lambda c: f"cast(regexp_count({c}, r'\\S+') as bigint)")
     sub = staticmethod(lambda c, pattern, to: f"regexp_replace({c}, r'{pattern}', '{to}')")
     extract = staticmethod(lambda c, pattern, k=1: f"regexp_extract({c}, r'{pattern}', {k})")
     like = staticmethod(lambda c, pattern: f"({c} rlike r'{pattern}')")
