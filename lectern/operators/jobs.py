@@ -60,6 +60,12 @@ S2 = """ select s.platform, case s.platform when 'youtube' then concat('v', item
     trim(title) as title, strftime(published_at, '%Y-%m-%d 00:00:00') as published from items i join sources s on i.person = s.person and i.source = s.source where (s.platform = 'youtube' or item_id % 13 <> 0) and not contains(title, ']]>')"""
 
 
+def a32_feed_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each platform's feed entries, those in the window, undated ones included."""
+    e = s2_feed_entries(spark, sf_dir)
+    return e.groupBy("platform").agg(F.count_if(F.col("published").isNull() | (F.col("published") >= "2024-03-01")).alias("in_window"), F.count_if(F.col("published").isNull()).alias("undated"))
+
+
 def s3_sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _table(spark, sf_dir, "pages")
     loc = F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("ftp://old.example/"), F.col("page_id").cast("string"))).otherwise(F.col("url"))
@@ -434,6 +440,7 @@ E5 = r""", i as (select * from items where words >= 8), flat as (select person,
         union all select item_id * 10 + 6, person, null, 'sentence', 'never_claimed' from i)"""
 
 JOBS = {
+    "a32_feed_survey": (a32_feed_survey, prelude() + f" select platform, count(*) filter (published is null or published >= '2024-03-01') as in_window, count(*) filter (published is null) as undated from ({S2}) e group by platform"),
     "w10_first_free_slugs": (w10_first_free_slugs, None), "e5_verify_sources": (e5_verify_sources, prelude() + E5 + " select * from verdicts"),
     "e5_source_faults": (e5_source_faults, prelude() + E5 + " select person, count(*) filter (verdict = 'sourced') as sourced, count(*) filter (verdict = 'unsourced') as unsourced, count(*) filter (verdict = 'never_claimed') as never_claimed, count(*) filter (verdict = 'unsourced') > 0 as fault from verdicts group by person"),
     "s2_feed_entries": (s2_feed_entries, prelude() + S2), "s3_sitemap_urls": (s3_sitemap_urls, S3), "s5_archive_items": (s5_archive_items, prelude() + S5), "s6_listing": (s6_listing, prelude() + S6), "s7_captions": (s7_captions, S7),

@@ -42,6 +42,8 @@ def MOVED(x) -> str:  # noqa: N802
     return f"with {said}, counted as (select person, words, {counted} from said), tall as ({tall}), moved as (select person, words, replace(substring(move, 3, 40), '_', '-') as move, hits from tall)"
 
 
+#: Settings that somebody asked for: order, platform, handle or none, hours between checks.
+OVERRIDES = ["(1, 'blog', null, 12)", "(2, 'blog', 'SRC2', 6)", "(3, 'youtube', null, 24)", "(4, 'blog', 'src1', 3)", "(5, 'podcast', null, 1)"]
 OURS = "c0+m0.s1.p0.r1"
 #: Rows that break a rule of the tables, by rule; the first part gives each rule a row of its own.
 AUDIT = {
@@ -109,10 +111,11 @@ CATALOGUE = {
         urls as (select person, item_id, concat('x.example/p/', external_id) as url from items), titles as (select person, title, min(item_id) as item_id from items group by person, title)
         select r.item_id, coalesce(u.item_id, t.item_id) as found, case when u.item_id is not null then 'url' when t.item_id is not null then 'title' end as how from refs r left join urls u on u.person = r.person and u.url = {x.sub(x.sub('lower(r.url)', '^https?://(www[.])?', ''), '/+$', '')} left join titles t on t.person = r.person and t.title = r.title""",
     "j16_issued_refs": lambda x: "select c.quote_id, i.item_id is not null as issued from claims c left join (select item_id from items where retrieval = 'retrieved') i on c.item_id = i.item_id",
-    "j17_ownership_conflict": lambda x: "select source, count(distinct person) as owners from sources group by source having count(distinct person) > 1",
-    "j18_overrides": lambda x: f"""with o as {x.values(["(1, 'blog', null, 12)", "(2, 'blog', 'src2', 6)", "(3, 'youtube', null, 24)"], "ord", "platform", "handle", "hours")},
+    "j17_ownership_conflict": lambda x: "select p.platform, p.source, count(distinct s.person) as owners from (select distinct platform, source from sources where person = 'en') p join sources s on s.platform = p.platform and s.source = p.source group by p.platform, p.source having count(distinct s.person) > 1",
+    "j18_overrides": lambda x: f"""with o as {x.values(OVERRIDES, "ord", "platform", "handle", "hours")},
         m as (select s.person, s.source, o.hours, row_number() over (partition by s.person, s.source order by o.ord desc) as r from sources s join o on s.platform = o.platform and (o.handle is null or lower(o.handle) = lower(s.source)))
         select s.person, s.source, coalesce(m.hours, 48) as hours from sources s left join m on s.person = m.person and s.source = m.source and m.r = 1""",
+    "j18_unmatched_overrides": lambda x: f"""with o as {x.values(OVERRIDES, "ord", "platform", "handle", "hours")} select o.ord, o.platform, o.handle from o left join sources s on s.platform = o.platform and (o.handle is null or lower(o.handle) = lower(s.source)) where s.source is null""",
     "j19_key_resolution": lambda x: "select distinct i.item_id from claims c join items i on cast(c.item_id as " + x.string + ") = i.external_id",
     "a3_coverage_by_source": lambda x: COVER(x) + f" select person, source, n, retrieved, paywalled, short_, failed, pending, windowed, long_form, short_form, words, {x.iso('first_day')} as first_day, {x.iso('last_day')} as last_day from per",
     "a4_coverage_by_person": lambda x: COVER(x) + f""", p as (select person, cast(sum(retrieved) as bigint) as retrieved, cast(sum(words) as bigint) as words, max(first_day) as a, min(last_day) as b, {x.listed(f"concat(source, '=', cast(retrieved as {x.string}), '/', cast(n as {x.string}))", 'source')} as by_source from per group by person)
@@ -155,7 +158,6 @@ CATALOGUE = {
     "a29_pass_metrics": lambda x: f"""with n as (select quote_id, item_id, row_number() over (order by item_id, quote_id) as ref from (select distinct quote_id, item_id from claims) c), p as (select *, {x.div('ref - 1', '5')} as pass from n), f as (select p.*, c.quote_id is not null as placed from p left join (select distinct c.quote_id, c.item_id from claims c join documents d on d.doc_id = c.item_id and {x.locate('c.quote', 'd.text')} > 0) c on c.quote_id = p.quote_id and c.item_id = p.item_id)
         select pass, count(*) as refs, {x.count_if('placed')} as placed, {x.count_if('not placed')} as omitted, count(distinct item_id) as items, cast(sum({x.count_if('placed')}) over (order by pass) as bigint) as recovered from f group by pass""",
     "a31_sample_description": lambda x: f"select {BANDS} as band, count(*) as items, cast(sum(words) as bigint) as words from items where retrieval = 'retrieved' group by {BANDS}",
-    "a32_feed_survey": lambda x: f"select person, source, {x.count_if(f'published_at >= {FLOOR_DATE} or published_at is null')} as in_window, {x.count_if('published_at is null')} as undated from items group by person, source",
     "w1_stratified_sample": lambda x: f"with r as (select item_id, {BANDS} as band, row_number() over (partition by {BANDS} order by md5(external_id)) as r from items where retrieval = 'retrieved') select item_id, band, r from r where r <= 20",
     "w2_sample_with_spill": lambda x: f"""with r as (select item_id, {BANDS} as band, row_number() over (partition by {BANDS} order by md5(external_id)) as r from items where retrieval = 'retrieved'),
         k as (select *, case when r <= 10 then 0 else 1 end as spare from r), n as (select *, row_number() over (order by spare, band, r) as place from k where r <= 30) select item_id, band, place from n where place <= 30""",
