@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..plans.bindings import define_view, prelude, register
 from . import calibrate, find
 
-VEC_ITEMS = define_view("vec_items", lambda x: "select v.item, v.person, i.title, i.published_at, i.retrieval from (select v.item, v.person, v.item % d.n as doc from (select distinct item, person from chunks_v) v cross join (select count(*) as n from documents) d) v left join items i on i.item_id = v.doc")
+VEC_ITEMS = define_view(
+    "vec_items",
+    lambda x: """select v.item, v.person, i.title, i.published_at, i.retrieval from (select v.item, v.person, v.item % d.n as doc from (select distinct item, person from chunks_v) v cross join (select count(*) as n from documents) d) v
+        left join (select * from items where item_id in (select v.item % d.n from (select distinct item from chunks_v) v cross join (select count(*) as n from documents) d)) i on i.item_id = v.doc""",
+)
 ASKED = define_view(
     "asked",
     lambda x: f"""select q.q_id, q.person, q.q_vec, v.item, t.title as query, case when q.q_id % 100 = 50 then date '2024-02-01' end as since, case when q.q_id % 200 = 50 then date '2024-11-30' end as until,
