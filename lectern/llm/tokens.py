@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import struct
 
 
@@ -16,8 +15,9 @@ def _byte_letters() -> dict[int, int]:
 LETTERS = _byte_letters()
 
 
-#: White space other than a blank or a line end, and whatever some library or another takes for it. Texts that hold any are encoded whole.
-ODD = re.compile(r"[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
+#: Signs that a library may take for white space though Python does not, and the one that marks cuts below. Texts that
+#: hold any are encoded whole.
+ODD = ("\x00", "\u180e", "\u200b", "\u200c", "\u200d", "\u2060", "\ufeff")
 #: Below it, Python and the library's splitter agree on what a letter is, whichever Unicode version each follows.
 PLAIN = "\u0250"
 
@@ -58,7 +58,7 @@ class Encoder:
     pieces is emptied at ``keep`` entries.
     """
 
-    def __init__(self, path: str, lead: bool, keep: int = 400_000):
+    def __init__(self, path: str, lead: bool, keep: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -73,15 +73,15 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def one(self, text: str) -> bytes:
-        if ODD.search(text) or any(x in text for x in self.special):
+        words = text.split()
+        # white space that is neither a blank nor a line end shows in what the words and these leave of the text's length
+        if len("".join(words)) + text.count(" ") + text.count("\n") != len(text) or any(x in text for x in ODD) or any(x in text for x in self.special):
             return self.whole(text)
         if len(self.known) > self.keep:
             self.known = Pieces(self.tok, self.lead)
-        if not self.lead:
-            words = [w for w in text.replace("\n", " ").split(" ") if w]
-        elif not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", " \n", "\n ", "\n\n")):
-            return self.whole(text)
-        else:
+        if self.lead:
+            if not words or len(words) != text.count(" ") + text.count("\n") + 1:
+                return self.whole(text)
             words = text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
         return b"".join(map(self.known.__getitem__, words))
 
