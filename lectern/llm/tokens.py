@@ -26,8 +26,8 @@ class Pieces(dict):
     """ids of pieces as bytes; an unknown piece goes through the library's normaliser, splitter and model.
 
     A run of letters is one word for either splitter, so it goes to the model at once, spelt as bytes; a final full stop
-    or comma after an ASCII letter or digit is a word of its own in both. After other letters it may not be: a letter
-    can normalise to itself and a mark, and the mark joins the stop.
+    or comma after a Latin letter or a digit is a word of its own in both. After other letters it may not be: a letter,
+    U+0130 among the Latin ones, can normalise to another and a mark, and the mark joins the stop.
     """
 
     def __init__(self, tok, lead: bool):
@@ -36,7 +36,7 @@ class Pieces(dict):
         self.lead, self.split, self.merge = lead, tok.pre_tokenizer.pre_tokenize_str, tok.model.tokenize
 
     def __missing__(self, piece: str) -> bytes:
-        if len(piece) > 1 and piece[-1] in ".," and piece[-2].isascii() and piece[-2].isalnum():
+        if len(piece) > 1 and piece[-1] in ".," and piece[-2] < PLAIN and piece[-2].isalnum() and piece[-2] != "\u0130":
             return self[piece[:-1]] + self[piece[-1]]
         text = piece if not self.norm else piece.lower() if piece.isascii() and piece.isalpha() else self.norm(piece)
         letters = text[1:] if self.lead and text[:1] == " " else text
