@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, jaccard, licenses, packing, pii, quality, token_count, token_files, warc
+from . import chat, decontam, jaccard, licenses, merkle, packing, pii, quality, token_count, token_files, warc
 from .util import table
 
 #: The key of the registered query alone; a user of ``pii.pseudonymise`` passes a secret one.
@@ -62,11 +62,71 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(fixed)))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.lowered_claims())
+
+
 QUERIES = {
     "op1_pii": op1_pii, "op2_warc": op2_warc, "op3_token_files": op3_token_files, "op4_quality": op4_quality, "op5_token_counts": op5_token_counts,
     "op6_licenses": op6_licenses, "op7_jaccard": op7_jaccard, "op8_decontamination": op8_decontamination, "op9_packing": op9_packing, "op10_chat": op10_chat,
+    "op13_merkle": op13_merkle,
 }
 
+
+
+def _merkle_sql(levels: int = 8) -> str:
+    """Trees of up to 8 ** levels leaves, each level a grouping of the one below; a group that is down to one node keeps it."""
+
+    def up(name: str, base: str) -> str:
+        """Tables name0 to name<levels> of (g, i, h, n): all nodes of a level."""
+        out = [f"{name}0 AS (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {base})"]
+        for k in range(levels):
+            place = "CASE WHEN n > 1 THEN i // 8 ELSE i END"
+            out.append(f"{name}{k + 1} AS (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM (SELECT g, {place} AS i, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h FROM {name}{k} GROUP BY g, n, {place}))")
+        return ",\n".join(out)
+
+    def siblings(name: str, k: int) -> str:
+        """(g, i, l, r): of each node of a level the others of its run."""
+        run = "PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN"
+        return f"{name}s{k} AS (SELECT g, i, n, CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS l, CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS r FROM {name}{k})"
+
+    def climb(name: str, start: str, key: str) -> str:
+        """Proof text and folded digest of each row of ``start(…, g, i, x, p)`` from level to level."""
+        out, last = [], start
+        for k in range(levels):
+            out.append(f"{name}c{k} AS (SELECT {key}, c.g, CASE WHEN s.n > 1 THEN c.i // 8 ELSE c.i END AS i, CASE WHEN s.n > 1 THEN sha256(s.l || c.x || s.r) ELSE c.x END AS x, c.p || s.l || s.r AS p FROM {last} c JOIN {name}s{k} s ON c.g = s.g AND c.i = s.i)")
+            last = f"{name}c{k}"
+        return ",\n".join(out)
+
+    shown = lambda text: " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text))
+    top = levels - 1
+    return rf"""
+        WITH RECURSIVE crc AS (
+            SELECT doc_id, doc_id::VARCHAR AS d, 0 AS k, 0 AS b, 4294967295::BIGINT AS c FROM documents
+            UNION ALL
+            SELECT doc_id, d, CASE WHEN b = 8 THEN k + 1 ELSE k END, CASE WHEN b = 8 THEN 0 ELSE b + 1 END,
+                   CASE WHEN b = 0 THEN xor(c, ascii(d[k + 1])::BIGINT) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END
+            FROM crc WHERE k < len(d)),
+        sums AS (SELECT doc_id, any_value(xor(c, 4294967295::BIGINT)) AS crc FROM crc WHERE k = len(d) GROUP BY doc_id),
+        doc AS (SELECT d.*, crc % 3 = 0 AS tampered FROM documents d LEFT JOIN sums USING (doc_id)),
+        leaf AS (SELECT doc_id, coalesce('1' || lang, '0') AS g, sha256({shown("text")}) AS h,
+                        sha256({shown("CASE WHEN tampered THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END")}) AS claim FROM doc),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM leaf),
+        base AS (SELECT g, i, h FROM placed),
+        {up("a", "base")},
+        {",".join(siblings("a", k) for k in range(levels))},
+        subs AS (SELECT g AS sub, '' AS g, row_number() OVER (ORDER BY encode(g)) - 1 AS i, h FROM a{levels}),
+        subbase AS (SELECT g, i, h FROM subs),
+        {up("b", "subbase")},
+        {",".join(siblings("b", k) for k in range(levels))},
+        astart AS (SELECT doc_id, h AS leaf, g, i, claim AS x, '' AS p FROM placed),
+        {climb("a", "astart", "c.doc_id, c.leaf")},
+        bstart AS (SELECT c.doc_id, c.leaf, s.h AS subroot, s.g, s.i, c.x, c.p FROM ac{top} c JOIN subs s ON c.g = s.sub),
+        {climb("b", "bstart", "c.doc_id, c.leaf, c.subroot")}
+        SELECT doc_id, leaf, subroot, b{levels}.h AS root, sha256(p) AS proof_sha256, x AS folded_root, x = b{levels}.h AS verified
+        FROM bc{top}, b{levels}"""
+
+
 WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 ORACLES = {
     "op2_warc": """
@@ -118,4 +178,5 @@ ORACLES = {
                coalesce(sum(length(text)) FILTER (loss), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (loss), '')) AS loss_sha256,
                sum(CASE WHEN loss THEN length(x) + 7 ELSE length(r) + length(x) + 16 END)::BIGINT AS formatted_chars
         FROM t GROUP BY conv_id""",
+    "op13_merkle": _merkle_sql(),
 }
