@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, jaccard, licenses, merkle, packing, pii, quality, token_count, token_files, warc
+from . import chat, decontam, jaccard, licenses, merkle, packing, pii, quality, recompression, token_count, token_files, warc
 from .util import table
 
 #: The key of the registered query alone; a user of ``pii.pseudonymise`` passes a secret one.
@@ -62,6 +62,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(fixed)))
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = recompression.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), merkle.lowered_claims())
 
@@ -69,7 +74,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii, "op2_warc": op2_warc, "op3_token_files": op3_token_files, "op4_quality": op4_quality, "op5_token_counts": op5_token_counts,
     "op6_licenses": op6_licenses, "op7_jaccard": op7_jaccard, "op8_decontamination": op8_decontamination, "op9_packing": op9_packing, "op10_chat": op10_chat,
-    "op13_merkle": op13_merkle,
+    "op11_substrings": op11_substrings, "op13_merkle": op13_merkle,
 }
 
 
@@ -178,5 +183,13 @@ ORACLES = {
                coalesce(sum(length(text)) FILTER (loss), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (loss), '')) AS loss_sha256,
                sum(CASE WHEN loss THEN length(x) + 7 ELSE length(r) + length(x) + 16 END)::BIGINT AS formatted_chars
         FROM t GROUP BY conv_id""",
+    "op11_substrings": rf"""
+        WITH w AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.replace("text", "coalesce(text, '')")} AS w FROM documents),
+        s AS (SELECT r, doc_id, i, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)),
+        m AS (SELECT r, i, doc_id > min(doc_id) OVER (PARTITION BY g) AS again FROM s),
+        c AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS i FROM m WHERE again),
+        p AS (SELECT r, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+        k AS (SELECT p.r, string_agg(word, ' ' ORDER BY p.i) FILTER (c.r IS NULL) AS kept, count(c.r) AS gone FROM p LEFT JOIN c ON p.r = c.r AND p.i = c.i GROUP BY p.r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (r)""",
     "op13_merkle": _merkle_sql(),
 }

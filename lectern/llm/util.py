@@ -147,15 +147,20 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
 
-#: Of each byte, whether it belongs to a word, and its number: that of the lower-case letter, 0 for white space.
-_IN_WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_CODES = np.array([xxhash.xxh64_intdigest(bytes([k]).lower(), seed=12) for k in range(256)], dtype=np.uint64) * _IN_WORD.astype(np.uint64)
+def byte_codes(between: list[int], lower: bool = True) -> np.ndarray:
+    """Of each byte its number, that of the lower-case letter if ``lower``, and 0 for the bytes that stand between words."""
+    return np.array([0 if k in between else xxhash.xxh64_intdigest(bytes([k]).lower() if lower else bytes([k]), seed=12) for k in range(256)], dtype=np.uint64)
+
+
+BLANKS = [0x20, *range(0x09, 0x0E)]
+_CODES = byte_codes(BLANKS)
 #: Odd multipliers of the places in a word; a place from 4096 on adds an even number to that of its low bits.
 _PLACES = np.array([xxhash.xxh64_intdigest(k.to_bytes(2, "little"), seed=13) | 1 for k in range(4096)], dtype=np.uint64)
 
 
-def hashed_words(column: pa.Array, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of a string column, those of ``lower_words``, text after text, and each text's number of words.
+def hashed_words(column: pa.Array, block: int = 1 << 16, codes: np.ndarray = _CODES) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a string column, those of ``lower_words`` unless ``codes`` are others, text after text,
+    and each text's number of words.
 
     A word's hash is the sum of its bytes' numbers times odd factors by place, mixed. Words that differ in one byte never
     share a sum. The sums are array operations on blocks of bytes, also where a word crosses blocks, so that a long text
@@ -166,7 +171,7 @@ def hashed_words(column: pa.Array, block: int = 1 << 16) -> tuple[np.ndarray, np
     at = np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.empty(0, np.uint8)
     at = at - at[0]
-    inside = _IN_WORD[raw]
+    inside = (codes != 0)[raw]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     first = at[:-1][at[:-1] < len(raw)]
@@ -182,7 +187,7 @@ def hashed_words(column: pa.Array, block: int = 1 << 16) -> tuple[np.ndarray, np
             own = np.maximum(starts[i:j], low)
             place = np.arange(own[0], high) - np.repeat(starts[i:j], np.diff(own, append=high))
             factors = _PLACES[place] if place.max() < 4096 else _PLACES[place & 4095] + ((place >> 12) * 0x9E3779B9 << 1).astype(np.uint64)
-            h[i:j] += np.add.reduceat(_CODES[raw[own[0] : high]] * factors, own - own[0])
+            h[i:j] += np.add.reduceat(codes[raw[own[0] : high]] * factors, own - own[0])
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
