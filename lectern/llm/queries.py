@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, jaccard, licenses, merkle, packing, pii, quality, recompression, token_count, token_files, warc
+from . import chat, decontam, jaccard, lexical, licenses, merkle, packing, pii, quality, recompression, token_count, token_files, warc
 from .util import table
 
 #: The key of the registered query alone; a user of ``pii.pseudonymise`` passes a secret one.
@@ -67,6 +67,10 @@ def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), merkle.lowered_claims())
 
@@ -74,7 +78,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii, "op2_warc": op2_warc, "op3_token_files": op3_token_files, "op4_quality": op4_quality, "op5_token_counts": op5_token_counts,
     "op6_licenses": op6_licenses, "op7_jaccard": op7_jaccard, "op8_decontamination": op8_decontamination, "op9_packing": op9_packing, "op10_chat": op10_chat,
-    "op11_substrings": op11_substrings, "op13_merkle": op13_merkle,
+    "op11_substrings": op11_substrings, "op12_search": op12_search, "op13_merkle": op13_merkle,
 }
 
 
@@ -191,5 +195,17 @@ ORACLES = {
         p AS (SELECT r, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
         k AS (SELECT p.r, string_agg(word, ' ' ORDER BY p.i) FILTER (c.r IS NULL) AS kept, count(c.r) AS gone FROM p LEFT JOIN c ON p.r = c.r AND p.i = c.i GROUP BY p.r)
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (r)""",
+    "op12_search": r"""
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        s AS (SELECT count(*) AS nn, sum(len(w))::BIGINT AS ll FROM t WHERE len(w) > 0),
+        d AS (SELECT r, doc_id, 25 + (75 * len(w) * nn) // ll AS m, w FROM t, s WHERE len(w) > 0),
+        p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+        f AS (SELECT term, floor(1000 * ln((2 * any_value(nn) + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM p, s GROUP BY term),
+        q AS (SELECT q, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+              FROM (SELECT row_number() OVER () AS q, * FROM benchmark)),
+        sc AS (SELECT q, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+               FROM q JOIN f USING (term) JOIN p USING (term) JOIN d USING (r) GROUP BY q, r)
+        SELECT item_id, rank::INT AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0) WHERE rank <= 10""",
     "op13_merkle": _merkle_sql(),
 }

@@ -158,14 +158,8 @@ _CODES = byte_codes(BLANKS)
 _PLACES = np.array([xxhash.xxh64_intdigest(k.to_bytes(2, "little"), seed=13) | 1 for k in range(4096)], dtype=np.uint64)
 
 
-def hashed_words(column: pa.Array, block: int = 1 << 16, codes: np.ndarray = _CODES) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of a string column, those of ``lower_words`` unless ``codes`` are others, text after text,
-    and each text's number of words.
-
-    A word's hash is the sum of its bytes' numbers times odd factors by place, mixed. Words that differ in one byte never
-    share a sum. The sums are array operations on blocks of bytes, also where a word crosses blocks, so that a long text
-    takes a few bytes of memory for each of its own. A null has no words.
-    """
+def word_starts(column: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a string column, where each text begins among them and the last one ends, and where each word begins."""
     texts = column.cast(pa.large_string()).fill_null("")
     _, offsets, data = texts.buffers()
     at = np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
@@ -177,6 +171,18 @@ def hashed_words(column: pa.Array, block: int = 1 << 16, codes: np.ndarray = _CO
     first = at[:-1][at[:-1] < len(raw)]
     begins[first] = inside[first]
     starts = np.flatnonzero(begins)
+    return raw, at, starts
+
+
+def hashed_words(column: pa.Array, block: int = 1 << 16, codes: np.ndarray = _CODES) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a string column, those of ``lower_words`` unless ``codes`` are others, text after text,
+    and each text's number of words.
+
+    A word's hash is the sum of its bytes' numbers times odd factors by place, mixed. Words that differ in one byte never
+    share a sum. The sums are array operations on blocks of bytes, also where a word crosses blocks, so that a long text
+    takes a few bytes of memory for each of its own. A null has no words.
+    """
+    raw, at, starts = word_starts(column, codes)
     h = np.zeros(len(starts), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for low in range(0, len(raw), block):
