@@ -89,7 +89,7 @@ def _segment(m: int, ids: list, terms: list[bytes], tfs: list[bytes]) -> tuple:
     return m, np.array([] if ids[0] is None else ids, np.int64), t[ends - 1], ends.astype(np.int32), tf[order], place[order]
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *[_lists([r[k + 1] for r in rows], kind) for k, kind in enumerate(kinds)]], names=[x.split()[0] for x in SEGMENT.split(", ")])
@@ -98,7 +98,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for m, part, i, t, f in zip(*(b.column(c).to_pylist() for c in ("m", "part", "doc_id", "terms", "tfs"))):
             own = (m, part, i is None)
-            if ids and (own != key or len(ids) == DOCS or size + len(t) // 8 > POSTINGS):
+            if ids and (own != key or len(ids) == most or size + len(t) // 8 > POSTINGS):
                 out.append(_segment(key[0], ids, terms, tfs))
                 held += size
                 ids, terms, tfs, size = [], [], [], 0
@@ -116,18 +116,18 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(out)
 
 
-def build(docs: DataFrame) -> Index:
-    """The index of ``docs(doc_id, text)``, written to the shared folder."""
+def build(docs: DataFrame, most: int = DOCS, few: int = FEW) -> Index:
+    """The index of ``docs(doc_id, text)``, written to the shared folder; ``most`` documents a segment."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lengths = stage(rows.select("text").mapInArrow(_lengths, "n long").where("n > 0").groupBy("n").agg(F.count(F.lit(1)).alias("c")), "lengths")
     n_docs, n_terms = lengths.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("c")), F.lit(0))).first()
     m = F.expr(f"25L + (75L * n * {n_docs}L) div {max(n_terms, 1)}L").alias("m")
-    # fewer than FEW strata hold more than one of FEW documents; each other one is dealt over as many parts as the largest of them needs
-    hot = F.broadcast(stage(lengths.groupBy(m).agg(F.sum("c").alias("c")).where(F.col("c") * FEW > n_docs), "hot-strata"))
+    # fewer than ``few`` strata hold more than one of ``few`` documents; each other one is dealt over as many parts as the largest of them needs
+    hot = F.broadcast(stage(lengths.groupBy(m).agg(F.sum("c").alias("c")).where(F.col("c") * few > n_docs), "hot-strata"))
     counted = rows.mapInArrow(_counted, "doc_id long, n long, terms binary, tfs binary").where("n > 0").withColumn("m", m).join(hot, "m", "left")
-    parts = F.ceil(F.coalesce("c", F.lit(-(-n_docs // FEW))) / DOCS)
+    parts = F.ceil(F.coalesce("c", F.lit(-(-n_docs // few))) / most)
     dealt = counted.select("m", F.pmod(F.xxhash64("doc_id", "terms"), parts).alias("part"), "doc_id", "terms", "tfs").repartition("m", "part").sortWithinPartitions("m", "part", "doc_id")
-    segments = stage(dealt.mapInArrow(_segments, SEGMENT), "segments")
+    segments = stage(dealt.mapInArrow(lambda batches: _segments(batches, most), SEGMENT), "segments")
     discard(lengths)
     return Index(segments, n_docs, n_terms)
 

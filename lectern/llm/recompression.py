@@ -16,8 +16,9 @@
 
 Equal texts are taken once, under their smallest doc_id; the others repeat it as a whole. Hot passages are summed up before
 they are shuffled (a smallest and a largest doc_id for each), their places joined by Spark, which splits skewed keys.
-Names, windows and texts without repeats are passed over by bitmaps of fixed size, which only save work: at sizes that
-fill them more windows are compared, and the result is the same. Texts are shuffled only where they hold repeats.
+Up to a counted bound, shared names travel as a bitmap of fixed size; beyond it the places of windows are joined with them.
+Copies, verified windows and texts without repeats are passed over by such bitmaps too, which only save work: where they
+are full more rows are joined, and the result is the same. Up to the bound, texts are shuffled only where they hold repeats.
 
 Nulls: a null text has no words; a row with a null doc_id is kept whole and repeats for nobody, as no id is smaller. Rows
 that share a doc_id do not repeat each other. Texts of fewer words than a window stay as they are. Long texts are taken in
@@ -37,8 +38,9 @@ from .util import BLANKS, bitmap, byte_codes, discard, hashed_words, in_bitmap,
 WINDOW, ROUNDS, TRIPLE = 13, 2, 3
 BLOCK = 1 << 20
 CODES = byte_codes(BLANKS, lower=False)
-#: Bits of the bitmaps: 8 MB each.
-BITS = 1 << 26
+#: Bits of the bitmaps: 2 MB each. Up to FULL shared names are told by a bitmap, more by a join.
+BITS = 1 << 24
+FULL = BITS >> 3
 #: Odd multipliers of the names.
 _A, _B, _C = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
@@ -109,8 +111,8 @@ class Windows:
 
     def pairs(self) -> None:
         right = (_mixed(self.symbols * _B + np.uint64(self.round)) & np.uint64(1)).astype(bool)
-        low, high = self.low + right[self.low], self.high - ~right[self.high - 1]
-        self.close(np.flatnonzero(high - low < TRIPLE))
+        self.close(np.flatnonzero(self.high - self.low < TRIPLE), triple=False)  # runs left few symbols
+        self.close(np.flatnonzero(self.high - ~right[self.high - 1] - self.low - right[self.low] < TRIPLE))
         self.low, self.high = self.low + right[self.low], self.high - ~right[self.high - 1]
         joined = np.zeros(len(self.symbols), bool)
         joined[1:] = right[1:] & ~right[:-1] & ~self.first[1:]
@@ -131,22 +133,21 @@ def high_symbols(words: np.ndarray, counts: np.ndarray, width: int = WINDOW, rou
             w.runs()
             w.pairs()
             w.round += 1
-        short = w.high - w.low < TRIPLE
-        w.close(np.flatnonzero(short), triple=False)
+        w.close(np.flatnonzero(w.high - w.low < TRIPLE), triple=False)
         w.close(np.arange(len(w.open)))
     return at, w.names.view(np.int64)
 
 
-def _blocks(texts: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(words, words of each text, row of each text, its first place) of at most about BLOCK words: whole texts, or a part of one."""
+def _blocks(texts: pa.Array, width: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, words of each text, row of each text, its first place) of at most about ``most`` words: whole texts, or a part of one."""
     words, counts = hashed_words(texts, codes=CODES)
     ends = np.cumsum(counts)
     i = 0
     while i < len(counts):
         start = ends[i] - counts[i]
-        j = max(int(np.searchsorted(ends, start + BLOCK, "right")), i + 1)
-        for at in range(0, max(int(counts[i]) - width + 1, 1) if j == i + 1 else 1, BLOCK):
-            stop = min(ends[j - 1], start + at + BLOCK + width - 1)
+        j = max(int(np.searchsorted(ends, start + most, "right")), i + 1)
+        for at in range(0, max(int(counts[i]) - width + 1, 1) if j == i + 1 else 1, most):
+            stop = min(ends[j - 1], start + at + most + width - 1)
             own = counts[i:j] if j > i + 1 else np.array([stop - start - at])
             yield words[start + at : stop], own, np.arange(i, j), np.full(j - i, at)
         i = j
@@ -157,7 +158,7 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("rep", F.xxhash64("doc_id", "text"))
 
 
-def repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
+def repeats(docs: DataFrame, width: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """(doc_id, rep, whole, places) of the rows that hold repeats: ``places`` are the words at which repeated windows start,
     ``whole`` says that the text as a whole repeats another."""
     rows = _rows(docs).where("doc_id is not null")
@@ -170,30 +171,53 @@ def repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     alone = spark.sparkContext.broadcast(bitmap(kept, "rep", BITS))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """For each block of texts that aren't copies: doc_id and rep of each window, its place, its name and its words' place."""
+        """For each block of texts that aren't copies: the batch, and of each window its row, place, name and place among the words."""
         for b in pieces(batches, "text"):
             b = b.filter(pa.array(in_bitmap(alone.value, b.column("rep").to_numpy(), BITS)))
-            ids, reps = b.column("doc_id").to_numpy(), b.column("rep").to_numpy()
-            for words, counts, row, start in _blocks(b.column("text"), width):
+            for words, counts, row, start in _blocks(b.column("text"), width, block):
                 at, names = high_symbols(words, counts, width)
                 text = np.repeat(np.arange(len(counts)), counts)[at]
-                yield ids[row[text]], reps[row[text]], at - (np.cumsum(counts) - counts)[text] + start[text], names, words, at
+                yield b, row[text], at - (np.cumsum(counts) - counts)[text] + start[text], names, words, at
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, _, names, _, _ in windows(batches):
+        for b, row, _, names, _, _ in windows(batches):
+            if not len(row):
+                continue
+            ids = b.column("doc_id").to_numpy()[row]
             order = np.lexsort((ids, names))
             names, ids = names[order], ids[order]
-            cut = np.flatnonzero(np.diff(names, prepend=names[:1] - 1 if len(names) else names) != 0)
-            if len(names):
-                cut[0:1] = 0
-                yield pa.RecordBatch.from_arrays([pa.array(names[cut]), pa.array(ids[cut]), pa.array(ids[np.append(cut[1:], len(ids)) - 1])], names=["name", "low", "high"])
+            cut = np.append(0, np.flatnonzero(names[1:] != names[:-1]) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(names[cut]), pa.array(ids[cut]), pa.array(ids[np.append(cut[1:], len(ids)) - 1])], names=["name", "low", "high"])
 
     seen = rows.mapInArrow(named, "name long, low long, high long").groupBy("name").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
-    shared = spark.sparkContext.broadcast(bitmap(seen, "name", BITS))
+    seen = stage(seen.select("name"), "names")
+    few = seen.count() <= FULL
+    shared = spark.sparkContext.broadcast(bitmap(seen, "name", BITS)) if few else None
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(name, doc_id, rep, place, n): the n windows from a place on that share a name."""
+        for b, row, place, names, _, _ in windows(batches):
+            if not len(row):
+                continue
+            cut = np.append(0, np.flatnonzero((names[1:] != names[:-1]) | (row[1:] != row[:-1])) + 1)
+            ids, reps = (b.column(c).to_numpy()[row[cut]] for c in ("doc_id", "rep"))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names[cut], ids, reps, place[cut], np.diff(cut, append=len(row)))], names=["name", "doc_id", "rep", "place", "n"])
+
+    source = rows
+    if not few:
+        of = rows.mapInArrow(stretches, "name long, doc_id long, rep long, place long, n long").join(seen, "name", "left_semi")
+        of = of.groupBy("doc_id", "rep").agg(F.collect_list("place").alias("open"), F.collect_list("n").alias("many"))
+        source = stage(rows.join(of, ["doc_id", "rep"]).select(*rows.columns, "open", "many"), "revealed")
 
     def revealed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for ids, reps, place, names, words, at in windows(batches):
-            own = np.flatnonzero(in_bitmap(shared.value, names, BITS))
+        for b, row, place, names, words, at in windows(batches):
+            if few:
+                own = np.flatnonzero(in_bitmap(shared.value, names, BITS))
+            else:
+                starts, many = b.column("open"), b.column("many").flatten().to_numpy()
+                first = np.repeat(np.arange(b.num_rows), starts.value_lengths().to_numpy()) << 40 | starts.flatten().to_numpy()
+                known = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+                own = np.flatnonzero(np.isin(row.astype(np.int64) << 40 | place, known))
             sums = [np.zeros(len(own), np.uint64) for _ in range(2)]
             with np.errstate(over="ignore"):
                 for k in range(width):
@@ -202,13 +226,14 @@ def repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
                         s *= factor
                         s += _mixed(symbol + factor)
                 one, two = (_mixed(s).view(np.int64) for s in sums)
-            yield ids[own], reps[own], place[own], one, (two >> 32).astype(np.int32)
+            ids, reps = (b.column(c).to_numpy()[row[own]] for c in ("doc_id", "rep"))
+            yield ids, reps, place[own], one, (two >> 32).astype(np.int32)
 
     def seen_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, _, _, one, two in revealed(batches):
             yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(ids)], names=["one", "two", "doc_id"])
 
-    least = rows.mapInArrow(seen_windows, "one long, two int, doc_id long").groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    least = source.mapInArrow(seen_windows, "one long, two int, doc_id long").groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     least = stage(least.where("first < last").select("one", "two", "first"), "windows")
     found = spark.sparkContext.broadcast(bitmap(least, "one", BITS))
 
@@ -217,21 +242,21 @@ def repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
             own = pa.array(in_bitmap(found.value, one, BITS))
             yield pa.RecordBatch.from_arrays([pa.array(x).filter(own) for x in (one, two, ids, reps, place)], names=["one", "two", "doc_id", "rep", "place"])
 
-    places = rows.mapInArrow(placed, "one long, two int, doc_id long, rep long, place long").join(least, ["one", "two"]).where("doc_id > first")
+    places = source.mapInArrow(placed, "one long, two int, doc_id long, rep long, place long").join(least, ["one", "two"]).where("doc_id > first")
     parts = places.groupBy("doc_id", "rep").agg(F.lit(False).alias("whole"), F.collect_list(F.col("place").cast("int")).alias("places"))
     out = stage(parts.union(copies.select("doc_id", "rep", F.lit(True), F.array().cast("array<int>"))), "repeats")
-    discard(texts, copies, least)
+    discard(texts, copies, seen, least, *([] if few else [source]))
     return out
 
 
 KEPT = "doc_id long, n_words long, n_removed long, kept string"
 
 
-def without_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): ``kept`` are the words of a text that no repeated window covers, joined by blanks."""
     rows = _rows(docs)
-    held = repeats(docs, width)
-    touched = docs.sparkSession.sparkContext.broadcast(bitmap(held, "rep", BITS >> 3))
+    held = repeats(docs, width, block)
+    touched = docs.sparkSession.sparkContext.broadcast(bitmap(held, "rep", BITS))
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
         n, gone, kept = [], [], []
@@ -255,11 +280,11 @@ def without_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            yield cut(b.filter(pa.array(~in_bitmap(touched.value, b.column("rep").to_numpy(), BITS >> 3))))
+            yield cut(b.filter(pa.array(~in_bitmap(touched.value, b.column("rep").to_numpy(), BITS))))
 
     def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            yield b.filter(pa.array(in_bitmap(touched.value, b.column("rep").to_numpy(), BITS >> 3)))
+            yield b.filter(pa.array(in_bitmap(touched.value, b.column("rep").to_numpy(), BITS)))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
