@@ -244,6 +244,7 @@ def repeats(docs: DataFrame, width: int = WINDOW, block: int = BLOCK) -> DataFra
 
     places = source.mapInArrow(placed, "one long, two int, doc_id long, rep long, place long").join(least, ["one", "two"]).where("doc_id > first")
     parts = places.groupBy("doc_id", "rep").agg(F.lit(False).alias("whole"), F.collect_list(F.col("place").cast("int")).alias("places"))
+    parts = parts.join(copies, ["doc_id", "rep"], "left_anti")  # of copies that a full bitmap did not pass over
     out = stage(parts.union(copies.select("doc_id", "rep", F.lit(True), F.array().cast("array<int>"))), "repeats")
     discard(texts, copies, seen, least, *([] if few else [source]))
     return out

@@ -46,8 +46,9 @@ def kept(docs):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("seed, full, block", [(1, 1 << 21, 1 << 20), (2, 0, 1 << 20), (3, 1 << 21, 40), (4, 0, 40)])
-def test_repeats_against_brute_force(spark, monkeypatch, seed, full, block):
+@pytest.mark.parametrize("seed, full, block, bits", [(1, 1 << 21, 1 << 20, 1 << 24), (2, 0, 1 << 20, 64), (3, 1 << 21, 40, 64), (4, 0, 40, 1 << 24)])
+def test_repeats_against_brute_force(spark, monkeypatch, seed, full, block, bits):
+    monkeypatch.setattr(recompression, "BITS", bits)  # 64: all bitmaps are full, so nothing is passed over
     monkeypatch.setattr(recompression, "FULL", full)  # 0: shared names are joined
     texts = passages(seed)
     ids = [*range(len(texts) - 4), None, None, 5, 5]
