@@ -40,7 +40,7 @@ def level(tops: DataFrame, fallback: float | None) -> DataFrame:
 def floors(chunks: DataFrame, positions: DataFrame, foreign: DataFrame) -> DataFrame:
     """``level`` of each person's own statements, and of ``foreign`` (q_id, person, q_vec), against the chunks of the person."""
     own = evenly(positions, "person", "position", WANTED, exact=False).select(F.col("position").alias("q_id"), "person", F.col("s_vec").alias("q_vec"))
-    tops = [vectors.score(q.select("q_id", "person", "q_vec"), chunks, own=True).groupBy("q_id", "person").agg(F.max("cos").alias("top")).select("person", F.lit(inside).alias("inside"), "top") for q, inside in ((own, True), (foreign, False))]
+    tops = [vectors.score(q.select("q_id", "person", "q_vec"), chunks, k=1, own=True).withColumnRenamed("cos", "top").select("person", F.lit(inside).alias("inside"), "top") for q, inside in ((own, True), (foreign, False))]
     return level(tops[0].unionByName(tops[1]), UNMEASURED_FLOOR)
 
 

@@ -12,24 +12,32 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from ..sources.sinks import new_folder
 
 
+def _unused(rows: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column has, whatever its case."""
+    taken = {c.lower() for c in rows.columns}
+    return [next(x for x in (f"{'_' * k}{n}" for k in range(2, 99)) if x.lower() not in taken) for n in names]
+
+
 def numbered(rows: DataFrame, key: str, order: list, name: str = "place") -> DataFrame:
     """``rows`` with their place, from 1, within ``key`` by ``order`` (columns, which should end in a unique one).
 
     As ``row_number`` over the key, but a key's rows are dealt over all tasks by range: each part numbers its own rows and
     adds the counts of the parts before it, of which there is a row for each part and key. The sorted rows are written
-    once, so that a lost task can't sort them otherwise.
+    once, so that a lost task can't sort them otherwise. Rows of a null key are numbered as those of one key. Columns may
+    have any names.
     """
     spark = rows.sparkSession
     path = new_folder(spark, "numbered")
-    cols = rows.columns
-    ordered = rows.repartitionByRange(F.col(key), *order).sortWithinPartitions(F.col(key), *order)
-    local = Window.partitionBy("__part", key).orderBy(*order)
-    ordered.withColumn("__part", F.spark_partition_id()).withColumn("__n", F.row_number().over(local)).write.parquet(path)
+    part, at, before = _unused(rows, "part", "at", "before")
+    q = lambda c: F.col(f"`{c}`")
+    ordered = rows.repartitionByRange(q(key), *order).sortWithinPartitions(q(key), *order)
+    local = Window.partitionBy(part, q(key)).orderBy(*order)
+    ordered.withColumn(part, F.spark_partition_id()).withColumn(at, F.row_number().over(local)).write.parquet(path)
     stored = spark.read.parquet(path)
-    counts = stored.groupBy("__part", key).agg(F.count(F.lit(1)).alias("c"))
-    before = counts.select("__part", key, F.coalesce(F.sum("c").over(Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    at = stored.alias("r").join(before.alias("b"), F.col("r.__part").eqNullSafe(F.col("b.__part")) & F.col(f"r.{key}").eqNullSafe(F.col(f"b.{key}")))
-    return at.select(*[F.col(f"r.`{c}`") for c in cols], (F.col("__n") + F.col("__before")).alias(name))
+    counts = stored.groupBy(part, q(key)).agg(F.count(F.lit(1)).alias(at))
+    sums = counts.select(part, q(key), F.coalesce(F.sum(at).over(Window.partitionBy(q(key)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    both = stored.alias("r").join(sums.alias("b"), F.col(f"r.{part}").eqNullSafe(F.col(f"b.{part}")) & F.col(f"r.`{key}`").eqNullSafe(F.col(f"b.`{key}`")))
+    return both.select(*[F.col(f"r.`{c}`") for c in rows.columns], (F.col(at) + F.col(before)).alias(name))
 
 
 def passes(rows: DataFrame, key: str, order: list, size: str, budget: int, gap: int = 1, name: str = "pass") -> DataFrame:

@@ -207,8 +207,7 @@ def _feed_text(every: str = "text"):
 
 def x7_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "documents").where("text is not null")
-    share = read.agreement(F.col("text"), _feed_text())
-    return d.select("doc_id", (F.floor(share * 1e4 + 0.5) / 1e4).alias("share"))
+    return read.agreement(d, "doc_id", F.col("text"), _feed_text()).select("doc_id", (F.floor(F.col("share") * 1e4 + 0.5) / 1e4).alias("share"))
 
 
 FED = r"""with d as (select doc_id, text, case when doc_id % 4 = 0 then concat(text, chr(10), 'read on at our site') else array_to_string(list_filter(string_split(text, chr(10)), lambda x, k: (k - 1) % 5 <> 0), chr(10)) end as fed from documents where text is not null),

@@ -1,68 +1,22 @@
-"""Exact cosine search of a table of questions, as matrix products over batches of chunks.
+"""Exact cosine search of a table of questions over vectors as they come, and backgrounds over all vectors in one pass.
 
-Questions are the small side: they travel as unit vectors in blocks of at most ``BLOCK`` rows, each block broadcast and
-multiplied with every Arrow batch of chunks, so a task holds one block and one batch, and no pair is formed of different
-people. With ``k`` each batch keeps the nearest ``k`` chunks of a question alone, which are then ranked over all batches:
-the result is that of ranking all pairs. Cosines are rounded to four places before they are compared.
+Vectors are packed batch by batch, a person's beside each other, without a shuffle, and searched as ``cells`` are: as matrix
+products, with at most ``k`` answers a question from each batch. A table that is asked often is stored in cells instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import date
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-#: Questions in a block: at 1024 dimensions, 64 MB of the broadcast.
-BLOCK = 8192
-LONG_AGO, FAR_OFF = 0, 1 << 40
-PAIRS = "q_id long, person long, chunk_id long, item long, ordinal long, cos double"
+from . import cells
+from .cells import unit_rows
 
-
-def unit_rows(column: pa.Array) -> np.ndarray:
-    """The vectors of a list column as rows of length one; a zero or null vector stays zero."""
-    lists = column.to_pylist()
-    dim = max((len(x) for x in lists if x), default=0)
-    out = np.array([x if x else [0.0] * dim for x in lists], dtype=np.float64).reshape(len(lists), dim)
-    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
-    return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
-
-
-def rounded(cos: np.ndarray, places: float = 1e4) -> np.ndarray:
-    return np.floor(cos * places + 0.5) / places
-
-
-def _against(block: list, chunks: DataFrame, k: int | None, own: bool) -> DataFrame:
-    ids, people = np.array([r["q_id"] for r in block]), np.array([r["person"] for r in block])
-    days = np.array([[LONG_AGO if r["since"] is None else r["since"].toordinal(), FAR_OFF if r["until"] is None else r["until"].toordinal()] for r in block]).reshape(-1, 2)
-    shared = chunks.sparkSession.sparkContext.broadcast((ids, people, days, unit_rows(pa.array([list(r["q_vec"]) if r["q_vec"] else None for r in block], pa.list_(pa.float64())))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, people, days, q = shared.value
-        for b in batches:
-            person, chunk, item, ordinal = (b.column(c).to_numpy() for c in ("person", "chunk_id", "item", "ordinal"))
-            vectors = unit_rows(b.column("embedding"))
-            day = b.column("day").fill_null(0).to_numpy() + date(1970, 1, 1).toordinal()
-            undated = ~b.column("day").is_valid().to_numpy(zero_copy_only=False)
-            found = []
-            for p in np.unique(person).tolist():
-                rows, mine = np.flatnonzero(person == p), np.flatnonzero(people == p)
-                cos = rounded(q[mine] @ vectors[rows].T)
-                for a, i in enumerate(mine.tolist()):
-                    fits = np.where(undated[rows], (days[i] == (LONG_AGO, FAR_OFF)).all(), (day[rows] >= days[i, 0]) & (day[rows] <= days[i, 1]))
-                    fits &= own | (chunk[rows] != ids[i])
-                    at, c = rows[fits], cos[a][fits]
-                    if k is not None and len(at) > k:
-                        best = np.lexsort((chunk[at], item[at], -c))[:k]
-                        at, c = at[best], c[best]
-                    found.append((np.full(len(at), ids[i]), at, c))
-            i, at, c = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (i.astype(np.int64), person[at].astype(np.int64), chunk[at], item[at].astype(np.int64), ordinal[at].astype(np.int64), c)], names=[x.split()[0] for x in PAIRS.split(", ")])
-
-    day = F.unix_date("published_at") if "published_at" in chunks.columns else F.lit(None).cast("int")
-    return chunks.select(F.col("chunk_id").cast("long"), F.col("person").cast("long"), F.col("item").cast("long"), F.col("ordinal").cast("long"), "embedding", day.alias("day")).mapInArrow(run, PAIRS)
+#: Questions that are broadcast; more are packed by person and joined.
+BLOCK = cells.BLOCK
 
 
 def score(questions: DataFrame, chunks: DataFrame, k: int | None = None, own: bool = False) -> DataFrame:
@@ -70,23 +24,10 @@ def score(questions: DataFrame, chunks: DataFrame, k: int | None = None, own: bo
 
     ``questions`` has (q_id, person, q_vec), ``chunks`` (chunk_id, person, item, ordinal, embedding). A question's dates
     ``since`` and ``until``, both inclusive, bound ``published_at`` of the chunks, and leave out undated ones, where given.
-    Unless ``own`` is set, the chunk with the id of the question is left out. Nulls: a null vector has the cosine 0; a
-    null person meets none. No questions or chunks give no row.
+    Unless ``own`` is set, the chunk with the id of the question is left out. Nulls: a null vector, or one that has not the
+    length of a question's, has the cosine 0; rows with a null person or id meet none. No questions or chunks give no row.
     """
-    spark, out = chunks.sparkSession, None
-    block: list = []
-    bounds = [F.col(c) if c in questions.columns else F.lit(None).cast("date").alias(c) for c in ("since", "until")]
-    for r in questions.select("q_id", "person", "q_vec", *bounds).where("person is not null").toLocalIterator():
-        block.append(r)
-        if len(block) == BLOCK:
-            part = _against(block, chunks, k, own)
-            out, block = part if out is None else out.unionByName(part), []
-    if block or out is None:
-        part = _against(block, chunks, k, own) if block else spark.createDataFrame([], PAIRS)
-        out = part if out is None else out.unionByName(part)
-    if k is None:
-        return out
-    return out.withColumn("r", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("cos"), "item", "chunk_id"))).where(F.col("r") <= k)
+    return cells.search(cells.loose(chunks), questions, k, own=own, block=BLOCK)
 
 
 def mean_directions(vectors: DataFrame, key: str = "label", column: str = "embedding") -> DataFrame:
@@ -99,7 +40,7 @@ def mean_directions(vectors: DataFrame, key: str = "label", column: str = "embed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, u = b.column("key").to_numpy(), unit_rows(b.column("v"))
-            for k in np.unique(keys).tolist():
+            for k in np.unique(keys).tolist() if u.shape[1] else []:
                 s = u[keys == k].sum(axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), k)), pa.array(np.arange(len(s))), pa.array(s), pa.array(np.full(len(s), int((keys == k).sum())))], names=["key", "i", "total", "n"])
 

@@ -155,8 +155,11 @@ def published(html: Column) -> Column:
     return F.coalesce(*[F.when(moment(v).isNotNull(), F.struct(moment(v).alias("at"), F.lit(k).alias("found_in"))) for k, v in said.items()])
 
 
-def agreement(page: Column, feed: Column) -> Column:
-    """The share of a page's words, lower-cased, that occur in the feed's text; 0 for a page without words."""
-    words = lambda c: F.filter(F.split(F.lower(c), r"(?U)\s+"), lambda x: x != "")
-    own = words(page)
-    return F.when(F.size(own) <= 0, 0.0).otherwise(F.size(F.filter(own, lambda x: F.array_contains(words(feed), x))) / F.size(own))
+def agreement(pages: DataFrame, key: str, page: Column, feed: Column) -> DataFrame:
+    """(key, share) of rows with a unique ``key``: the share of a page's words, lower-cased, that occur in the feed's text; 0
+    for a page without words. Words meet by (key, word), each side's once, so that a long text takes time in proportion."""
+    words = lambda c: F.explode(F.filter(F.split(F.lower(c), r"(?U)\s+"), lambda x: x != "")).alias("word")
+    own = pages.select(F.col(key).alias("k"), words(page)).groupBy("k", "word").agg(F.count(F.lit(1)).alias("n"))
+    fed = pages.select(F.col(key).alias("k"), words(feed)).distinct().withColumn("fed", F.lit(True))
+    found = own.join(fed, ["k", "word"], "left").groupBy("k").agg((F.coalesce(F.sum(F.when(F.col("fed"), F.col("n"))), F.lit(0)) / F.sum("n")).alias("share"))
+    return pages.select(key).join(found, F.col(key) == F.col("k"), "left").select(key, F.coalesce("share", F.lit(0.0)).alias("share"))
