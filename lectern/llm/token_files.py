@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .tokens import encoder
-from .util import new_path, pieces, small_batches, stage, text_column
+from .util import new_path, pieces, small_batches, stage
 
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
@@ -30,14 +30,17 @@ def encode_partitions(docs: DataFrame, tokenizer: str, lead: bool, end_id: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, at, enc, end = TaskContext.get().partitionId(), 0, encoder(tokenizer, lead), np.array([end_id], dtype="<u4").tobytes()
+        part, at, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer, lead)
         for b in pieces(batches, "text"):
-            ids = [x + end for x in enc.encode(text_column(b, "text"))]
-            n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            ids, n = enc.ids(b.column("text"))
+            n += 1
             upto = np.cumsum(n)
-            flat = pa.Array.from_buffers(pa.int32(), int(upto[-1]) if len(n) else 0, [None, pa.py_buffer(b"".join(ids))])
+            flat = np.full(len(ids) + len(n), end_id, np.int32)
+            kept = np.ones(len(flat), bool)
+            kept[upto - 1] = False
+            flat[kept] = ids
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), pa.array(np.full(len(n), part, np.int32)), pa.array(at + upto - n), pa.array(n), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]).astype(np.int32)), flat)],
+                [b.column("doc_id").cast(pa.int64()), pa.array(np.full(len(n), part, np.int32)), pa.array(at + upto - n), pa.array(n), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]).astype(np.int32)), pa.array(flat))],
                 names=["doc_id", "part", "local_start", "n_tokens", "ids"],
             )
             at += int(upto[-1]) if len(n) else 0

@@ -174,15 +174,8 @@ def word_starts(column: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.nda
     return raw, at, starts
 
 
-def hashed_words(column: pa.Array, block: int = 1 << 16, codes: np.ndarray = _CODES) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of a string column, those of ``lower_words`` unless ``codes`` are others, text after text,
-    and each text's number of words.
-
-    A word's hash is the sum of its bytes' numbers times odd factors by place, mixed. Words that differ in one byte never
-    share a sum. The sums are array operations on blocks of bytes, also where a word crosses blocks, so that a long text
-    takes a few bytes of memory for each of its own. A null has no words.
-    """
-    raw, at, starts = word_starts(column, codes)
+def word_hashes(raw: np.ndarray, starts: np.ndarray, codes: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """64-bit hashes of the words that begin at ``starts``, each up to the next one."""
     h = np.zeros(len(starts), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for low in range(0, len(raw), block):
@@ -197,7 +190,19 @@ def hashed_words(column: pa.Array, block: int = 1 << 16, codes: np.ndarray = _CO
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-    return h.view(np.int64), np.diff(np.searchsorted(starts, at))
+    return h.view(np.int64)
+
+
+def hashed_words(column: pa.Array, block: int = 1 << 16, codes: np.ndarray = _CODES) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a string column, those of ``lower_words`` unless ``codes`` are others, text after text,
+    and each text's number of words.
+
+    A word's hash is the sum of its bytes' numbers times odd factors by place, mixed. Words that differ in one byte never
+    share a sum. The sums are array operations on blocks of bytes, also where a word crosses blocks, so that a long text
+    takes a few bytes of memory for each of its own. A null has no words.
+    """
+    raw, at, starts = word_starts(column, codes)
+    return word_hashes(raw, starts, codes, block), np.diff(np.searchsorted(starts, at))
 
 
 #: Odd multipliers of the positions of a window, from one seed.

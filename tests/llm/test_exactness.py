@@ -1,12 +1,15 @@
 """The operators and the pipeline against independent brute force, and the literal cases that once gave wrong results."""
 
 import hashlib
+import itertools
 import random
 import re
 import struct
 import time
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -27,12 +30,16 @@ WHITE = [chr(x) for x in (9, 13, 11, 12, 28, 31, 0x85, 0xA0, 0x2003, 0x2028, 0x3
 def test_ids_of_the_library(name, lead):
     path = queries.vocabulary(name)
     own, tok, rng = Encoder(path, lead), Tokenizer.from_file(path), random.Random(7)
+    texts = []
     for k in range(60_000):
         letters = ALPHABET + WHITE if k % 3 == 0 else ALPHABET
         t = "".join(rng.choice(letters) for _ in range(rng.randint(0, 14)))
         t = " ".join(x for x in t.replace("\n", " ").split(" ") if x) if k % 2 else t
-        ids = tok.encode(t, add_special_tokens=False).ids
-        assert own.one(t) == struct.pack(f"<{len(ids)}I", *ids), repr(t)
+        texts.append(t)
+    for some in itertools.batched(texts, 1000):
+        flat, n = own.ids(pa.array(some))
+        for t, ids in zip(some, np.split(flat, np.cumsum(n)[:-1])):
+            assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
     for t in ("Ali İ. geldi", "a\x1c b", "x\ty\n\xa0", "one\xa0two\n\n\tthree"):
         ids = tok.encode(t, add_special_tokens=False).ids
         assert own.one(t) == struct.pack(f"<{len(ids)}I", *ids)
