@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.bindings import define_view, prelude, register
-from . import calibrate, find
+from . import calibrate, cells, find, retrieval, vectors
 
 VEC_ITEMS = define_view(
     "vec_items",
@@ -115,9 +115,85 @@ CALIBRATIONS = {
 }
 
 
+#: Claims of positions, dated by their position; judgements on pairs, as they arrive, some on pairs that were never sent.
+CLAIMS = define_view(
+    "position_claims",
+    lambda x: """select distinct t.position, v.chunk_id as claim_id, v.person, v.embedding, d.since from citations t join chunks_v v on t.item = v.item and v.person * 4 + v.rn % 4 = t.position
+        join (select c.position, min(t.published_at) as since from citations c left join vec_items t on t.item = c.item group by c.position) d on d.position = t.position""",
+)
+VERDICTS = define_view(
+    "verdicts",
+    lambda x: f"""select user_id % 10 as person, concat('p', cast({x.div("event_id", "10")} % 140 + 1 as {x.string})) as ref, case event_type when 'purchase' then 'revised' when 'error' then 'unsettled' when 'signup' then 'drifting' else 'none' end as relation,
+        props as rationale, event_id as arrived from events""",
+)
+
+
+def _alike(spark: SparkSession, sf_dir: str) -> tuple[SparkSession, DataFrame]:
+    own = register(spark, sf_dir, "position_claims verdicts")
+    return own, cells.alike(own.sql("select claim_id, person, position, since, embedding from position_claims"), floor=NEAR)
+
+
+def j14_position_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _alike(spark, sf_dir)[1].select("person", "pa", "pb", "cos", "r", "bounded_out")
+
+
+def j14_nearest_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _alike(spark, sf_dir)[1].select("person", "pa", "pb", "claim_a", "claim_b", "gap_days")
+
+
+def e12_judged_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, found = _alike(spark, sf_dir)
+    return cells.revisions(found, own.table("verdicts")).select("person", "pa", "pb", "relation", "gap_days", "rationale")
+
+
+def e12_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, found = _alike(spark, sf_dir)
+    return cells.judged(found, own.table("verdicts"))
+
+
+def j2_stored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = register(spark, sf_dir, "chunks_v questions")
+    return cells.search(cells.store(own.table("chunks_v")), own.table("questions"), floor=retrieval.FLOOR).select("q_id", "chunk_id", "cos")
+
+
+def a1_stored_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of each question, by cells that its fifth best so far excludes."""
+    own = register(spark, sf_dir, "chunks_v questions")
+    return cells.search(cells.store(own.table("chunks_v")), own.table("questions"), k=5).select("q_id", "chunk_id", "cos", "r")
+
+
+def a17_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = register(spark, sf_dir, "chunks_v foreign_probes questions")
+    top = vectors.score(own.table("foreign_probes"), own.table("chunks_v"), k=1, own=True).select("q_id", "cos").join(own.sql("select q_id, person from questions"), "q_id")
+    over = lambda floor, name: [F.count_if(F.col("cos") >= floor).alias(f"{name}answered"), F.count_if(F.col("cos") < floor).alias(f"{name}rested")]
+    return top.groupBy("person").agg(*over(retrieval.FLOOR, ""), *over(retrieval.STRICT, "near_"), F.count(F.lit(1)).alias("total"))
+
+
+#: The floor of pairs on the bound vectors, of which none come nearer than 0.4; 0.65 is the operator's own.
+NEAR = 0.2
+ALIKE_SQL = f""", al as (select a.person, a.position as pa, b.position as pb, a.claim_id as ca, b.claim_id as cb, a.since as sa, b.since as sb, {_COS.format(a="a.embedding", b="b.embedding")} as cos
+        from position_claims a join position_claims b on a.person = b.person and a.since < b.since),
+    be as (select * from (select *, row_number() over (partition by person, pa, pb order by cos desc, ca, cb) as k from al where cos >= {NEAR}) t where k = 1),
+    ra as (select *, row_number() over (partition by person order by cos desc, pa, pb) as r, count(*) over (partition by person) as n from be), pr as (select *, 'p' || r as ref from ra where r <= 120),
+    ve as (select * from (select *, row_number() over (partition by person, ref order by arrived) as k from verdicts) t where k = 1)"""
+BY_CELLS = {
+    "j14_position_pairs": (j14_position_pairs, None), "a17_negatives": (a17_negatives, None),
+    "j14_nearest_claims": (j14_nearest_claims, ALIKE_SQL + " select person, pa, pb, ca as claim_a, cb as claim_b, date_diff('day', sa, sb) as gap_days from pr"),
+    "e12_judged_revisions": (e12_judged_revisions, ALIKE_SQL + " select pr.person, pa, pb, relation, date_diff('day', sa, sb) as gap_days, rationale from pr join ve on ve.person = pr.person and ve.ref = pr.ref where relation <> 'none'"),
+    "e12_judgements": (e12_judgements, ALIKE_SQL + """, co as (select person, ref, count(*) as m from verdicts group by all)
+        select coalesce(pr.person, co.person) as person, count(pr.ref) as candidates, count(*) filter (pr.ref is not null and ve.relation <> 'none') as judged, count(*) filter (pr.ref is not null and ve.relation = 'none') as dismissed,
+               coalesce(sum(co.m) filter (pr.ref is null), 0)::bigint as dropped_unknown, coalesce(max(greatest(n - 120, 0)), 0) as bounded_out
+        from pr full join co on co.person = pr.person and co.ref = pr.ref left join ve on ve.person = co.person and ve.ref = co.ref group by coalesce(pr.person, co.person)"""),
+    "j2_stored_cells": (j2_stored_cells, f" select q_id, chunk_id, cos from scored where cos >= {retrieval.FLOOR}"),
+    "a1_stored_nearest": (a1_stored_nearest, " select * from (select q_id, chunk_id, cos, row_number() over (partition by q_id order by cos desc, item, chunk_id) as r from scored) t where r <= 5"),
+}
+
+
 def _query(form):
     return lambda spark, sf_dir: form(*searched(spark, sf_dir))
 
 
 QUERIES = {k: _query(form) for k, (form, _) in LISTED.items()} | {k: q for k, (q, _) in CALIBRATIONS.items()}
 ORACLES = {k: prelude() + FOUND + "\n" + sql for k, (_, sql) in LISTED.items()} | {k: prelude() + sql for k, (_, sql) in CALIBRATIONS.items()}
+QUERIES |= {k: q for k, (q, _) in BY_CELLS.items()}
+ORACLES |= {k: prelude() + sql for k, (_, sql) in BY_CELLS.items() if sql}
