@@ -6,7 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.streaming import timers
+from lectern.streaming import filings, timers
+
+SF = "/root/testdata/sf0.001"
 
 POLLS = "key long, ts timestamp, seq long, at_s long, failed boolean, detail string, check long"
 T0 = 1_704_067_200
@@ -78,6 +80,23 @@ def test_batches_do_not_matter(spark, tmp_path, cuts):
     assert any(g[1] == "escalated" for g in got)
 
 
+def test_silences_against_brute_force(spark):
+    """Over the smallest tables, as the registered query is: minute by minute as its rule says."""
+    events = sorted((r.ts.replace(tzinfo=datetime.UTC).timestamp() // 1, r.event_id, r.user_id, r.event_type == "error", r.props) for r in spark.read.parquet(f"{SF}/events.parquet").collect())
+    end, want = events[-1][0], []
+    for fleet in range(10):
+        open_, own = {}, [e for e in events if e[2] % 10 == fleet]
+        for at, _, check, failed, detail in [*own, (end + 1, 0, None, None, "")]:
+            if open_ and not any(x[4] for x in open_.values()) and (due := min(x[0] for x in open_.values()) + 86_400) < at:
+                want += [(fleet, "filed", due, *x[:4]) for x in open_.values()]
+                open_ = {k: (*x[:4], True) for k, x in open_.items()}
+            old = open_.pop(check, None)
+            if failed:
+                open_[check] = (old[0], at, old[2] + 1, detail, old[4]) if old else (at, at, 1, detail, False)
+    got = filings.QUERIES["i7_silence_filings"](spark, SF).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 10
+
+
 def test_nothing_and_nulls(spark, tmp_path):
     rows = [(None, None, 0, None, True, None, None), (1, None, 0, None, True, None, None), (*poll(1, 0, True)[:5], None, None)]
     assert [x[1] for x in said(spark, tmp_path, [rows], timers.Faults())] == ["opened"]
