@@ -69,7 +69,7 @@ GATES = {
 PLAIN = [
     ("all-rights-reserved", r"\ball\s+rights\s+reserved\b", "rights", 0.6),
     ("public-domain", r"\b(?:released|dedicated|placed)\s+(?:in|in?to)\s+the\s+public\s+domain\b", "public", 0.9),
-    ("copyright", r"(?:\bcopyright\b|\(c\)|©)\s*(?:\(c\)|©)?\s*(?:19|20)\d\d\b", "copyright\t(c)\t©", 0.5),
+    ("copyright", r"(?:\bcopyright\b|\(c\)|©)\s*+(?:(?:\(c\)|©)\s*+)?(?:19|20)\d\d\b", "copyright\t(c)\t©", 0.5),
     ("proprietary", r"\bproprietary\s+and\s+confidential\b", "proprietary", 0.8),
     ("permissive-grant", r"\bpermission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge\b", "permission", 0.9),
     ("redistribution", r"\bredistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms\b", "redistribution", 0.9),
@@ -196,7 +196,7 @@ def build_rules() -> list[Rule]:
     for label, (ident, name, versions, link) in FAMILIES.items():
         name, gate = f"(?:{name})", tuple(GATES.get(label, "cc\tcreative").split("\t"))
         number = [(v, re.escape(v.removesuffix(".0")) + r"(?:\.0)?(?![\d.]*\d)" if v[-1].isdigit() else re.escape(v).replace("\\-", r"[\s-]")) for v in versions]
-        joined = r",?\s*(?:-|version|v\.?)?\s*"
+        joined = r",?\s*+(?:(?:-|version|v\.?)\s*+)?"  # no blank can be taken by either, so a long run is gone through once
         for v, pattern in number:
             one = f"{label}-{v}"
             out += [

@@ -3,6 +3,8 @@
 import hashlib
 import itertools
 import random
+import re
+import time
 import zlib
 
 import pyarrow as pa
@@ -138,6 +140,16 @@ def test_licenses_rules_fire_when_wrapped():
             assert want in s.scan("x " + text.replace(" ", blank) + " y")[5].split(","), (want, text, blank)
 
 
+def test_licenses_of_long_white_space():
+    """A million blanks after each family's name, or a statement's first word, take no more than a moment."""
+    s = licenses.Scanner()
+    for name in [*(re.sub(r"\\s\+", " ", re.sub(r"\(\?:[^()]*\)\??|\[sc\]", lambda m: "s" if m[0] == "[sc]" else "", names)) for _, names, _, _ in licenses.FAMILIES.values()), "apache license", "mozilla public license", "copyright", "(c)", "licensed under the"]:
+        began = time.time()
+        s.scan(f"{name}{' ' * 1_000_000}x")
+        assert time.time() - began < 2, name
+    assert "copyright" in s.scan("copyright " + " " * 1000 + "(c)\n\n2024")[5] and "apache-2.0" in s.scan("apache license," + "\n" * 1000 + "version   2.0")[5]
+
+
 def test_pii_is_one_to_one_and_linked(spark, odd, empty):
     p = pii.Pseudonyms(b"k")
     assert sorted(p.f.permute("t", 1000, i) for i in range(1000)) == list(range(1000))
