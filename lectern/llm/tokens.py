@@ -65,8 +65,8 @@ class Known:
     """ids by piece, in arrays: pieces are found by 64-bit hash, and told apart by their length and first bytes besides."""
 
     def __init__(self):
-        self.keys, self.size, self.head = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
-        self.off, self.n, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.keys, self.size, self.head = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.uint64)
+        self.off, self.n, self.flat = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.uint32)
 
     def find(self, keys: np.ndarray, size: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, found, clash) of each of the sorted ``keys``; a clash is another piece with the same hash."""
@@ -156,7 +156,7 @@ class Encoder:
         plain[rows[odd]] = False
         count = np.where(plain, np.bincount(rows, minlength=len(at) - 1), 0) if len(rows) else np.zeros(len(at) - 1, np.int64)
         used = place[of[plain[rows]]] if len(rows) else np.empty(0, np.int64)
-        n = self.known.n[used]
+        n = self.known.n[used].astype(np.int64)
         flat = self.known.flat[np.repeat(self.known.off[used] - np.cumsum(n) + n, n) + np.arange(n.sum())]
         upto = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(count)])]
         each = np.diff(upto)

@@ -146,7 +146,7 @@ def test_licenses_of_long_white_space():
     for name in [*(re.sub(r"\\s\+", " ", re.sub(r"\(\?:[^()]*\)\??|\[sc\]", lambda m: "s" if m[0] == "[sc]" else "", names)) for _, names, _, _ in licenses.FAMILIES.values()), "apache license", "mozilla public license", "copyright", "(c)", "licensed under the"]:
         began = time.time()
         s.scan(f"{name}{' ' * 1_000_000}x")
-        assert time.time() - began < 2, name
+        assert time.time() - began < 5, name  # linear: a few dozen rules read a megabyte; a quadratic one would take hours
     assert "copyright" in s.scan("copyright " + " " * 1000 + "(c)\n\n2024")[5] and "apache-2.0" in s.scan("apache license," + "\n" * 1000 + "version   2.0")[5]
 
 
