@@ -223,6 +223,50 @@ class Silences(StatefulProcessor):
         pass
 
 
+BODIES = "key long, day string, posts long, body string, spans array<struct<seq:long,start:long,end:long>>"
+#: What stands between two posts of a day.
+BREAK = "\n\n"
+
+
+class Days(StatefulProcessor):
+    """The posts of a key and day, gathered in a list as they come; when the watermark has passed the day they are put in
+    order of time and number and joined by a blank line, with the place of each in the body, and the list is dropped.
+
+    A post without text is left out of the body. One day of one key is held at a time, in the state store until it closes.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("posts", "at_s long, seq long, text string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            self.held.appendList([(int(r.at_s), int(r.seq), r.text) for r in frame[["at_s", "seq", "text"]].itertuples(index=False)])
+        end = (int(key[1]) + 1) * DAY_S * 1000
+        if end not in set(self.handle.listTimers()):
+            self.handle.registerTimer(end)
+        yield pd.DataFrame(columns=["key", "day", "posts", "body", "spans"])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        posts = sorted(tuple(x) for x in self.held.get())
+        self.held.clear()
+        spans, at = [], 0
+        for _, seq, text in posts:
+            spans.append({"seq": seq, "start": at, "end": at + len(text)})
+            at += len(text) + len(BREAK)
+        day = str(pd.Timestamp(int(key[1]) * DAY_S, unit="s").date())
+        yield pd.DataFrame({"key": [key[0]], "day": [day], "posts": [len(posts)], "body": [BREAK.join(x[2] for x in posts)], "spans": [spans]})
+
+    def close(self) -> None:
+        pass
+
+
+def day_bodies(posts: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """BODIES of a stream ``posts(key, ts, seq, at_s, text)``: a row for each UTC day of a key once the watermark has passed it."""
+    known = posts.where("key is not null and at_s is not null and text <> ''").select("key", "ts", F.expr(f"at_s div {DAY_S}").alias("day"), "seq", "at_s", "text")
+    return known.withWatermark("ts", late).groupBy("key", "day").transformWithStateInPandas(statefulProcessor=Days(), outputStructType=BODIES, outputMode="Append", timeMode="EventTime")
+
+
 def filed(polls: DataFrame, ledger: StatefulProcessor, late: str = "0 seconds") -> DataFrame:
     """FILED of a stream ``polls(key, ts, seq, at_s, failed, detail, check)``, in append mode."""
     known = polls.where("key is not null and at_s is not null").select("key", "ts", "seq", "at_s", F.coalesce("failed", F.lit(False)).alias("failed"), F.coalesce("detail", F.lit("")).alias("detail"), F.coalesce("check", F.lit(0)).cast("long").alias("check"))
@@ -241,6 +285,12 @@ def timed_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def replayed_days(posts: DataFrame, name: str = "days") -> DataFrame:
+    """The bodies of all days that a stream's source closes."""
+    with timed_state(posts.sparkSession):
+        return replay(day_bodies(posts), name)
+
+
 def replayed(polls: DataFrame, ledger: StatefulProcessor, name: str) -> DataFrame:
     """What a ledger says of all that a stream's source holds, up to the last poll's time."""
     with timed_state(polls.sparkSession):

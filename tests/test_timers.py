@@ -100,3 +100,24 @@ def test_silences_against_brute_force(spark):
 def test_nothing_and_nulls(spark, tmp_path):
     rows = [(None, None, 0, None, True, None, None), (1, None, 0, None, True, None, None), (*poll(1, 0, True)[:5], None, None)]
     assert [x[1] for x in said(spark, tmp_path, [rows], timers.Faults())] == ["opened"]
+
+
+@pytest.mark.parametrize("cuts", [[], [5, 24, 25, 50], [1, 2, 3, 30, 47, 48, 49, 71]])
+def test_days_close_with_their_bodies(spark, tmp_path, cuts):
+    """Posts of a day come in several batches; the last day stays open; a post for a closed day is dropped by the watermark."""
+    rng = random.Random(2)
+    posts = [(k % 3, T0 + int(h * H), k, None if k % 11 == 0 else f"pöst {k}" * (k % 3)) for k, h in enumerate(sorted(rng.uniform(0, 80) for _ in range(60)))]
+    for n, (a, b) in enumerate(zip([0, *cuts], [*cuts, 1000])):
+        own = [(k, datetime.datetime.fromtimestamp(at, datetime.UTC).replace(tzinfo=None), seq, at, text) for k, at, seq, text in posts if a * H <= at - T0 < b * H]
+        spark.createDataFrame(own, "key long, ts timestamp, seq long, at_s long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in") if own else None
+    s = spark.readStream.schema("key long, ts timestamp, seq long, at_s long, text string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = {(r.key, r.day): r for r in timers.replayed_days(s).collect()}
+    want = {}
+    for k, at, seq, text in posts:
+        day = str(datetime.datetime.fromtimestamp(at, datetime.UTC).date())
+        if text and day < "2024-01-04":
+            want.setdefault((k, day), []).append((seq, text))
+    assert set(got) == set(want)
+    for key, own in want.items():
+        r = got[key]
+        assert r.posts == len(own) and r.body == "\n\n".join(t for _, t in own) and [(x.seq, r.body[x.start : x.end]) for x in r.spans] == own
