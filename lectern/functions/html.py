@@ -93,7 +93,7 @@ def read(html: str, sections: bool = False) -> Page:
 
     With ``sections`` the parts of the page, menus and prose, stand apart. A container inside of furniture is none.
     """
-    page, out, size, at = Page(), [], 0, 0
+    page, out, found, size, at = Page(), [], [], 0, 0
     code, nested, furniture = "", 0, 0  # the script or style that is open, how deep it and the furniture are
     stacks: dict[str, list] = {tag: [] for tag in CONTAINERS}
     for m in _MARK.finditer(html):
@@ -116,17 +116,17 @@ def read(html: str, sections: bool = False) -> Page:
         out.append("\n" * breaks)
         size += breaks
         if tag in stacks and not closing:
-            stacks[tag].append((size, class_of(attributes)))
+            stacks[tag].append((at, size, class_of(attributes)))
         elif tag in stacks and stacks[tag]:
-            begin, name = stacks[tag].pop()
-            page.held.append((tag, name, begin, size))
+            opened, begin, name = stacks[tag].pop()
+            found.append((CONTAINERS.index(tag), opened, (tag, name, begin, size)))
         if closing and tag in BLOCKS:
             out.append("\n\n")
             size += 2
     if not nested and not furniture:
         out.append(decode(html[at:]))
     page.raw = "".join(out)
-    page.held.sort(key=lambda x: (CONTAINERS.index(x[0]), x[2]))
+    page.held = [x[2] for x in sorted(found)]
     return page
 
 

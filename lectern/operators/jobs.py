@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import chunking, embedding, html
 from ..plans.bindings import prelude, register
-from ..sources import documents as read, sinks
+from ..sources import boilerplate, documents as read, sinks
 from ..streaming import streams
-from . import folds, verify
+from . import folds, spans, verify
 
 DIM, BUDGET = 64, 6000
 POLLS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -168,6 +168,54 @@ def x2_densest_container(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_text(_table(spark, sf_dir, "pages"), container=True).select("page_id", "container", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def _page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as their site's: their whole text, in front of it a line of the site, one of its part and one of its language."""
+    p = _table(spark, sf_dir, "pages")
+    own = p.select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.regexp_extract("html", 'lang="(..)"', 1).alias("lang"))
+    return html.page_text(p).join(own, "page_id").select("page_id", "host", F.concat_ws("\n", "host", F.concat(F.lit(" in "), "lang"), "text").alias("text"))
+
+
+def a24_page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.repeated_lines(_page_texts(spark, sf_dir))
+
+
+def x3_page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _page_texts(spark, sf_dir)
+    return boilerplate.without_repeated(pages, boilerplate.repeated_lines(pages)).select("host", "page_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+LINED = r"""with p as (select page_id, html as raw, regexp_extract(url, '^https?://([^/]+)', 1) as host, regexp_replace(regexp_replace(html, '<(script|style)(\s[^>]*)?>.*?</(script|style)\s*>', '', 'gis'), '<br\s*/?>', chr(10), 'gi') as h from pages),
+    b as (select page_id, raw, host, regexp_replace(regexp_replace(h, '</(p|h[1-6]|li|blockquote|div|figure|figcaption|tr|pre)\s*>', chr(10) || chr(10), 'gi'), '<[^>]*>', '', 'gs') as h from p),
+    t as (select page_id, host, array_to_string([host, 'in ' || regexp_extract(raw, 'lang="(..)"', 1), h], chr(10)) as t from b),
+    l as (select page_id, host, k, trim(regexp_replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\x{00a0}]+', ' ', 'g')) as line
+        from (select page_id, host, unnest(string_split(t, chr(10))) as x, generate_subscripts(string_split(t, chr(10)), 1) as k from t)),
+    r as (select * from (select host, page_id, row_number() over (partition by host order by page_id desc) as r from p) where r <= 20),
+    o as (select l.host, line, count(distinct page_id) as on_pages from l join r using (host, page_id) where line <> '' group by l.host, line),
+    again as (select o.* from o join (select host, count(*) as n from r group by host) n using (host) where on_pages >= greatest(2, ceil(n / 2)))"""
+A24 = LINED + " select host, line, on_pages from again"
+X3 = LINED + """, k as (select host, page_id, string_agg(line, chr(10) order by k) as t from l where line <> '' and (host, line) not in (select host, line from again) group by host, page_id)
+    select p.host, p.page_id, length(coalesce(t, '')) as n_chars, md5(coalesce(t, '')) as text_md5 from p left join k using (host, page_id)"""
+
+
+def x5_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the marks of a gate put in: a widget, a widget's name in a script alone, or the words, across a line or not."""
+    p, k = _table(spark, sf_dir, "pages"), F.col("page_id")
+    mark = F.when(k % 5 == 0, '<div class="gh-post-upgrade-cta">Join</div>').when(k % 5 == 1, "<script>x='gh-post-upgrade-cta'</script>").otherwise("")
+    said = F.when(k % 3 == 0, "<p>This post is for <b>paying</b> subscribers</p>").when(k % 3 == 1, "<p>This post is for all.</p><p>Members too</p>").otherwise("")
+    marked = p.select("page_id", F.concat("html", mark, said).alias("html"))
+    return marked.join(html.page_text(marked).select("page_id", "text"), "page_id").select("page_id", boilerplate.gate(F.col("html"), F.col("text")).alias("gate"))
+
+
+X5 = "select page_id, case when page_id % 5 = 0 then 'gh-post-upgrade-cta' when page_id % 3 = 0 then 'members-cta-copy' end as gate from pages"
+
+
+def j15_shared_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest span of each reply with what was said before it, and of each with the record of the conversation after."""
+    own = register(spark, sf_dir, "replies")
+    pairs = own.sql("select a.conv_id, a.turn, b.conv_id as other, a.said as reply, concat(b.record, ' ', coalesce(c.text, '')) as record from replies a join replies b on b.conv_id between a.conv_id and a.conv_id + 1 left join documents c on c.doc_id = b.conv_id where b.record is not null")
+    return spans.longest_shared(pairs.distinct(), ["conv_id", "turn", "other"], F.col("reply"), F.col("record")).groupBy("conv_id", "turn", "other").agg(F.max("length").alias("longest"), F.count(F.lit(1)).alias("n"))
+
+
 def x4_feed_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _table(spark, sf_dir, "pages").where("not contains(html, ']]>')")
     has = lambda k, name, inner: F.when(F.col("page_id") % k != 0, F.concat(F.lit(f"<{name}>"), inner, F.lit(f"</{name}>"))).otherwise(F.lit(""))
@@ -445,6 +493,7 @@ JOBS = {
     "s2_feed_entries": (s2_feed_entries, prelude() + S2), "s3_sitemap_urls": (s3_sitemap_urls, S3), "s5_archive_items": (s5_archive_items, prelude() + S5), "s6_listing": (s6_listing, prelude() + S6), "s7_captions": (s7_captions, S7),
     "s8_own_posts": (s8_own_posts, S8), "s10_insert_if_absent": (s10_insert_if_absent, S10), "s11_replace_by_key": (s11_replace_by_key, S11), "s12_current_version": (s12_current_version, S12),
     "x1_html_text": (x1_html_text, X1), "x2_densest_container": (x2_densest_container, None), "x4_feed_body": (x4_feed_body, X4), "x6_published": (x6_published, X6), "x7_agreement": (x7_agreement, X7), "x8_longer_body": (x8_longer_body, X8),
+    "a24_page_lines": (a24_page_lines, A24), "x3_page_bodies": (x3_page_bodies, X3), "x5_gates": (x5_gates, X5), "j15_shared_spans": (j15_shared_spans, None),
     "x10_chunks": (x10_chunks, X10), "j9_chunk_of_quote": (j9_chunk_of_quote, J9), "v5_embeddings": (v5_embeddings, V5), "w8_passes": (w8_passes, prelude() + W8), "t5_corpus_order": (t5_corpus_order, prelude() + T5),
     "i10_catalogue_upsert": (i10_catalogue_upsert, prelude() + I10), "i2_late_days": (i2_late_days, I2), **{k: (_stream(k, f), sql) for k, (f, sql) in STREAMS.items()},
 }
