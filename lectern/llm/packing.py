@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .token_files import encode_partitions, list_slices, read_token_files, save
-from .util import new_path
+from .util import new_path, stage
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -49,4 +49,5 @@ def pack(docs: DataFrame, tokenizer: str, lead: bool = False, end_id: int = 2, w
                 out.append(pa.array(lists, type=pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return read_token_files(spark, path).mapInArrow(cut, schema)
+    out = read_token_files(spark, path).mapInArrow(cut, schema)
+    return out if with_ids else stage(out, "pieces")  # here, where batches are small; pieces without ids take few bytes

@@ -31,7 +31,7 @@ def encode_partitions(docs: DataFrame, tokenizer: str, lead: bool, end_id: int)
         from pyspark import TaskContext
 
         part, at, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer, lead)
-        for b in pieces(batches, "text", limit=2 << 20):
+        for b in pieces(batches, "text", limit=1 << 20):
             ids, n = enc.ids(b.column("text"))
             n += 1
             upto = np.cumsum(n)
