@@ -146,6 +146,31 @@ def test_numbered_and_passes(spark):
             assert got[r[0]] == k
 
 
+@pytest.mark.parametrize("part, budget", [(1, 6), (1, 9), (50, 20), (1 << 16, 15)])
+def test_passes_over_many_parts(spark, part, budget):
+    """One key over many tasks, another over one, names that clash, nulls, and lines longer than the budget."""
+    rng = random.Random(part + budget)
+    rows = [(None if k % 50 == 1 else "a" if k % 10 else "b", k, None if k % 13 == 0 else rng.choice([0, 1, 2, 3, budget, budget + 5]), "x", "y") for k in range(600)]
+    got = folds.passes(spark.createDataFrame(rows, "part string, at int, size int, __k string, __place string").repartition(3), "part", ["at"], "size", budget, part=part).collect()
+    want = []
+    for key in ("a", "b", None):
+        used, n = None, 0
+        for r in rows:
+            if r[0] == key:
+                size = r[2] or 0
+                if used is not None and used + size > budget:
+                    used, n = 0, n + 1
+                used = (used or 0) + size + 1
+                want.append((*r, n))
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == sorted(want, key=lambda r: r[1])
+
+
+def test_names_in_numbered_rows(spark):
+    """The literal case: columns of the caller that are called as the helper's own."""
+    rows = spark.createDataFrame([("a", k, "x", "y") for k in (3, 1, 2)], "key string, v int, __n string, __part string")
+    assert [tuple(r) for r in folds.numbered(rows, "key", ["v"]).orderBy("v").collect()] == [("a", 1, "x", "y", 1), ("a", 2, "x", "y", 2), ("a", 3, "x", "y", 3)]
+
+
 def test_embedding_backlog(spark):
     texts = spark.createDataFrame([(1, "Some words here, some"), (2, None), (3, "a b")], "chunk_id long, text string")
     first = embedding.embed_missing(texts.where("chunk_id = 1"), None, "m", embedding.hashed_words(8), 8)
