@@ -9,10 +9,11 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.batches import pieces  # noqa: F401
+
 
 def lower_ascii(text: str) -> str:
     """A-Z in lower case; other letters stay."""
@@ -91,16 +92,6 @@ def text_column(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut into slices of about ``limit`` bytes of a string column, a longer text alone, as work on a slice takes
-    many times its size. Spark itself ends a batch at ``spark.sql.execution.arrow.maxBytesPerBatch``."""
-    for b in batches:
-        block = np.cumsum(pc.binary_length(b.column(column)).fill_null(0).to_numpy().astype(np.int64)) // limit
-        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), b.num_rows]
-        yield from (b.slice(i, j - i) for i, j in zip(cuts, cuts[1:]) if j > i)
-    pa.default_memory_pool().release_unused()  # a worker outlives its task
-
-
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
