@@ -14,7 +14,6 @@ BLEND = (
     shown as (select *, row_number() over (partition by q_id order by blend desc, best desc, item_count desc, slug) as place from blended)"""
 )
 TOP = "tops as (select q_id, max(cos) as top from scored group by q_id)"
-PROBES = "probes as (select person, 1 as inside, max(cos) as top from (select s.person, s.q_id, s.cos from scored s where s.q_id % 4 <> 3) t group by person, q_id)"
 
 CATALOGUE = {
     "v1_cosine": lambda x: f"select q_id, chunk_id, cos from scored",

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 ACCENT = "'áéíóúàèìòùâêîôûäëïöüñç'", "'aeiouaeiouaeiouaeiounc'"
-FEED = "<feed><item><guid>a1</guid><title>One</title><link>https://x.example/p/a1</link></item><item><guid>b2</guid><title>Two</title></item></feed>"
-MAP = "<urlset><url><loc>https://x.example/a</loc><lastmod>2024-05-01</lastmod></url><url><loc>ftp://no</loc></url></urlset>"
-CAPTIONS = '{"events":[{"tStartMs":0,"segs":[{"utf8":"a  b"}]},{"tStartMs":900},{"tStartMs":1500,"segs":[{"utf8":"c"}]}]}'
 
 
 def _lines(x) -> str:
