@@ -123,14 +123,14 @@ CLAIMS = define_view(
         join (select c.position, min(t.published_at) as since from citations c left join vec_items t on t.item = c.item group by c.position) d on d.position = t.position""",
 )
 VERDICTS = define_view(
-    "verdicts",
+    "pair_verdicts",
     lambda x: f"""select user_id % 10 as person, concat('p', cast({x.div("event_id", "10")} % 140 + 1 as {x.string})) as ref, case event_type when 'purchase' then 'revised' when 'error' then 'unsettled' when 'signup' then 'drifting' else 'none' end as relation,
         props as rationale, event_id as arrived from events""",
 )
 
 
 def _alike(spark: SparkSession, sf_dir: str) -> tuple[SparkSession, DataFrame]:
-    own = register(spark, sf_dir, "position_claims verdicts")
+    own = register(spark, sf_dir, "position_claims pair_verdicts")
     return own, cells.alike(own.sql("select claim_id, person, position, since, embedding from position_claims"), floor=NEAR)
 
 
@@ -144,12 +144,12 @@ def j14_nearest_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e12_judged_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, found = _alike(spark, sf_dir)
-    return cells.revisions(found, own.table("verdicts")).select("person", "pa", "pb", "relation", "gap_days", "rationale")
+    return cells.revisions(found, own.table("pair_verdicts")).select("person", "pa", "pb", "relation", "gap_days", "rationale")
 
 
 def e12_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, found = _alike(spark, sf_dir)
-    return cells.judged(found, own.table("verdicts"))
+    return cells.judged(found, own.table("pair_verdicts"))
 
 
 def j2_stored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,12 +176,12 @@ ALIKE_SQL = f""", al as (select a.person, a.position as pa, b.position as pb, a.
         from position_claims a join position_claims b on a.person = b.person and a.since < b.since),
     be as (select * from (select *, row_number() over (partition by person, pa, pb order by cos desc, ca, cb) as k from al where cos >= {NEAR}) t where k = 1),
     ra as (select *, row_number() over (partition by person order by cos desc, pa, pb) as r, count(*) over (partition by person) as n from be), pr as (select *, 'p' || r as ref from ra where r <= 120),
-    ve as (select * from (select *, row_number() over (partition by person, ref order by arrived) as k from verdicts) t where k = 1)"""
+    ve as (select * from (select *, row_number() over (partition by person, ref order by arrived) as k from pair_verdicts) t where k = 1)"""
 BY_CELLS = {
     "j14_position_pairs": (j14_position_pairs, None), "a17_negatives": (a17_negatives, None),
     "j14_nearest_claims": (j14_nearest_claims, ALIKE_SQL + " select person, pa, pb, ca as claim_a, cb as claim_b, date_diff('day', sa, sb) as gap_days from pr"),
     "e12_judged_revisions": (e12_judged_revisions, ALIKE_SQL + " select pr.person, pa, pb, relation, date_diff('day', sa, sb) as gap_days, rationale from pr join ve on ve.person = pr.person and ve.ref = pr.ref where relation <> 'none'"),
-    "e12_judgements": (e12_judgements, ALIKE_SQL + """, co as (select person, ref, count(*) as m from verdicts group by all)
+    "e12_judgements": (e12_judgements, ALIKE_SQL + """, co as (select person, ref, count(*) as m from pair_verdicts group by all)
         select coalesce(pr.person, co.person) as person, count(pr.ref) as candidates, count(*) filter (pr.ref is not null and ve.relation <> 'none') as judged, count(*) filter (pr.ref is not null and ve.relation = 'none') as dismissed,
                coalesce(sum(co.m) filter (pr.ref is null), 0)::bigint as dropped_unknown, coalesce(max(greatest(n - 120, 0)), 0) as bounded_out
         from pr full join co on co.person = pr.person and co.ref = pr.ref left join ve on ve.person = co.person and ve.ref = co.ref group by coalesce(pr.person, co.person)"""),
