@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .tokens import encoder
+from .tokens import encoder, give_back
 from .util import new_path, pieces, small_batches, stage
 
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
@@ -44,6 +44,8 @@ def encode_partitions(docs: DataFrame, tokenizer: str, lead: bool, end_id: int)
                 names=["doc_id", "part", "local_start", "n_tokens", "ids"],
             )
             at += int(upto[-1]) if len(n) else 0
+            pa.default_memory_pool().release_unused()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FILE_SCHEMA)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 
@@ -93,7 +94,7 @@ class Encoder:
     looked up and their ids put together in array operations; the library sees each piece once, until ``keep`` are known.
     """
 
-    def __init__(self, path: str, lead: bool, keep: int = 2_000_000):
+    def __init__(self, path: str, lead: bool, keep: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -173,6 +174,14 @@ class Encoder:
         return self.ids(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
 
 
+def give_back() -> None:
+    """Returns what a task has freed to the system, as its Python worker lives on beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
