@@ -15,7 +15,10 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -228,43 +231,31 @@ BODIES = "key long, day string, posts long, body string, spans array<struct<seq:
 BREAK = "\n\n"
 
 
-class Days(StatefulProcessor):
-    """The posts of a key and day, gathered in a list as they come; when the watermark has passed the day they are put in
-    order of time and number and joined by a blank line, with the place of each in the body, and the list is dropped.
-
-    A post without text is left out of the body. One day of one key is held at a time, in the state store until it closes.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("posts", "at_s long, seq long, text string")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            self.held.appendList([(int(r.at_s), int(r.seq), r.text) for r in frame[["at_s", "seq", "text"]].itertuples(index=False)])
-        end = (int(key[1]) + 1) * DAY_S * 1000
-        if end not in set(self.handle.listTimers()):
-            self.handle.registerTimer(end)
-        yield pd.DataFrame(columns=["key", "day", "posts", "body", "spans"])
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        posts = sorted(tuple(x) for x in self.held.get())
-        self.held.clear()
-        spans, at = [], 0
-        for _, seq, text in posts:
-            spans.append({"seq": seq, "start": at, "end": at + len(text)})
-            at += len(text) + len(BREAK)
-        day = str(pd.Timestamp(int(key[1]) * DAY_S, unit="s").date())
-        yield pd.DataFrame({"key": [key[0]], "day": [day], "posts": [len(posts)], "body": [BREAK.join(x[2] for x in posts)], "spans": [spans]})
-
-    def close(self) -> None:
-        pass
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """BODIES of closed days, whose posts are in order: texts joined, and places by running sums over all days of a batch."""
+    for b in batches:
+        held = b.column("posts")
+        n, flat = held.value_lengths().to_numpy(zero_copy_only=False), held.flatten()
+        at = pa.array(np.append(0, np.cumsum(n)), pa.int32())
+        seq, text = flat.field("seq"), flat.field("text")
+        size = pc.utf8_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
+        before = np.cumsum(size + len(BREAK)) - size - len(BREAK)
+        start = before - np.repeat(before[np.append(0, np.cumsum(n)[:-1])], n) if len(n) else before
+        spans = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([seq, pa.array(start), pa.array(start + size)], names=["seq", "start", "end"]))
+        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("day"), pa.array(n, pa.int64()), pc.binary_join(pa.ListArray.from_arrays(at, text), BREAK), spans], names=["key", "day", "posts", "body", "spans"])
 
 
 def day_bodies(posts: DataFrame, late: str = "0 seconds") -> DataFrame:
-    """BODIES of a stream ``posts(key, ts, seq, at_s, text)``: a row for each UTC day of a key once the watermark has passed it."""
-    known = posts.where("key is not null and at_s is not null and text <> ''").select("key", "ts", F.expr(f"at_s div {DAY_S}").alias("day"), "seq", "at_s", "text")
-    return known.withWatermark("ts", late).groupBy("key", "day").transformWithStateInPandas(statefulProcessor=Days(), outputStructType=BODIES, outputMode="Append", timeMode="EventTime")
+    """BODIES of a stream ``posts(key, ts, seq, at_s, text)``: a row for each UTC day of a key once the watermark has passed it.
+
+    The posts of a key and day are gathered by Spark's own windowed aggregate, put in order of time and number when the day
+    closes, and joined by a blank line; no function runs for a single day. A post without text is left out. A batch that
+    brings posts to an open day rewrites that day's list; one day of one key is held at a time.
+    """
+    known = posts.where("key is not null and at_s is not null and ts is not null and text <> ''").select("key", "ts", F.struct("at_s", "seq", "text").alias("post"))
+    days = known.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "key").agg(F.array_sort(F.collect_list("post")).alias("posts"))
+    day = F.expr(f"cast(date_from_unix_date(cast(unix_seconds(window.start) div {DAY_S} as int)) as string)")
+    return days.select(F.col("key").cast("long").alias("key"), day.alias("day"), "posts").mapInArrow(_placed, BODIES)
 
 
 def filed(polls: DataFrame, ledger: StatefulProcessor, late: str = "0 seconds") -> DataFrame:

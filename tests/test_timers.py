@@ -121,3 +121,15 @@ def test_days_close_with_their_bodies(spark, tmp_path, cuts):
     for key, own in want.items():
         r = got[key]
         assert r.posts == len(own) and r.body == "\n\n".join(t for _, t in own) and [(x.seq, r.body[x.start : x.end]) for x in r.spans] == own
+
+
+def test_days_by_sets(spark, tmp_path):
+    """Many days close in one batch without a call a day, and a post that comes late for a day that is still open is kept."""
+    own = lambda h, seq: [(k, datetime.datetime.fromtimestamp(T0 + h * H, datetime.UTC).replace(tzinfo=None), seq, T0 + h * H, f"p{seq}") for k in range(300)]
+    for rows in (own(5, 1) + own(20, 2), own(3, 3), own(50, 4)):
+        spark.createDataFrame(rows, "key long, ts timestamp, seq long, at_s long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    s = spark.readStream.schema("key long, ts timestamp, seq long, at_s long, text string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    assert "TransformWithState" not in timers.day_bodies(s)._jdf.queryExecution().analyzed().toString()
+    got = timers.replayed_days(s).collect()
+    assert sorted((r.key, r.day, r.posts, r.body) for r in got) == [(k, "2024-01-01", 3, "p3\n\np1\n\np2") for k in range(300)]
+    assert {tuple((x.seq, x.start, x.end) for x in r.spans) for r in got} == {((3, 0, 2), (1, 4, 6), (2, 8, 10))}
