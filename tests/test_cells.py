@@ -3,6 +3,7 @@
 import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lectern.operators import cells, vectors
@@ -113,3 +114,15 @@ def test_nulls_and_nothing(spark):
     empty = nulls.limit(0)
     assert vectors.score(q, empty).count() == 0 and cells.search(cells.store(empty), q, 3).count() == 0 and cells.search(cells.store(nulls), q.limit(0)).count() == 0
     assert cells.alike(spark.createDataFrame([], "claim_id long, person int, position long, since date, embedding array<double>")).count() == 0
+
+
+def test_answers_leave_in_small_batches(spark):
+    """All pairs of many questions and cells are given on in batches of bounded size; loose vectors need one worker a task."""
+    rng, day = np.random.default_rng(5), pa.nulls(1024, pa.int64())
+    row = lambda k: cells._row(pa.RecordBatch.from_arrays([pa.array(np.zeros(1024, np.int64)), *[pa.array(np.arange(1024) + 1024 * k)] * 3, day, pa.array(list(rng.normal(size=(1024, 4))))], names=["person", "id", "item", "ordinal", "day", "vector"]), k, 4)
+    asked = cells.Asked(np.arange(600), np.zeros(600, np.int64), np.full(600, cells.LONG_AGO), np.full(600, cells.FAR_OFF), rng.normal(size=(600, 4)), None)
+    sizes = [b.num_rows for b in cells._answers([cells.Cell(row(k), 0) for k in range(4)], asked, None, None, True, False)]
+    assert sum(sizes) == 600 * 4096 and max(sizes) <= cells.OUT + cells.STEP * cells.ROW
+    q = spark.createDataFrame([(1, 0, [1.0, 0.0])], "q_id long, person int, q_vec array<double>")
+    chunks = spark.createDataFrame([(5, 0, 1, 0, [1.0, 0.0], None)], CHUNKS)
+    assert vectors.score(q, chunks)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
