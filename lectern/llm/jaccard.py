@@ -4,7 +4,8 @@
 * A set's shingles are put in one global order; two sets with a Jaccard similarity of at least ``share`` per cent have a
   shingle in common among the first ``n - ceil(share * n / 100) + 1`` of each. A tile holds the sets that have one such
   shingle, in order of size; only sets whose sizes differ by less than the factor meet (the size band), and only where
-  the place of the shingle in both still allows enough overlap.
+  the place of the shingle in both still allows enough overlap. The largest size that a set can meet from its place is
+  its reach; sets of a tile that is not common, whose reaches leave them no partner there, are not stored.
 * The order puts shingles of many documents last, so that common lines and passages form no tiles. They are found in
   one of 32 documents and kept as a bitmap of fixed size. Any order gives the same links: this one decides the cost alone.
 * Pairs are first bounded by hashed bitmaps in which each shingle flips one bit: the sets differ in at least as many
@@ -188,24 +189,35 @@ def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, share: int, bo
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(of, "cid"), "rep"))
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(hi, lo, data); a few classes that weren't asked for may come too, as ``wanted`` is a bitmap of hashes."""
+        """(rep, hi, lo, data); a few documents that weren't asked for may come too, as ``wanted`` is a bitmap of hashes."""
         for b in pieces(batches, "text"):
             b = b.filter(pa.array(in_bitmap(wanted.value, b.column("rep").to_numpy())))
             sets = shingle_sets(b.column("text"))
             fps = [_fingerprint(a) for a in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in fps], pa.int64()), pa.array([f[1] for f in fps], pa.int64()), pa.array([a.tobytes() for a in sets], pa.binary())], names=["hi", "lo", "data"])
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([f[0] for f in fps], pa.int64()), pa.array([f[1] for f in fps], pa.int64()), pa.array([a.tobytes() for a in sets], pa.binary())], names=["rep", "hi", "lo", "data"])
 
-    data = stage(_rows(docs).mapInArrow(arrays, "hi long, lo long, data binary"), "pair-data")
-    if not data.groupBy("hi", "lo").count().where("count > 1").isEmpty():  # rows with the same doc_id and text
-        data, twice = stage(data.dropDuplicates(["hi", "lo"]), "pair-data"), data
+    data = stage(_rows(docs).mapInArrow(arrays, "rep long, hi long, lo long, data binary"), "pair-data")
+    if not data.groupBy("rep", "hi", "lo").count().where("count > 1").isEmpty():  # rows with the same doc_id and text
+        data, twice = stage(data.dropDuplicates(["rep", "hi", "lo"]), "pair-data"), data
         discard(twice)
     named = pairs.join(of.toDF("a", "hi1", "lo1", "r1"), "a").join(of.toDF("b", "hi2", "lo2", "r2"), "b")
-    named = named.join(data.toDF("hi1", "lo1", "x"), ["hi1", "lo1"]).join(data.toDF("hi2", "lo2", "y"), ["hi2", "lo2"])
+    named = named.join(data.toDF("r1", "hi1", "lo1", "x"), ["r1", "hi1", "lo1"]).join(data.toDF("r2", "hi2", "lo2", "y"), ["r2", "hi2", "lo2"])
     out = stage(named.select("a", "b", "x", "y").mapInArrow(decided, "a long, b long"), "decided")
     discard(data, *([rest] if not bounded else []))
     return out
 
 
+def maybe_in(df: DataFrame, column: str, words: np.ndarray) -> DataFrame:
+    """The rows whose ``column`` is in a bitmap, and a few others; a join that follows then moves these alone."""
+    shared = df.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(in_bitmap(shared.value, b.column(column).to_numpy())))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def similar_components(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of ``docs(doc_id, text)``."""
     whole = stage(document_sets(docs, common_shingles(docs), share), "sets")
@@ -233,7 +245,7 @@ def similar_components(docs: DataFrame, share: int = SHARE) -> DataFrame:
         if few is None or still.isEmpty():
             discard(met, pairs, tiles)
             break
-        tiles, old = stage(tiles.join(still, "key", "left_semi"), "tiles"), tiles
+        tiles, old = stage(maybe_in(tiles, "key", bitmap(still, "key")).join(still, "key", "left_semi"), "tiles"), tiles
         discard(met, pairs, old)
 
     firsts = classes.select("hi", "lo", "n", "cid", "first_doc").join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -266,14 +278,25 @@ def keep_one(docs: DataFrame, share: int = SHARE) -> DataFrame:
 
 
 def neighbours(keyed: DataFrame, share: int) -> DataFrame:
-    """(key, cid, n, pos, before, head): a row for each set in each tile of several, with the next smaller set and the
-    smallest of its size band. Both only steer the search, so common tiles are dealt over parts that know nothing of each other."""
+    """(key, cid, n, pos, before, head): a row for each set in each tile where it may have a partner, with the next smaller
+    set and the smallest of its size band. Both only steer the search, so common tiles, of which no row is left out, are
+    dealt over parts that know nothing of each other.
+
+    Nearly all shingles are met once, so this shuffle is the largest of all: it moves the plain columns alone, size and
+    place in one of them, and the windows build what else they need behind it.
+    """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / share)))
-    rows = keyed.select("cid", "n", "rare", F.posexplode("keys").alias("pos", "key")).withColumn("salt", F.when(F.col("pos") >= F.col("rare"), F.pmod(F.xxhash64("cid"), F.lit(SALTS)) + 1).otherwise(0))
-    own = F.struct("cid", "n", "pos")
+    salt = F.when(F.col("pos") >= F.col("rare"), F.pmod(F.xxhash64("cid"), F.lit(SALTS)) + 1).otherwise(0)
+    rows = keyed.select("cid", "n", "rare", F.posexplode("keys").alias("pos", "key")).select(salt.alias("salt"), "cid", "key", F.expr("shiftleft(cast(n as long), 32) + pos").alias("place"))
+    rows = rows.repartition("key", "salt").select("key", "salt", "cid", F.expr("cast(shiftright(place, 32) as int)").alias("n"), F.expr("cast(place & 4294967295L as int)").alias("pos"))
+    rows = rows.withColumn("reach", F.expr(f"100L * n - (100L + {share}) * pos"))  # share times the largest size that it can meet here
     tile = Window.partitionBy("key", "salt").orderBy("n", "cid")
-    rows = rows.withColumn("before", F.lag(own).over(tile)).withColumn("after", F.lead("cid").over(tile)).where("before is not null or after is not null or salt > 0")
-    rows = rows.withColumn("head", F.first(own).over(Window.partitionBy("key", "salt", band).orderBy("n", "cid").rowsBetween(Window.unboundedPreceding, 0)))
+    smaller = {"c1": F.lag("cid").over(tile), "n1": F.lag("n").over(tile), "p1": F.lag("pos").over(tile), "least": F.first("n").over(tile), "most": F.max("reach").over(tile.rowsBetween(Window.unboundedPreceding, -1))}
+    larger = {"n2": F.lead("n").over(tile), "r2": F.lead("reach").over(tile), "n3": F.lead("n", 2).over(tile)}
+    partner = f"most >= {share}L * n and reach >= {share}L * least or reach >= {share}L * n2 and (r2 >= {share}L * n or reach >= {share}L * n3)"
+    rows = rows.withColumns(smaller | larger).where(f"salt > 0 or {partner}")
+    rows = rows.withColumn("before", F.when(F.col("c1").isNotNull(), F.struct(F.col("c1").alias("cid"), F.col("n1").alias("n"), F.col("p1").alias("pos"))))
+    rows = rows.withColumn("head", F.first(F.struct("cid", "n", "pos")).over(Window.partitionBy("key", "salt", band).orderBy("n", "cid").rowsBetween(Window.unboundedPreceding, 0)))
     return rows.select("key", "cid", "n", "pos", "before", F.when(F.col("head.cid") != F.col("cid"), F.col("head")).alias("head"))
 
 

@@ -154,6 +154,57 @@ def test_jaccard_of_repeated_doc_ids_and_hot_tiles(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_tiles_hold_sets_with_partners_and_move_plain_columns(spark):
+    """Every pair that may meet in a tile is kept; a set that meets nobody there isn't, and the shuffle of all places has four columns."""
+    rng = random.Random(5)
+    rows, classes = [], []
+    for cid in range(400):
+        n = rng.choice([1, 2, 5, 9, 10, 12, 40, 45, 50, 60, 200])
+        keys = rng.sample(range(-40, 40), min(jaccard.prefix_length(n, 80), 30)) if cid % 3 else [100 + cid // 3]
+        keys = sorted(keys, key=lambda k: k % 8 == 0)  # shingles that 8 divides are common, and last
+        rare = sum(k % 8 != 0 for k in keys)
+        classes.append((cid, n, keys, rare))
+        rows += [(k, cid, n, pos) for pos, k in enumerate(keys)]
+    tiles = jaccard.neighbours(spark.createDataFrame(classes, "cid long, n int, keys array<long>, rare int"), 80)
+    plan = tiles._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    moved = re.search(r"Exchange hashpartitioning.*\n.*Project \[(.*)\]", plan)[1]
+    assert len(moved.split(" AS ")) == 3 and re.search(r"cid#\d+L, key#\d+L", moved) and "named_struct" not in moved
+    got = {(r.key, r.cid): r for r in tiles.collect()}
+    of, size = {}, {}
+    for k, cid, n, pos in rows:
+        of.setdefault(k, []).append((cid, n, pos))
+        size[cid] = n
+    apart = 0
+    for k, sets in of.items():
+        for cid, n, pos in sets:
+            meets = any(cid != c and min(n - pos, m - p) >= -(-80 * (n + m) // 180) for c, m, p in sets)
+            assert (k, cid) in got or not meets and k % 8
+            if k % 8 and len(sets) <= 2:
+                assert meets == ((k, cid) in got)
+            apart += (k, cid) not in got and len(sets) > 1
+    assert apart > 50
+    for r in got.values():
+        assert (r.n, r.pos) == next((n, pos) for cid, n, pos in of[r.key] if cid == r.cid)
+        assert all(x is None or any((x.cid, x.n, x.pos) == y for y in of[r.key]) and (x.n, x.cid) < (r.n, r.cid) for x in (r.before, r.head))
+
+
+def test_arrays_of_pairs_are_written_once_beside_copies(spark, monkeypatch):
+    """Copies that a full bitmap lets through are no repeated rows, and of the tiles left open a join gets its own alone."""
+    x, y = (" ".join(f"{k}{i}" for i in range(60)) for k in "xy")
+    near = lambda s, k: " ".join([*s.split()[:58], k, k])
+    rows = [(i + 100 * k, t) for i, t in enumerate([x, near(x, "p"), y, near(y, "q")], 1) for k in range(3)]
+    docs, names, stage = spark.createDataFrame([(i, s, "en", "src0", 1, 1, True) for i, s in rows], DOCS), [], jaccard.stage
+    monkeypatch.setattr(jaccard, "in_bitmap", lambda words, values: np.ones(len(values), bool))
+    monkeypatch.setattr(jaccard, "stage", lambda df, name: names.append(name) or stage(df, name))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_components(docs).collect())
+    assert got == brute_components(rows)
+    assert names.count("pair-data") == names.count("decided") > 0
+    some = spark.createDataFrame([(k,) for k in range(-5, 5)], "key long")
+    monkeypatch.undo()
+    assert sorted(r.key for r in jaccard.maybe_in(some, "key", util.bitmap(some.where("key in (-3, 4)"), "key")).collect()) == [-3, 4]
+
+
 def test_clashing_column_names(spark):
     names = ["__text", "__gone", "__host", "__kept", "__doc_hash", "___gone", "gone", "host", "kept", "cleaned", "c0", "hash", "rep", "cid", "n", "key", "`odd.name`"]
     docs = spark.createDataFrame([(1, "one two three " * 20, "en", "s", 1, 1, True), (2, "clean words " + " ".join(f"w{i}" for i in range(60)), "en", "s", 1, 1, True)], DOCS).drop("kept")
