@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .util import WordHashes, bitmap, discard, in_bitmap, pieces, stage, unused, window_sums
+from .util import WordHashes, bitmap, discard, frugal, in_bitmap, pieces, stage, unused, window_sums
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Positions that count. No run of 20 to 39 tokens, and no whole item of 12 to 19, with up to a fifth substituted escapes
@@ -49,6 +49,7 @@ def token_hashes(text: str) -> np.ndarray:
 def items_of(benchmark: DataFrame) -> DataFrame:
     """(item_id, item_hash, n, tokens): a row for each text of an item."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             tokens = [token_hashes(x) for x in b.column("text").to_pylist()]
@@ -61,6 +62,7 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 def item_seeds(items: DataFrame) -> DataFrame:
     """(item_id, item_hash, n, hash, item_pos); an item shorter than SPAN has one seed."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "tokens"):
             for i, fp, n, x in zip(*(b.column(c).to_pylist() for c in ("item_id", "item_hash", "n")), b.column("tokens")):
@@ -82,8 +84,9 @@ def text_seeds(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], lengths: l
     shared, masks = docs.sparkSession.sparkContext.broadcast(known), masks_for(lengths)
     width = {salt: len(mask) for salt, mask in masks}
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", limit=1 << 20):  # the windows of all masks take dozens of times as many bytes
             texts = [token_hashes(x) for x in b.column("text").to_pylist()]
             begins, ends, fps = np.cumsum([0, *(len(t) for t in texts)])[:-1], np.cumsum([len(t) for t in texts]), b.column("doc_hash").to_numpy()
             every, found = np.concatenate([*texts, np.empty(0, np.int64)]), []
@@ -107,10 +110,12 @@ def covered(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap(hits.select("doc_hash").distinct(), "doc_hash"))
 
+    @frugal
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(in_bitmap(wanted.value, b.column("doc_hash").to_numpy())))
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             for fp, text, own in zip(b.column("doc_hash").to_pylist(), b.column("text").to_pylist(), b.column("hits")):
@@ -121,6 +126,7 @@ def covered(docs: DataFrame, hits: DataFrame) -> DataFrame:
                     some = slice(low, low + 1024)
                     parts = pa.array([t[x:y].tobytes() for x, y in zip(begin[some].tolist(), end[some].tolist())], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), fp)), *(pa.array(x[some]) for x in (i, item, shift, begin)), parts], names=["doc_hash", "item_id", "item_hash", "shift", "begin", "part"])
+        _WORDS.clear()
 
     texts = docs.select(F.xxhash64("text").alias("doc_hash"), "text").where("text is not null").mapInArrow(chosen, "doc_hash long, text string").dropDuplicates(["doc_hash"])
     per = hits.groupBy("doc_hash").agg(F.collect_list(F.struct("item_id", "item_hash", "n", "shift")).alias("hits"))
@@ -161,6 +167,7 @@ def text_overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, sha
     near = stage(covered(docs, hits), "covered")  # written, so that no task feeds two Python workers
     parts = near.join(items.select("item_id", "item_hash", "tokens"), ["item_id", "item_hash"])
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in OVERLAPS.split(", ")]
         for b in batches:

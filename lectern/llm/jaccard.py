@@ -35,13 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
-from .util import bitmap, discard, hashed_words, in_bitmap, pieces, stage, unused, window_sums
+from .util import bitmap, discard, frugal, hashed_words, in_bitmap, pieces, stage, unused, window_sums
 
 WIDTH, SHARE = 5, 80
 #: One of SAMPLE documents shows which shingles are common: those of at least COMMON of them.
 SAMPLE, COMMON = 32, 3
 #: Partners of other components that a set meets in a tile before its tile is left open; sets a side of a cell; parts of a common tile.
 FEW, CELL, SALTS = 8, 2048, 64
+#: Bytes of text of which a task holds the shingles at once: word and window hashes take some twenty times as many.
+SLICE = 1 << 20
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
@@ -77,8 +79,9 @@ def _fingerprint(a: np.ndarray) -> tuple[int, int]:
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", limit=SLICE):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*shingle_sets(b.column("text")), np.empty(0, np.int64)]))], names=["key"])
 
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).dropDuplicates(["text"]).select("text")
@@ -137,8 +140,9 @@ def document_sets(docs: DataFrame, common: np.ndarray, share: int) -> DataFrame:
     """A row of SETS for each document: ``sketch`` is its bitmap, ``keys`` are its tiles in order, the first ``rare`` of them not common."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", limit=SLICE):
             fps, keys, ns, sketches, rare = [], [], [], [], []
             for a in shingle_sets(b.column("text")):
                 fps.append(_fingerprint(a))
@@ -164,6 +168,7 @@ def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, share: int, bo
     The arrays of the pairs that the bitmaps leave are computed again, each from one document of its class.
     """
 
+    @frugal
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             both = Bitmaps(pa.concat_arrays([b.column("x"), b.column("y")]))
@@ -171,6 +176,7 @@ def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, share: int, bo
             most = (n + m - both.least_difference(at, at + b.num_rows)) // 2
             yield b.select(["a", "b"]).filter(pa.array(100 * most >= share * (n + m - most)))
 
+    @frugal
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -188,9 +194,10 @@ def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, share: int, bo
     of = classes.select("cid", "hi", "lo", "rep")
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(of, "cid"), "rep"))
 
+    @frugal
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(rep, hi, lo, data); a few documents that weren't asked for may come too, as ``wanted`` is a bitmap of hashes."""
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", limit=SLICE):
             b = b.filter(pa.array(in_bitmap(wanted.value, b.column("rep").to_numpy())))
             sets = shingle_sets(b.column("text"))
             fps = [_fingerprint(a) for a in sets]
@@ -211,6 +218,7 @@ def maybe_in(df: DataFrame, column: str, words: np.ndarray) -> DataFrame:
     """The rows whose ``column`` is in a bitmap, and a few others; a join that follows then moves these alone."""
     shared = df.sparkSession.sparkContext.broadcast(words)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(in_bitmap(shared.value, b.column(column).to_numpy())))
@@ -323,6 +331,7 @@ def meetings(tiles: DataFrame, roots: DataFrame, classes: DataFrame, share: int,
     cell = ["key", "one", "two"]
     rows = rows.repartition(*cell).sortWithinPartitions(*cell, "n", "cid").select(*cell, "h", "cid", "n", "pos", "root", "sketch")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # sets of the last cell that may still fit
         for b in batches:

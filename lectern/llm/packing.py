@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .token_files import encode_partitions, list_slices, read_token_files, save
-from .util import new_path, stage
+from .util import frugal, new_path, stage
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -29,6 +29,7 @@ def pack(docs: DataFrame, tokenizer: str, lead: bool = False, end_id: int = 2, w
     schema = PIECES + (", ids array<int>" if with_ids else "")
     names = [x.split()[0] for x in schema.split(", ")]
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, first = (b.column(c).to_numpy() for c in ("n_tokens", "start"))

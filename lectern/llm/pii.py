@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .util import pieces
+from .util import kept as kept_by_worker, pieces
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
@@ -230,9 +230,6 @@ class Pseudonyms:
         return "".join(out) + text[at:], counts
 
 
-_LOADED: dict[bytes, Pseudonyms] = {}
-
-
 def pseudonymise(docs: DataFrame, key: bytes, column: str = "text", counts: bool = True) -> DataFrame:
     """``docs`` with ``column`` pseudonymised and, if asked, a count column ``n_<kind>`` for each kind.
 
@@ -244,7 +241,7 @@ def pseudonymise(docs: DataFrame, key: bytes, column: str = "text", counts: bool
     at = [f.name for f in kept].index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _LOADED.setdefault(key, Pseudonyms(key))
+        own = kept_by_worker((Pseudonyms, key), lambda: Pseudonyms(key))
         for b in pieces(batches, at):
             done = [own.text(t) for t in b.column(at).to_pylist()]
             cols = [pa.array([x for x, _ in done], pa.string()) if k == at else b.column(k) for k in range(len(kept))]

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .util import lower_words, pieces, stage, text_column
+from .util import frugal, lower_words, pieces, stage, text_column
 
 LIMIT, KEEP_SHARE = 20, 50
 #: Frequent lines that may be broadcast (8 bytes each); beyond it they are joined.
@@ -77,6 +77,7 @@ def frequent_lines(docs: DataFrame, limit: int = LIMIT, texts_once: bool = False
     partial sums before the shuffle.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             yield _own_keys(b, "fp")
@@ -95,6 +96,7 @@ def _judged(docs: DataFrame, columns: list[str], frequent: DataFrame, limit: int
     shared = spark.sparkContext.broadcast(keys)
     schema = StructType([*kept.schema.fields[: len(columns)], *StructType.fromDDL(METRICS + ", n_removed_words long, kept boolean" + (", cleaned string" if with_text else "")).fields])
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = shared.value
         for b in pieces(batches, "text"):
@@ -123,6 +125,7 @@ def _with_gone(rows: DataFrame, frequent: DataFrame) -> DataFrame:
     """Beyond the broadcast bound: each text's frequent lines by a join on the line, then on the text's hash."""
     keyed = rows.withColumn("fp", F.xxhash64("text", "host"))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             yield _own_keys(b, "fp")

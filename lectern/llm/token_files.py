@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .tokens import encoder, give_back
-from .util import new_path, pieces, small_batches, stage
+from .tokens import encoder
+from .util import give_back, new_path, pieces, small_batches, stage
 
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 

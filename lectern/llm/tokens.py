@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import os
 import re
 
@@ -10,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .util import BLANKS, byte_codes, word_hashes, word_starts
+from .util import BLANKS, byte_codes, kept, word_hashes, word_starts
 
 
 def _byte_letters() -> dict[int, int]:
@@ -174,19 +173,6 @@ class Encoder:
         return self.ids(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
 
 
-def give_back() -> None:
-    """Returns what a task has freed to the system, as its Python worker lives on beside those of other stages."""
-    pa.default_memory_pool().release_unused()
-    libc = ctypes.CDLL(None)
-    if hasattr(libc, "malloc_trim"):
-        libc.malloc_trim(0)
-
-
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(path: str, lead: bool) -> Encoder:
-    """One encoder a Python worker: what earlier tasks have learnt is used again."""
-    if (path, lead) not in _ENCODERS:
-        _ENCODERS[path, lead] = Encoder(path, lead)
-    return _ENCODERS[path, lead]
+    """One encoder a Python worker: what earlier tasks have learnt is used again, until the worker turns to another operator."""
+    return kept((Encoder, path, lead), lambda: Encoder(path, lead))

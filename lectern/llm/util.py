@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.batches import pieces  # noqa: F401
+from ..functions.batches import frugal, give_back, kept, pieces  # noqa: F401
 
 
 def lower_ascii(text: str) -> str:

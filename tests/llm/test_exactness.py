@@ -1,11 +1,13 @@
 """The operators and the pipeline against independent brute force, and the literal cases that once gave wrong results."""
 
+import gc
 import hashlib
 import itertools
 import random
 import re
 import struct
 import time
+import weakref
 import zlib
 
 import numpy as np
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lectern.llm import decontam, jaccard, licenses, packing, pii, quality, queries, util, warc
+from lectern.llm import decontam, jaccard, licenses, packing, pii, quality, queries, tokens, util, warc
 from lectern.llm.tokens import Encoder
 from lectern.llm.util import table
 
@@ -294,3 +296,27 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, tmp_path):
             n = out.count()
             assert name == "packing" or out.columns == columns
             assert n == 0 if not docs.count() else n >= 0
+
+
+def test_pipeline_stages_write_themselves_in_small_batches(spark, tmp_path):
+    """A caller's write of a stage would feed Python workers batches of 10,000 texts."""
+    spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = table(spark, SF, "documents").limit(50)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    for name, step in corpus_pipeline.STAGES:
+        docs = step(spark, docs, str(tmp_path))
+        assert "MapInArrow" not in docs._jdf.queryExecution().toString(), name
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_workers_drop_what_other_operators_left(spark, monkeypatch):
+    """An encoder stays for the next tasks of its kind, and goes once the worker has a task of another operator."""
+    docs, runs = table(spark, SF, "documents"), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, run, schema: runs.append(run) or spark.createDataFrame([], schema))
+    quality.frequent_lines(docs)
+    path = queries.vocabulary("word_bpe_49k.json")
+    held = weakref.ref(tokens.encoder(path, False))
+    assert tokens.encoder(path, False) is held()
+    list(runs[0](iter([pa.RecordBatch.from_pydict({"text": ["some line"], "host": ["a"], "fp": [1]})])))
+    gc.collect()
+    assert held() is None
