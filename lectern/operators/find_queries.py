@@ -20,15 +20,16 @@ ASKED = define_view(
         case when q.q_id % 150 = 0 then 3 end as wanted from questions q join chunks_v v on v.chunk_id = q.q_id left join vec_items t on t.item = v.item""",
 )
 LINES = define_view("through_lines", lambda x: f"select distinct {x.div('position', '3')} as line, item from citations")
-WRITTEN = ()
+WRITTEN = ("chunks_v", "vec_items")
 FLOORS = define_view("floors", lambda x: "select person, case when person % 3 = 0 then 0.25 else 0.1 end as floor, 0.05 as cut, case when person <> 4 then 0.3 end as span from (select distinct label as person from embeddings) p")
 
 
 def searched(spark: SparkSession, sf_dir: str) -> tuple[find.Find, DataFrame]:
     own = register(spark, sf_dir, "asked vec_items through_lines floors citations relations positions backgrounds", WRITTEN)
-    chunks = own.sql("select c.chunk_id, c.person, c.item, c.ordinal, c.embedding, t.published_at from chunks_v c left join vec_items t on t.item = c.item")
-    q, floors = own.table("asked"), own.sql("select person, cast(floor as double) as floor, cast(cut as double) as cut, cast(span as double) as span from floors")
-    return find.Find(q, chunks, own.table("vec_items"), own.table("positions"), own.table("backgrounds"), own.table("citations"), own.table("relations"), own.table("through_lines"), floors), q.select("q_id", "item")
+    chunks = own.sql("select c.chunk_id, c.person, c.item, c.ordinal, c.embedding, t.published_at, coalesce(t.copies, 1) as copies from chunks_v c left join (select item, published_at, count(*) as copies from vec_items group by item, published_at) t on t.item = c.item")
+    q = own.table("asked")
+    q, floors = q.groupBy(*q.columns).agg(F.count(F.lit(1)).alias("copies")), own.sql("select person, cast(floor as double) as floor, cast(cut as double) as cut, cast(span as double) as span from floors")
+    return find.Find(q, chunks, own.table("vec_items"), own.table("positions"), own.table("backgrounds"), own.table("citations"), own.table("relations"), own.table("through_lines"), floors), q.select("q_id", "item", "copies")
 
 
 def _day(df: DataFrame) -> DataFrame:
