@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -97,3 +98,161 @@ def longest_shared(pairs: DataFrame, keys: list[str], reply: Column, record: Col
             yield pa.RecordBatch.from_arrays([b.column("own"), pa.array(spans, pa.string()), pa.array([len(x) for x in spans], pa.int64())], names=["own", "span", "length"])
 
     return given.mapInArrow(run, out).select("own.*", "span", "length")
+
+
+#: Characters of texts that meet at a time; places looked at, of all lengths, before long spans are followed by an automaton.
+PART, PLACES = 1 << 18, 1 << 25
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _among(values: np.ndarray, others: np.ndarray) -> np.ndarray:
+    every = np.unique(others)
+    return every[np.minimum(np.searchsorted(every, values), len(every) - 1)] == values
+
+
+def longest_each(replies: list[str], text: str) -> list[int]:
+    """The length of the longest span of LEAST characters or more that each reply shares with ``text``; 0 where there is none.
+
+    Spans of all places are hashed, character by character longer; places whose span the other side hasn't fall out, so
+    that few are left after the first. What is found last is looked up in the text itself.
+    """
+    best, last = np.zeros(len(replies), np.int64), np.zeros(len(replies), np.int64)
+    sizes = np.array([len(r) for r in replies], np.int64)
+    x, t, n = _codes("".join(replies)), _codes(text), LEAST
+    begins = np.cumsum(sizes) - sizes
+    who, until = np.repeat(np.arange(len(replies)), sizes), np.repeat(begins + sizes, sizes)
+    at, there = np.flatnonzero(np.arange(len(x)) + n <= until), np.arange(max(len(t) - n + 1, 0))
+    hx, ht = np.zeros(len(at), np.uint64), np.zeros(len(there), np.uint64)
+    for k in range(n):
+        hx, ht = hx * _BASE + x[at + k], ht * _BASE + t[there + k]
+    followed, looked = np.empty(0, np.int64), 0
+    while len(at) and len(there):
+        keep = _among(hx, ht)
+        at, hx = at[keep], hx[keep]
+        if not len(at):
+            break
+        best[who[at]], last[who[at]] = n, at
+        keep = _among(ht, hx)
+        there, ht = there[keep], ht[keep]
+        looked += len(at) + len(there)
+        if looked > PLACES:
+            followed = np.unique(who[at])
+            break
+        on, far = at + n < until[at], there + n < len(t)
+        at, there = at[on], there[far]
+        hx, ht = hx[on] * _BASE + x[at + n], ht[far] * _BASE + t[there + n]
+        n += 1
+    out = best.tolist()
+    for i in np.flatnonzero(best).tolist():
+        begin = int(last[i] - begins[i])
+        if i in followed or replies[i][begin : begin + out[i]] not in text:  # or two spans have one hash
+            length = Substrings(replies[i]).longest_in(text)[1]
+            out[i] = length if length >= LEAST else 0
+    return out
+
+
+def _parts(texts: list[str], overlap: int, part: int) -> Iterator[list[str]]:
+    """The texts in lists of about ``part`` characters; a longer one is cut into pieces that overlap."""
+    own, n = [], 0
+    for t in texts:
+        for at in range(0, max(len(t) - overlap, 1), part):
+            piece = t[at : at + part + overlap]
+            if n and n + len(piece) > part:
+                yield own
+                own, n = [], 0
+            own.append(piece)
+            n += len(piece)
+    if own:
+        yield own
+
+
+def _across(records: list[str], body: str, replies: dict[str, int]) -> None:
+    """Raises each reply's longest span to those that begin in a record and end in the body behind it, a blank between."""
+    trie: dict = {}
+    for r in records:
+        node = trie
+        for c in reversed(r):
+            node = node.setdefault(c, {})
+    for reply in replies:
+        at = reply.find(f" {body[0]}")
+        while at >= 0:
+            node, back = trie, at - 1
+            while back >= 0 and reply[back] in node:
+                node = node[reply[back]]
+                back -= 1
+            n, most = at + 1, min(len(reply), at + 1 + len(body))
+            while n < most and reply[n] == body[n - at - 1]:
+                n += 1
+            replies[reply] = max(replies[reply], n - 1 - back)
+            at = reply.find(f" {body[0]}", at + 1)
+
+
+def longest_of(replies: list[str], records: list[str], bodies: list[str], part: int = PART) -> dict[str, int]:
+    """Each reply with the length of the longest span that it shares with a record and a body behind it, a blank between;
+    all are flattened. Records and bodies are gone through once for many replies, and memory is in proportion to ``part``
+    and the texts. Shorter ones than LEAST may come out as 0."""
+    best = dict.fromkeys(replies, 0)
+    overlap = max(map(len, best), default=0)
+    before = [f"{r} " if r and any(bodies) else r for r in records]  # the blank may end a span
+    for own in _parts([t for t in dict.fromkeys([*before, *bodies]) if len(t) >= LEAST], overlap, part):
+        text = "\n".join(own)  # a flattened text has no line end
+        for some in _parts(list(best), len(max(best, key=len)), part):
+            for r, n in zip(some, longest_each(some, text)):
+                best[r] = max(best[r], n)
+    ends = [r for r in dict.fromkeys(r[-overlap:] for r in records) if r and overlap]
+    for body in filter(None, dict.fromkeys(bodies)):
+        for own in _parts(ends, overlap, part):
+            _across(own, body, best)
+    return best
+
+
+def longest_by_record(replies: DataFrame, records: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(*columns of ``replies`` but its text, other, longest, n): over the records of each ``other``, with a body behind each,
+    the longest span as ``longest_shared`` finds it, 0 where there is none, and how many different pairs of texts there are.
+
+    ``replies`` is (..., other, said), ``records`` (other, record) and ``bodies`` (other, body), all texts as they come;
+    an ``other`` without a body has an empty one, one without a record gives no row. Repeated rows count once. What is
+    said of one ``other``, and its texts, are held by one task, hashes of a part of them at a time.
+    """
+    keys = [c for c in replies.columns if c not in ("other", "said")]
+    replies, records = replies.distinct(), records.where("other is not null and record is not null").distinct()
+    bodies = bodies.join(records.select("other").distinct(), "other", "left_semi").select("other", F.coalesce("body", F.lit("")).alias("body")).distinct()
+    several = bodies.groupBy("other").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("other")
+    one = records.join(several, "other", "left_anti").groupBy("other").agg(F.count(F.lit(1)).alias("texts"))
+    more = records.join(several, "other").join(bodies, "other").groupBy("other").agg(F.countDistinct(F.concat("record", F.lit(" "), "body")).alias("texts"))
+
+    said = F.coalesce(flattened(F.regexp_replace("said", r"(?i)https?://\S+", "")), F.lit(""))
+    kind = StructType([replies.schema[k] for k in keys])
+    none = F.lit(None).cast(kind)
+    rows = replies.where("other is not null").select("other", F.lit(2).alias("kind"), F.struct(*keys).alias("own"), said.alias("text"))
+    rows = rows.unionByName(records.select("other", F.lit(0).alias("kind"), none.alias("own"), F.coalesce(flattened(F.col("record")), F.lit("")).alias("text")))
+    rows = rows.unionByName(bodies.select("other", F.lit(1).alias("kind"), none.alias("own"), flattened(F.col("body")).alias("text")))
+    out = StructType([rows.schema["other"], StructField("own", kind), StructField("length", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, texts, own = None, ([], [], []), []
+
+        def given() -> Iterator[pa.RecordBatch]:
+            if texts[0] and texts[2]:
+                best = longest_of(texts[2], texts[0], texts[1] or [""])
+                lengths = [best[t] if best[t] >= LEAST else 0 for t in texts[2]]
+                yield pa.RecordBatch.from_arrays([pa.array([last] * len(lengths), others), pa.concat_arrays(own), pa.array(lengths, pa.int64())], names=["other", "own", "length"])
+
+        for b in pieces(batches, "text"):
+            others = b.column("other").type
+            for i, (other, k, text) in enumerate(zip(*(b.column(c).to_pylist() for c in ("other", "kind", "text")))):
+                if other != last:
+                    yield from given()
+                    last, texts, own = other, ([], [], []), []
+                texts[k].append(text)
+                if k == 2:
+                    own.append(b.column("own").slice(i, 1))
+        yield from given()
+
+    lengths = rows.repartition("other").sortWithinPartitions("other", "kind").mapInArrow(run, out)
+    per = lengths.select("own.*", "other", "length").groupBy(*keys, "other").agg(F.max("length").alias("longest"), F.count(F.lit(1)).alias("replies"))
+    return per.join(one.unionByName(more), "other").select(*keys, "other", "longest", (F.col("replies") * F.col("texts")).alias("n"))
